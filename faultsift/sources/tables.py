@@ -159,3 +159,40 @@ def _uuid(digest: Column) -> Column:
     return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4),
                        F.substring(digest, 13, 4), F.substring(digest, 17, 4),
                        F.substring(digest, 21, 12))
+
+
+def status_log(groups: DataFrame) -> DataFrame:
+    """Manual status changes derived from the groups: resolve, then reopen or ignore some."""
+    n = F.col("event_count")
+    first, last = F.unix_micros("first_seen"), F.unix_micros("last_seen")
+
+    def at(part: int, of: int) -> Column:
+        return F.timestamp_micros(first + F.floor((last - first) * part / of))
+
+    none = F.lit(None).cast("string")
+    changes = F.filter(F.array(
+        F.when(n % 2 == 0, F.struct(at(1, 2).alias("changed_at"), F.lit("resolved").alias("status"),
+                                    F.when(n % 4 == 0, F.lit("2.0.0")).alias("release"))),
+        F.when(n % 6 == 0, F.struct(at(3, 4).alias("changed_at"), F.lit("open").alias("status"),
+                                    none.alias("release"))),
+        F.when(n % 5 == 0, F.struct(at(1, 3).alias("changed_at"), F.lit("ignored").alias("status"),
+                                    none.alias("release"))),
+        F.when(n % 7 == 0, F.struct(at(1, 1).alias("changed_at"), F.lit("resolved").alias("status"),
+                                    none.alias("release")))), lambda c: c.isNotNull())
+    return groups.select("group_id", F.explode(changes).alias("_c")).select("group_id", "_c.*")
+
+
+def attempt_log(alerts: DataFrame) -> DataFrame:
+    """Delivery attempts derived from the alerts: some succeed, some fail, some never ran."""
+    minute = F.minute("created_at")
+    tries = F.sequence(F.lit(1), minute % 6)
+    wins = (minute % 2 == 0)
+    return (alerts.filter(minute % 6 > 0)
+            .select("alert_id", "created_at", minute.alias("_m"), wins.alias("_wins"),
+                    F.explode(tries).alias("_i"))
+            .select("alert_id",
+                    F.timestamp_micros(F.unix_micros("created_at") + F.col("_i") * 60_000_000)
+                    .alias("attempted_at"),
+                    (F.col("_wins") & (F.col("_i") == F.col("_m") % 6)).alias("ok"),
+                    F.when(~(F.col("_wins") & (F.col("_i") == F.col("_m") % 6)),
+                           F.concat(F.lit("timeout "), F.repeat(F.lit("e"), 600))).alias("error")))
