@@ -66,7 +66,7 @@ def merge_partitions(new: DataFrame, root: str, name: str, merge) -> None:
     day = day_of(DATED[name])
     fresh = new.withColumn("day", day)
     target = f"{root}/{name}"
-    if _exists(spark, target):
+    if path_exists(spark, target):
         days = fresh.select("day").distinct()
         # A calendar's worth of dates: one row per day, so it is always small.
         old = spark.read.parquet(target).join(F.broadcast(days), "day", "left_semi")
@@ -75,7 +75,7 @@ def merge_partitions(new: DataFrame, root: str, name: str, merge) -> None:
         "partitionOverwriteMode", "dynamic").partitionBy("day").parquet(target)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
@@ -83,4 +83,4 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def has_table(spark: SparkSession, root: str, name: str) -> bool:
     """True when the table was written to its end."""
-    return _exists(spark, f"{root}/{name}/_SUCCESS")
+    return path_exists(spark, f"{root}/{name}/_SUCCESS")

@@ -26,7 +26,7 @@ def _trace(family: Column, k: Column, event_id: Column, user: Column) -> Column:
         F.lit(")\n\t... 46 common frames omitted"))
     node = F.concat(
         F.lit("TypeError: Cannot read properties of undefined\n"
-              "    at Session.load"), variant, F.lit(" (/app/"), user.cast("string"),
+              "    at Session.load"), (k % 2).cast("string"), F.lit(" (/app/"), user.cast("string"),
         F.lit("/src/services/user.js:"), line,
         F.lit(":18)\n    at async handler (file:///srv/dist/routes/cart.mjs:12:22)\n"
               "    at new Checkout (C:\\work\\lib\\checkout.ts:7:1)\n"
@@ -45,9 +45,9 @@ def _trace(family: Column, k: Column, event_id: Column, user: Column) -> Column:
         F.lit(")\n    at b (https://cdn.example.com/bundle.min.js:1:77)"))
     nested = F.concat(
         F.lit("com.acme.ledger.PostingException: unbalanced\n"
-              "\tat com.acme.ledger.Book$"), variant,
-        F.lit(".post(Book.java:"), line,
-        F.lit(")\n\tat com.acme.ledger.Batch.run(Loader.java:9)\n"
+              "\tat com.acme.ledger.Book$Entry.post(Book.java:"), line,
+        F.lit(")\n\tat com.acme.ledger.Batch.run(Loader"), variant,
+        F.lit(".java:9)\n"
               "\tat com.acme.ledger.Main.main(Main.java)"))
     return (F.when(family == "checkout", checkout)
             .when(family.isin("node", "mislabelled"), node)
