@@ -191,9 +191,9 @@ def apply_hourly_cap(events: DataFrame, rollups: DataFrame, cap: int) -> DataFra
             .select("group_id", F.col("bucket_start").alias("hour"), F.lit(cap).alias("n")))
     keyed = events.withColumn("hour", hour_of())
     last_kept = locate_nth(keyed, full, ["group_id", "hour"])
-    position = F.struct("received_at", "event_id")
-    limit = F.struct(F.col("nth_at"), F.col("nth_id"))
-    sampled = F.coalesce(position > limit, F.lit(False))
+    # An hour that is not full has no limit (and a struct of nulls would compare as lowest).
+    sampled = F.col("nth_at").isNotNull() & (
+        F.struct("received_at", "event_id") > F.struct("nth_at", "nth_id"))
     return (keyed.join(last_kept.drop("n"), ["group_id", "hour"], "left")
             .withColumn("sampled", sampled)
             .withColumn("stacktrace", F.when(~F.col("sampled"), F.col("stacktrace")))

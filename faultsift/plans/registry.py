@@ -57,7 +57,8 @@ def _landing(w: Warehouse) -> str:
             F.col("event_id").alias("eventId"), "service", "level", "message", "platform",
             F.col("exception_type").alias("exceptionType"), "stacktrace", "release", "payload",
             F.col("received_at").alias("receivedAt"))
-         .write.mode("overwrite").json(f"{w.root}/landing"))
+         .write.mode("overwrite")
+         .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{w.root}/landing"))
     return f"{w.root}/landing"
 
 
@@ -488,7 +489,7 @@ def E8_spike_instants(w):
 @query
 def E9_new_groups(w):
     return alerts.new_group_candidates(w.events(), w.groups(), w.params).select(
-        "group_id", "at", "event_id")
+        "group_id", F.col("at").alias("at_time"), "event_id")
 
 
 @query
@@ -560,7 +561,7 @@ def F1_cooldown(w):
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("group_id"),
         F.lit("spike").alias("kind"), F.col("ts").cast("timestamp").alias("at"),
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("event_id"))
-    return alerts.emit_with_cooldown(candidates, 360)
+    return alerts.emit_with_cooldown(candidates, 360).withColumnRenamed("at", "at_time")
 
 
 @query
@@ -819,7 +820,7 @@ def J2_stream_windows(w):
 def J3_stream_alerts(w):
     out = _deliver(w, _stored(w), "j3", lambda stream, path, ckpt: jobs.spike_alert_stream(
         stream, path, ckpt, w.params))
-    return jobs.read_spike_alerts(w.spark, out)
+    return jobs.read_spike_alerts(w.spark, out).withColumnRenamed("at", "at_time")
 
 
 @query
