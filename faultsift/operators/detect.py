@@ -216,13 +216,13 @@ def gone_quiet_sweeps(rollups: DataFrame, params: Params = DEFAULTS,
                       every_hours: int = 1) -> DataFrame:
     """The same test at every sweep hour: (group_id, sweep_at, busy_hours).
 
-    A busy hour adds itself to the at most ``silence_window_hours`` sweeps it can count
-    for, and the sweeps are then a plain group-by: no range join. Status is left to the
-    caller, who knows the state at each sweep.
+    A sweep on the hour sees the hours before it. A busy hour adds itself to the fewer than
+    ``silence_window_hours`` sweeps it can count for, and the sweeps are then a plain
+    group-by: no range join. Status is left to the caller, who knows it at each sweep.
     """
     h = F.col("_h")
     step = every_hours
-    first = F.ceil(h / step) * step
+    first = F.ceil((h + 1) / step) * step
     last = h + params.silence_window_hours - 1
     hours = F.when(first <= last, F.sequence(first, last, F.lit(step).cast("bigint"))).otherwise(
         F.array().cast("array<bigint>"))

@@ -146,10 +146,12 @@ HOUR_MS = 3_600_000
 
 
 class SilenceProcessor(StatefulProcessor):
-    """Per group: its active hours of the last window, and one timer per coming hour.
+    """Per group: its active hours of the last window, and one timer per quiet spell.
 
-    The state is at most ``window_hours`` numbers. Timers run in event time, so a group is
-    found quiet when the watermark says so, with no sweep from outside.
+    The state is a window's worth of hour numbers. An active hour asks to be looked at once
+    it could first count as quiet; from there the look moves on hour by hour until the
+    group speaks again or has too few busy hours left. Timers run in event time, so a group
+    is found quiet when the watermark says so, with no sweep from outside.
     """
 
     def __init__(self, params: Params):
@@ -162,29 +164,33 @@ class SilenceProcessor(StatefulProcessor):
         self.hours = handle.getMapState("hours", _HOURS_SCHEMA, _HOURS_SCHEMA)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            for hour in part["hour"].unique():
-                hour = int(hour)
-                self.hours.updateValue((hour,), (hour,))
-                # The hour can still matter for the sweeps of the window that follows it.
-                for sweep in range(hour + self.quiet, hour + self.window):
-                    self.handle.registerTimer(sweep * HOUR_MS)
+        hours = sorted({int(h) for part in rows for h in part["hour"].unique()})
+        for hour, after in zip(hours, [*hours[1:], None]):
+            self.hours.updateValue((hour,), (hour,))
+            # An hour followed closely by another one starts no quiet spell.
+            if after is None or after - hour >= self.quiet:
+                self.handle.registerTimer((hour + self.quiet) * HOUR_MS)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         sweep = expiredTimerInfo.getExpiryTimeInMs() // HOUR_MS
-        known = [k[0] for k in self.hours.keys()]
+        now = timerValues.getCurrentWatermarkInMs() // HOUR_MS
+        known = sorted(k[0] for k in self.hours.keys())
         for hour in known:
             if hour <= sweep - self.window:
                 self.hours.removeKey((hour,))
-        seen = [h for h in known if sweep - self.window < h <= sweep]
-        if any(h > sweep - self.quiet for h in seen) or len(seen) < self.busy:
-            yield pd.DataFrame()
-        else:
-            yield pd.DataFrame({
-                "group_id": [key[0]],
-                "sweep_at": [pd.Timestamp(sweep * HOUR_MS, unit="ms")],
-                "busy_hours": [len(seen)]})
+        found = []
+        while True:
+            seen = [h for h in known if sweep - self.window < h < sweep]
+            if len(seen) < self.busy or seen[-1] > sweep - self.quiet:
+                break
+            if sweep > now:
+                self.handle.registerTimer(sweep * HOUR_MS)
+                break
+            found.append((key[0], pd.Timestamp(sweep * HOUR_MS, unit="ms"), len(seen)))
+            sweep += 1
+        yield pd.DataFrame(found, columns=["group_id", "sweep_at", "busy_hours"]
+                           ) if found else pd.DataFrame()
 
     def close(self) -> None:
         pass

@@ -501,7 +501,7 @@ FROM c_ranked e JOIN c_groups g USING (group_id)
 WHERE e.received_at < g.first_seen + INTERVAL 3 HOUR AND e.group_rank >= 4"""
 CTE["c_sweeps"] = """
 SELECT group_id, sweep_at, count(*) AS busy_hours
-FROM (SELECT group_id, bucket_start, unnest(generate_series(bucket_start,
+FROM (SELECT group_id, bucket_start, unnest(generate_series(bucket_start + INTERVAL 1 HOUR,
         bucket_start + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS sweep_at FROM c_rollup)
 GROUP BY ALL HAVING count(*) FILTER (bucket_start > sweep_at - INTERVAL 3 HOUR) = 0
   AND count(*) FILTER (bucket_start <= sweep_at - INTERVAL 3 HOUR) >= 6"""
@@ -883,7 +883,7 @@ FROM (SELECT p.*, coalesce(delivered, 0) AS got FROM c_plan p LEFT JOIN c_sent
   (SELECT max(received_at) - INTERVAL 1 MINUTE FROM c_ev)""",
     "J4_stream_silence": """WITH m AS (SELECT max(received_at) - INTERVAL 1 MINUTE AS mark FROM c_ev)
 SELECT group_id, sweep_at, CAST(count(*) AS INTEGER) AS busy_hours
-FROM (SELECT group_id, bucket_start, unnest(generate_series(bucket_start,
+FROM (SELECT group_id, bucket_start, unnest(generate_series(bucket_start + INTERVAL 1 HOUR,
         bucket_start + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS sweep_at
       FROM c_rollup, m WHERE bucket_start + INTERVAL 1 HOUR <= mark), m
 WHERE sweep_at <= mark
