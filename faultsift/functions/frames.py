@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from faultsift.functions.text import blank_to_null, strip
+from faultsift.functions.text import blank_to_null, is_blank, strip
 
 # ---- fixed values ---------------------------------------------------------------
 JAVA_FRAME = r"^\s*at\s+(?:([\w.$]+)/)?([\w.$]+)\.([\w$<>]+)\(([^)]*)\)\s*$"
@@ -66,7 +66,7 @@ def java_confidence(trace: Column) -> Column:
               + F.when(trace.contains("common frames omitted") | trace.contains("more"), 10)
               .otherwise(0)
               + F.when(first_at.rlike(JAVA_FRAME), 30).otherwise(0))
-    return F.when(trace.rlike(r"\S"), F.least(points, F.lit(100))).otherwise(0)
+    return F.when(~is_blank(trace), F.least(points, F.lit(100))).otherwise(0)
 
 
 def javascript_confidence(trace: Column) -> Column:
@@ -75,7 +75,7 @@ def javascript_confidence(trace: Column) -> Column:
               .otherwise(0)
               + F.when(trace.contains(".js") | trace.contains(".ts") | trace.contains(".mjs"), 15)
               .otherwise(0))
-    return F.when(trace.rlike(r"\S"), F.least(points, F.lit(100))).otherwise(0)
+    return F.when(~is_blank(trace), F.least(points, F.lit(100))).otherwise(0)
 
 
 def resolve_platform(declared: Column, trace: Column) -> Column:
@@ -114,68 +114,77 @@ def java_frames(trace: Column) -> Column:
     return F.transform(_groups(trace, JAVA_FRAME, 4), frame)
 
 
-def javascript_file(path: Column) -> Column:
-    """A path that reads the same on every machine: from the last source root on."""
-    slashed = F.regexp_replace(F.translate(path, "\\", "/"), r"^file://", "")
-    rooted = F.concat(F.lit("/"), F.regexp_replace(slashed, r"/+$", ""))
-    roots = "|".join(SOURCE_ROOTS)
-    return (F.when(slashed.rlike(NODE_MODULE),
-                   F.regexp_replace(slashed, NODE_MODULE, "node_modules/$1/$2"))
-            .when(slashed.startswith("node:") | ~slashed.contains("/"), slashed)
-            .when(rooted.rlike(f"/(?:{roots})/"),
-                  F.regexp_replace(rooted, f"^.*/((?:{roots})/.*)$", "$1"))
-            .otherwise(F.substring_index(rooted, "/", -1)))
+def _slashed(path: Column) -> Column:
+    return F.translate(path, "\\", "/")
+
+
+def _in_node_module(path: Column) -> Column:
+    # The byte search spares most paths the regex.
+    return path.contains("node_modules/") & path.rlike(NODE_MODULE)
 
 
 def javascript_in_app(path: Column) -> Column:
-    p = F.translate(path, "\\", "/")
+    p = _slashed(path)
     outside = (p.contains("node_modules/") | p.startswith("node:") | p.startswith("internal/")
                | (p == "native") | p.startswith("<anonymous>"))
     return ~outside & (p.contains("/") | p.contains("."))
 
 
-def javascript_module(path: Column) -> Column:
-    p = F.translate(path, "\\", "/")
-    return F.when(p.rlike(NODE_MODULE), F.regexp_extract(p, NODE_MODULE, 1))
-
-
 def javascript_frames(trace: Column) -> Column:
-    def call_and_place(g: Column) -> Column:
+    """V8 call sites as frames; the steps bind what the next one mentions repeatedly."""
+    def place(g: Column) -> Column:
         # Groups 2 and 3 exclude each other, so joining them picks the location.
-        name = F.regexp_replace(strip(g[0]), r"^async ", "")
-        return F.struct(blank_to_null(strip(F.regexp_replace(name, r"^new ", ""))).alias("name"),
-                        F.concat(g[1], g[2]).alias("place"))
+        return F.concat(g[1], g[2])
 
-    def located(s: Column) -> Column:
-        numbered = s["place"].rlike(V8_LOCATION)
+    def called(g: Column) -> Column:
+        name = strip(F.regexp_replace(strip(g[0]), r"^(?:async )?(?:new )?", ""))
+        located = F.split(F.regexp_replace(place(g), V8_LOCATION, f"$1{_SEP}$2"), _SEP)
+        return F.struct(blank_to_null(name).alias("name"), located.alias("at"))
+
+    def pathed(s: Column) -> Column:
+        path = _slashed(s["at"][0])
+        return F.struct(
+            s["name"].alias("name"), path.alias("path"),
+            F.when(path.startswith("file://"), F.substring(path, 8, 1 << 30)).otherwise(path)
+            .alias("clean"),
+            F.coalesce(F.get(s["at"], F.lit(1)).try_cast("int"), F.lit(-1)).alias("line"))
+
+    def rooted(s: Column) -> Column:
+        # From the last source root on; still led by a slash where there is none.
+        whole = F.concat(F.lit("/"), F.rtrim(s["clean"], F.lit("/")))
+        roots = "|".join(SOURCE_ROOTS)
         return F.struct(
-            s["name"].alias("name"),
-            F.when(numbered, F.regexp_replace(s["place"], V8_LOCATION, "$1"))
-            .otherwise(s["place"]).alias("path"),
-            F.when(numbered, F.coalesce(
-                F.regexp_extract(s["place"], V8_LOCATION, 2).try_cast("int"), F.lit(-1)))
-            .otherwise(-1).alias("line"))
+            s["name"].alias("name"), s["path"].alias("path"), s["clean"].alias("clean"),
+            s["line"].alias("line"),
+            F.regexp_replace(whole, f"^.*/((?:{roots})/.*)$", "$1").alias("tail"))
 
     def frame(s: Column) -> Column:
-        dotted = s["name"].rlike(r"^.+\.[^.]*$")
+        name, clean, tail = s["name"], s["clean"], s["tail"]
+        dotted = F.substring(name, 2, 1 << 30).contains(".")
+        last = F.substring_index(name, ".", -1)
+        file = (F.when(_in_node_module(clean),
+                       F.regexp_replace(clean, NODE_MODULE, "node_modules/$1/$2"))
+                .when(clean.startswith("node:") | ~clean.contains("/"), clean)
+                .when(tail.startswith("/"), F.substring_index(tail, "/", -1))
+                .otherwise(tail))
         return F.struct(
-            javascript_module(s["path"]).alias("module"),
-            F.when(dotted, F.regexp_replace(s["name"], r"\.[^.]*$", "")).alias("declaring_class"),
-            F.when(dotted, F.substring_index(s["name"], ".", -1)).otherwise(s["name"])
-            .alias("function"),
-            javascript_file(s["path"]).alias("file"),
-            s["line"].alias("line"),
+            F.when(_in_node_module(s["path"]), F.regexp_extract(s["path"], NODE_MODULE, 1))
+            .alias("module"),
+            F.when(dotted, F.left(name, F.length(name) - F.length(last) - 1))
+            .alias("declaring_class"),
+            F.when(dotted, last).otherwise(name).alias("function"),
+            file.alias("file"), s["line"].alias("line"),
             javascript_in_app(s["path"]).alias("in_app"))
 
-    calls = F.transform(_groups(trace, V8_FRAME, 3), call_and_place)
-    return F.transform(F.transform(F.filter(calls, lambda s: s["place"].rlike(r"\S")), located),
-                       frame)
+    sites = F.filter(_groups(trace, V8_FRAME, 3), lambda g: ~is_blank(place(g)))
+    steps = F.transform(F.transform(F.transform(sites, called), pathed), rooted)
+    return F.transform(steps, frame)
 
 
 def frames_for(platform: Column, trace: Column) -> Column:
     """Frames by platform; an empty array when there is nothing to read."""
     empty = F.array().cast(FRAME_TYPE)
-    readable = trace.rlike(r"\S")
+    readable = ~is_blank(trace)
     return (F.when(readable & (platform == "java"), java_frames(trace).cast(FRAME_TYPE))
             .when(readable & (platform == "javascript"),
                   javascript_frames(trace).cast(FRAME_TYPE))

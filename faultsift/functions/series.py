@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultsift.contracts import DEFAULTS, Params
@@ -16,9 +16,8 @@ def mean(h: Column) -> Column:
     return F.when(F.size(h) > 0, _total(h) / F.size(h)).otherwise(0.0)
 
 
-def stddev(h: Column) -> Column:
-    """Sample deviation; 0 below two values."""
-    m = mean(h)
+def stddev(h: Column, m: Column) -> Column:
+    """Sample deviation around the given mean; 0 below two values."""
     squares = F.aggregate(h, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
     return F.when(F.size(h) > 1, F.sqrt(squares / (F.size(h) - 1))).otherwise(0.0)
 
@@ -64,39 +63,52 @@ def poisson_tail(observed: Column, rate: Column, max_terms: int | None) -> Colum
     return F.when(observed <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - below))
 
 
-def _eligible(h: Column, observed: Column, p: Params) -> Column:
-    return (F.size(h) >= p.min_history_hours) & (observed >= p.min_observed)
+def with_statistics(df: DataFrame, observed: str, p: Params = DEFAULTS) -> DataFrame:
+    """Add what the detector rules read: _mean, _ewma, _sd, _rate and _tail.
+
+    Each fold over the history is a column of its own, so that it runs once per row and
+    not once per mention.
+    """
+    h = F.col("history")
+    return (df.withColumns({"_mean": mean(h), "_ewma": ewma(h, p.ewma_alpha)})
+            .withColumns({"_sd": stddev(h, F.col("_mean")),
+                          "_rate": F.greatest("_mean", F.lit(p.poisson_lambda_floor))})
+            .withColumn("_tail", poisson_tail(F.col(observed), F.col("_rate"),
+                                              p.poisson_max_terms)))
+
+
+STATISTICS = ["_mean", "_ewma", "_sd", "_rate", "_tail"]
+
+
+def _eligible(observed: Column, p: Params) -> Column:
+    return (F.size("history") >= p.min_history_hours) & (observed >= p.min_observed)
 
 
 def _verdict(name: str, fired: Column, observed: Column, baseline: Column, score: Column,
              threshold: Column, p: Params) -> Column:
     return F.struct(
         F.lit(name).alias("detector"), F.lit(name == p.active_detector).alias("is_active"),
-        fired.alias("fired"), observed.cast("bigint").alias("observed"),
-        baseline.alias("baseline"), score.alias("score"),
-        threshold.cast("double").alias("threshold"))
+        (_eligible(observed, p) & fired).alias("fired"),
+        observed.cast("bigint").alias("observed"), baseline.alias("baseline"),
+        score.alias("score"), threshold.cast("double").alias("threshold"))
 
 
-def judge_ewma(h: Column, observed: Column, p: Params = DEFAULTS) -> Column:
-    baseline = ewma(h, p.ewma_alpha)
-    score = observed / F.greatest(baseline, F.lit(p.ewma_floor))
-    fired = _eligible(h, observed, p) & (score > p.ewma_multiplier)
-    return _verdict("ewma", fired, observed, baseline, score, F.lit(p.ewma_multiplier), p)
+def judge_ewma(observed: Column, p: Params = DEFAULTS) -> Column:
+    score = observed / F.greatest("_ewma", F.lit(p.ewma_floor))
+    return _verdict("ewma", score > p.ewma_multiplier, observed, F.col("_ewma"), score,
+                    F.lit(p.ewma_multiplier), p)
 
 
-def judge_zscore(h: Column, observed: Column, p: Params = DEFAULTS) -> Column:
-    baseline = mean(h)
-    score = (observed - baseline) / F.greatest(stddev(h), F.lit(p.z_sigma_floor))
-    fired = _eligible(h, observed, p) & (score > p.z_threshold)
-    return _verdict("zscore", fired, observed, baseline, score, F.lit(p.z_threshold), p)
+def judge_zscore(observed: Column, p: Params = DEFAULTS) -> Column:
+    score = (observed - F.col("_mean")) / F.greatest("_sd", F.lit(p.z_sigma_floor))
+    return _verdict("zscore", score > p.z_threshold, observed, F.col("_mean"), score,
+                    F.lit(p.z_threshold), p)
 
 
-def judge_poisson(h: Column, observed: Column, p: Params = DEFAULTS) -> Column:
-    rate = F.greatest(mean(h), F.lit(p.poisson_lambda_floor))
-    tail = poisson_tail(observed, rate, p.poisson_max_terms)
-    fired = _eligible(h, observed, p) & (tail < p.poisson_probability)
-    score = -F.log10(F.greatest(tail, F.lit(1e-300)))
-    return _verdict("poisson", fired, observed, rate, score,
+def judge_poisson(observed: Column, p: Params = DEFAULTS) -> Column:
+    tail = F.col("_tail")
+    return _verdict("poisson", tail < p.poisson_probability, observed, F.col("_rate"),
+                    -F.log10(F.greatest(tail, F.lit(1e-300))),
                     -F.log10(F.lit(p.poisson_probability)), p)
 
 
@@ -104,30 +116,39 @@ def judge_poisson(h: Column, observed: Column, p: Params = DEFAULTS) -> Column:
 JUDGES = {"ewma": judge_ewma, "zscore": judge_zscore, "poisson": judge_poisson}
 
 
-def first_firing_count(h: Column, observed: Column, p: Params = DEFAULTS) -> Column:
-    """Smallest count within the hour at which the active detector fires, else null.
+def first_firing_counts(observed: Column, p: Params = DEFAULTS) -> Column:
+    """The smallest count of the hour at which the active detector fires, as an array of at
+    most one; empty where it does not fire by ``observed``.
 
     All three scores grow with the count, so for two of them the crossing is arithmetic
-    (checked one either side against rounding); the Poisson one is a single fold.
+    (checked one either side against rounding).
     """
-    def smallest(estimate: Column, fires) -> Column:
-        floor = F.lit(p.min_observed).cast("bigint")
-        tries = F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1, 2)]),
-                            lambda i: F.greatest(F.floor(estimate) + i, floor))
-        return F.get(F.filter(tries, fires), F.lit(0))
+    floor = F.lit(p.min_observed).cast("bigint")
+
+    def near(estimate: Column) -> Column:
+        return F.array(*[F.greatest(F.floor(estimate) + i, floor) for i in (-1, 0, 1, 2)])
 
     if p.active_detector == "ewma":
-        level = F.greatest(ewma(h, p.ewma_alpha), F.lit(p.ewma_floor))
-        n = smallest(level * p.ewma_multiplier, lambda c: c / level > p.ewma_multiplier)
+        level = F.greatest("_ewma", F.lit(p.ewma_floor))
+        counts = near(level * p.ewma_multiplier)
+
+        def fires(c):
+            return c / level > p.ewma_multiplier
     elif p.active_detector == "zscore":
-        m, s = mean(h), F.greatest(stddev(h), F.lit(p.z_sigma_floor))
-        n = smallest(m + s * p.z_threshold, lambda c: (c - m) / s > p.z_threshold)
+        spread = F.greatest("_sd", F.lit(p.z_sigma_floor))
+        counts = near(F.col("_mean") + spread * p.z_threshold)
+
+        def fires(c):
+            return (c - F.col("_mean")) / spread > p.z_threshold
     elif p.active_detector == "poisson":
-        rate = F.greatest(mean(h), F.lit(p.poisson_lambda_floor))
-        counts = F.sequence(F.lit(p.min_observed), F.greatest(
-            F.least(observed, F.lit(p.poisson_max_terms + 1)), F.lit(p.min_observed)).cast("int"))
-        n = F.get(F.filter(counts, lambda c: poisson_tail(c, rate, p.poisson_max_terms)
-                           < p.poisson_probability), F.lit(0)).cast("bigint")
+        # Past the last term the tail no longer moves.
+        top = F.least(observed, F.lit(p.poisson_max_terms + 1).cast("bigint"))
+        counts = F.sequence(floor, F.greatest(top, floor))
+
+        def fires(c):
+            return poisson_tail(c, F.col("_rate"), p.poisson_max_terms) < p.poisson_probability
     else:
         raise ValueError(f"unknown detector {p.active_detector}; known: {sorted(JUDGES)}")
-    return F.when((F.size(h) >= p.min_history_hours) & (n <= observed), n)
+    firing = F.slice(F.filter(counts, fires), 1, 1)
+    return F.when(F.size("history") >= p.min_history_hours,
+                  F.filter(firing, lambda n: n <= observed))

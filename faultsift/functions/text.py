@@ -2,48 +2,68 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---- fixed values: rules in the order they apply -----------------------------
-# ASCII word boundaries are spelled out with lookarounds, because "\b" changes
+# Pattern, placeholder, and literals of which any match must contain one (none: always
+# tried). ASCII word boundaries are spelled out with lookarounds, because "\b" changes
 # meaning with the JVM release while the results may not.
 _EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
 MESSAGE_RULES = (
     (r"(?<!\w)[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?!\w)",
-     "<uuid>"),
+     "<uuid>", ("-",)),
     (r"(?<!\w)\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?(?!\w)",
-     "<timestamp>"),
-    (r"(?<!\w)(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?(?!\w)", "<ip>"),
-    (_EDGE + r"[\w.+-]+@[\w-]+\.[\w.-]+" + _EDGE, "<email>"),
-    (r"(?<!\w)[a-zA-Z][a-zA-Z0-9+.-]*://\S+", "<url>"),
-    (r"(?:[A-Za-z]:)?[\\/](?:[\w.-]+[\\/]){2,}[\w.-]*", "<path>"),
-    (r"(?<!\w)0x[0-9a-fA-F]+(?!\w)", "<hex>"),
-    (r"(?<!\w)[0-9a-fA-F]{8,}(?!\w)", "<hex>"),
-    (r"(?<!\w)\d[\d_,]*(?:\.\d+)?" + _EDGE, "<num>"),
+     "<timestamp>", (":",)),
+    (r"(?<!\w)(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?(?!\w)", "<ip>", (".",)),
+    (_EDGE + r"[\w.+-]+@[\w-]+\.[\w.-]+" + _EDGE, "<email>", ("@",)),
+    (r"(?<!\w)[a-zA-Z][a-zA-Z0-9+.-]*://\S+", "<url>", ("://",)),
+    (r"(?:[A-Za-z]:)?[\\/](?:[\w.-]+[\\/]){2,}[\w.-]*", "<path>", ("/", "\\")),
+    (r"(?<!\w)0x[0-9a-fA-F]+(?!\w)", "<hex>", ("0x",)),
+    (r"(?<!\w)[0-9a-fA-F]{8,}(?!\w)", "<hex>", ()),
+    (r"(?<!\w)\d[\d_,]*(?:\.\d+)?" + _EDGE, "<num>", ()),
 )
+# What counts as whitespace at the ends of a text.
+WHITESPACE = ("\t\n\x0b\f\r\x1c\x1d\x1e\x1f \u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+              "\u2008\u2009\u200a\u2028\u2029\u205f\u3000")
 # -------------------------------------------------------------------------------
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | ~c.rlike(r"\S")
+    return c.isNull() | (strip(c) == "")
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(c.rlike(r"\S"), c)
+    return F.when(~is_blank(c), c)
 
 
 def strip(c: Column) -> Column:
-    """Trim all whitespace; Spark's own ``trim`` removes spaces only."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Trim all whitespace; Spark's plain ``trim`` removes spaces only."""
+    return F.btrim(c, F.lit(WHITESPACE))
+
+
+def _replace(text: Column, pattern: str, placeholder: str, markers: tuple[str, ...]) -> Column:
+    """Regex replacement, skipped where a byte search shows that nothing can match.
+
+    The one-element transform binds the text, which would otherwise be computed twice.
+    """
+    def guarded(t: Column) -> Column:
+        possible = reduce(lambda a, b: a | b, [t.contains(m) for m in markers])
+        return F.when(possible, F.regexp_replace(t, pattern, placeholder)).otherwise(t)
+
+    if not markers:
+        return F.regexp_replace(text, pattern, placeholder)
+    return F.get(F.transform(F.array(text), guarded), F.lit(0))
 
 
 def normalize_message(message: Column) -> Column:
     """Replace the variable parts of a message by placeholders; null gives ''."""
     text = strip(message)
-    for pattern, placeholder in MESSAGE_RULES:
-        text = F.regexp_replace(text, pattern, placeholder)
-    return F.coalesce(strip(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
+    for rule in MESSAGE_RULES:
+        text = _replace(text, *rule)
+    return F.coalesce(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
 
 
 def normalize_type(exception_type: Column) -> Column:

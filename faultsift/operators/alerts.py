@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultsift.contracts import DEFAULTS, Params
-from faultsift.functions.series import JUDGES, first_firing_count
+from faultsift.functions import series as sr
 from faultsift.operators.detect import gone_quiet_sweeps, with_history
 from faultsift.operators.ingest import HOUR_US, hour_of
 from faultsift.operators.ranks import first_n, locate_nth
@@ -74,14 +74,36 @@ def emit_with_cooldown(candidates: DataFrame, minutes: int,
     return reduce(DataFrame.unionByName, parts).select(*KEYS, "_hit.at", "_hit.event_id")
 
 
+def emit_on_hour_grid(candidates: DataFrame, minutes: int) -> DataFrame:
+    """The same greedy choice for candidates on full hours, in one pass.
+
+    A key has at most one candidate per calendar hour there, so its list stays short
+    however many events it has, and folding over it inside the row is safe.
+    """
+    width = minutes * 60_000_000
+    start = F.struct(F.lit(None).cast("bigint").alias("last"),
+                     F.array().cast("array<bigint>").alias("kept"))
+
+    def step(state: Column, at: Column) -> Column:
+        free = state["last"].isNull() | (at >= state["last"] + width)
+        return F.struct(F.when(free, at).otherwise(state["last"]).alias("last"),
+                        F.when(free, F.array_append(state["kept"], at))
+                        .otherwise(state["kept"]).alias("kept"))
+
+    listed = candidates.groupBy(*KEYS).agg(
+        F.array_sort(F.collect_set(F.unix_micros("at"))).alias("_all"))
+    kept = F.aggregate("_all", start, step)["kept"]
+    return listed.select(*KEYS, F.explode(kept).alias("_us")).select(
+        *KEYS, F.timestamp_micros("_us").alias("at"), F.lit("").alias("event_id"))
+
+
 # -- E8 --------------------------------------------------------------------------------------------
 def firing_points(rollups: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Per bucket that fires by its end: the count n at which the active detector fires."""
-    n = first_firing_count(F.col("history"), F.col("event_count"), params)
-    return (with_history(rollups, params)
-            .filter(F.col("event_count") >= params.min_observed)
-            .withColumn("n", n).filter(F.col("n").isNotNull())
-            .select("group_id", F.col("bucket_start").alias("hour"), "n", "history"))
+    busy = with_history(rollups, params).filter(F.col("event_count") >= params.min_observed)
+    return (sr.with_statistics(busy, "event_count", params)
+            .select("group_id", F.col("bucket_start").alias("hour"), "history",
+                    F.explode(sr.first_firing_counts(F.col("event_count"), params)).alias("n")))
 
 
 def spike_instants(events: DataFrame, points: DataFrame) -> DataFrame:
@@ -178,9 +200,9 @@ def spike_details(emitted: DataFrame, events: DataFrame, points: DataFrame,
             .filter(F.struct("received_at", "_id") <= F.struct("created_at", "event_id"))
             .groupBy("group_id", "hour", "created_at", "event_id")
             .agg(F.count(F.lit(1)).alias("_n")))
-    rule = JUDGES[params.active_detector](F.col("history"), F.col("_n"), params)
-    return (seen.join(points.select("group_id", "hour", "history"), ["group_id", "hour"])
-            .withColumn("_v", rule)
+    judged = sr.with_statistics(
+        seen.join(points.select("group_id", "hour", "history"), ["group_id", "hour"]), "_n", params)
+    return (judged.withColumn("_v", sr.JUDGES[params.active_detector](F.col("_n"), params))
             .select("group_id", F.lit("spike").alias("kind"), "created_at", "event_id",
                     "_v.detector", "_v.observed", "_v.baseline", "_v.score", "_v.threshold"))
 
@@ -188,14 +210,14 @@ def spike_details(emitted: DataFrame, events: DataFrame, points: DataFrame,
 def all_alerts(events: DataFrame, rollups: DataFrame, groups: DataFrame, comebacks: DataFrame,
                timeline: DataFrame, params: Params = DEFAULTS, delivery: bool = True) -> DataFrame:
     """Every alert of the four kinds over the whole history."""
-    points = firing_points(rollups, params)
+    points = cut(firing_points(rollups, params))  # few rows, read three times
     spikes = emit_with_cooldown(spike_candidates(events, spike_instants(events, points)),
                                 params.cooldown_for("spike"))
     rules = emit_with_cooldown(
         new_group_candidates(events, groups, params).unionByName(regression_candidates(comebacks)),
         params.cooldown_for("new_group"))
-    silences = emit_with_cooldown(silence_candidates(rollups, timeline, params),
-                                  params.cooldown_for("silence"))
+    silences = emit_on_hour_grid(silence_candidates(rollups, timeline, params),
+                                 params.cooldown_for("silence"))
     emitted = spikes.unionByName(rules).unionByName(silences)
     return raise_alerts(emitted, groups, spike_details(spikes, events, points, params), delivery)
 

@@ -52,9 +52,9 @@ def with_history(rollups: DataFrame, params: Params = DEFAULTS, key: str = "grou
 
 def series_stats(histories: DataFrame) -> DataFrame:
     h = F.col("history")
-    return histories.withColumns({
-        "history_hours": F.size(h), "mean": sr.mean(h), "stddev": sr.stddev(h),
-        "zero_share": sr.zero_share(h)})
+    return (histories.withColumns({"history_hours": F.size(h), "mean": sr.mean(h),
+                                   "zero_share": sr.zero_share(h)})
+            .withColumn("stddev", sr.stddev(h, F.col("mean"))))
 
 
 # -- E3 to E7 -------------------------------------------------------------------------------------
@@ -66,10 +66,10 @@ def observe(rollups: DataFrame, params: Params = DEFAULTS, key: str = "group_id"
     at the hour's final count: nothing is upserted. The floor is applied after the
     histories are made, since they need the quiet hours too.
     """
-    judged = with_history(rollups, params, key, first_seen).filter(
+    busy = with_history(rollups, params, key, first_seen).filter(
         F.col("event_count") >= params.min_observed)
-    verdicts = F.array(*[rule(F.col("history"), F.col("event_count"), params)
-                         for rule in sr.JUDGES.values()])
+    judged = sr.with_statistics(busy, "event_count", params)
+    verdicts = F.array(*[rule(F.col("event_count"), params) for rule in sr.JUDGES.values()])
     return (judged.select(key, "bucket_start", F.explode(verdicts).alias("_v"))
             .select(key, "bucket_start", "_v.*"))
 
