@@ -95,7 +95,9 @@ def spike_alert_stream(events: DataFrame, root: str, checkpoint: str,
         earlier = _earlier(spark, base, "counts", batch_id)
         seen = None
         if earlier is not None:
-            counts = ingest.merge_rollups(earlier, counts)
+            groups = touched.select("group_id").distinct()
+            counts = ingest.merge_rollups(
+                earlier.join(groups, "group_id", "left_semi"), counts)
             seen = _earlier(spark, base, "events", batch_id)
         everything = cut(counts)
         points = al.firing_points(everything, params)
