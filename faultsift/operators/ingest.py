@@ -145,8 +145,12 @@ _FIRST_WINS = ["service", "platform", "exception_type", "title", "culprit",
                "fingerprint_input", "frames", "degraded_reason"]
 
 
-def build_groups(events: DataFrame, cap: int = DEFAULTS.hourly_cap) -> DataFrame:
-    """One row per fault: descriptors of its first event, level of its last, counters."""
+def build_groups(events: DataFrame, cap: int = DEFAULTS.hourly_cap,
+                 rollups: DataFrame | None = None) -> DataFrame:
+    """One row per fault: descriptors of its first event, level of its last, counters.
+
+    All aggregates are partial ones first: a map task sends one row per group it saw.
+    """
     order = F.struct("received_at", "event_id")
     released = F.col("release").isNotNull()
     described = events.withColumn("platform", F.col("resolved_platform"))
@@ -158,7 +162,7 @@ def build_groups(events: DataFrame, cap: int = DEFAULTS.hourly_cap) -> DataFrame
         F.count(F.lit(1)).alias("event_count"),
         F.min_by("release", F.when(released, order)).alias("release_first"),
         F.max_by("release", F.when(released, order)).alias("release_last"))
-    counts = sampled_counts(rollup(events), cap)  # narrow second pass over the keys only
+    counts = sampled_counts(rollup(events) if rollups is None else rollups, cap)
     return (groups.select("group_id", "fingerprint", "fingerprint_version", "_first.*", "level",
                           "first_seen", "last_seen", "event_count", "release_first",
                           "release_last")

@@ -2,39 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultsift.session import cut
+
+
+PREFIX = 4  # leading characters of an event id, the last and finest cell
+
 
 def locate_nth(events: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """Order position of the n-th event by (received_at, event_id) for each target key.
 
     ``targets`` holds ``keys`` (ending in an hour) and ``n``; the result adds ``nth_at`` and
-    ``nth_id``. Counts per second come first (map-side combined); a running sum over at
-    most 3600 such rows per key finds the second in which n falls; only that second's
-    events are ranked. A key that holds a third of all rows therefore spreads over as
-    many tasks as it has seconds.
+    ``nth_id``. The search narrows by counting: events per second of the hour, then per
+    microsecond of the second in which n falls, then per id prefix of that microsecond.
+    Counts combine map-side, each running sum covers at most 3600, a million and a
+    prefix alphabet's worth of rows, and only the last cell's events are ranked. A key, an
+    hour or a second that holds a third of all rows therefore never meets in one task.
     """
-    second = F.unix_seconds("received_at")
-    wanted = events.join(targets.select(*keys), keys, "left_semi").select(
-        *keys, second.alias("_sec"), "received_at", "event_id")
-    per_second = wanted.groupBy(*keys, "_sec").agg(F.count(F.lit(1)).alias("_cnt"))
-    running = Window.partitionBy(*keys).orderBy("_sec").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    crossing = (per_second.withColumn("_cum", F.sum("_cnt").over(running))
-                .join(targets, keys)
-                .filter((F.col("_cum") >= F.col("n"))
-                        & (F.col("_cum") - F.col("_cnt") < F.col("n")))
-                .select(*keys, "_sec", "n",
-                        (F.col("n") - F.col("_cum") + F.col("_cnt")).alias("_left")))
-    within = Window.partitionBy(*keys, "_sec").orderBy("received_at", "event_id")
-    return (wanted.join(crossing, [*keys, "_sec"])
-            .withColumn("_rn", F.row_number().over(within))
+    wanted = (events.join(targets.select(*keys), keys, "left_semi")
+              .select(*keys, "received_at", "event_id"))
+    coarse = _narrow(wanted, targets.select(*keys, F.col("n").alias("_left")), keys,
+                     F.unix_seconds("received_at"))
+    # One second per key is left: write it down rather than scan the events again.
+    second = cut(coarse)
+    fine = _narrow(second.drop("_left"), second.select(*keys, "_left").distinct(), keys,
+                   F.unix_micros("received_at"))
+    cell = _narrow(fine.drop("_left"), fine.select(*keys, "_left").distinct(), keys,
+                   F.substring("event_id", 1, PREFIX))
+    order = Window.partitionBy(*keys).orderBy("event_id")
+    return (cell.withColumn("_rn", F.row_number().over(order))
             .filter(F.col("_rn") == F.col("_left"))
+            .join(targets, keys)
             .select(*keys, "n", F.col("received_at").alias("nth_at"),
                     F.col("event_id").alias("nth_id")))
 
 
+def _narrow(rows: DataFrame, targets: DataFrame, keys: list[str], cell: Column) -> DataFrame:
+    """The rows of the cell in which each target's ``_left``-th row falls, and its rank there."""
+    celled = rows.withColumn("_cell", cell)
+    counts = celled.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_cnt"))
+    running = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    crossing = (counts.withColumn("_cum", F.sum("_cnt").over(running))
+                .join(targets, keys)
+                .filter((F.col("_cum") >= F.col("_left"))
+                        & (F.col("_cum") - F.col("_cnt") < F.col("_left")))
+                .select(*keys, "_cell", (F.col("_left") - F.col("_cum") + F.col("_cnt"))
+                        .alias("_left")))
+    return celled.join(crossing, [*keys, "_cell"]).drop("_cell")
+
+
 def first_n(events: DataFrame, keys: list[str], n: int) -> DataFrame:
     """The first n events per key; each map task keeps n rows per key before the exchange."""
     w = Window.partitionBy(*keys).orderBy("received_at", "event_id")

@@ -13,7 +13,7 @@ from faultsift.session import cut
 MIN_SIMILARITY = 0.3
 TOP = 5
 # Similarity levels tried in turn; the last one is the operator's own threshold.
-LEVELS = (0.8, 0.55, MIN_SIMILARITY)
+LEVELS = (0.8, 0.6, 0.45, MIN_SIMILARITY)
 
 
 # -- H9 -------------------------------------------------------------------------------------------
@@ -86,16 +86,22 @@ def similar_groups(groups: DataFrame, key: str = "group_id", text: str = "title"
 
 
 def _pairs_above(probe: DataFrame, index: DataFrame, level: float) -> DataFrame:
-    """(node, other, carriers of other, score) with score above ``level``."""
+    """(node, other, carriers of other, score) with score above ``level``.
+
+    Two sets that similar share a trigram early in both rare-first lists: at positions i
+    and j of their first common one, at most the rest of the shorter tail can be shared.
+    Testing that inside the join drops the pairs that meet on common trigrams only.
+    """
     # Slightly too long a prefix is harmless; too short a one would lose pairs.
     prefix = F.slice("_rare", 1, F.col("_n") - F.ceil(F.col("_n") * level - 1e-9).cast("int") + 1)
-    left = probe.select("node", F.col("_n").alias("_ln"), F.explode(prefix).alias("token"))
+    left = probe.select("node", F.col("_n").alias("_ln"),
+                        F.posexplode(prefix).alias("_i", "token"))
     right = index.select(F.col("node").alias("other"), F.col("_n").alias("_rn"),
-                         F.explode(prefix).alias("token"))
+                         F.posexplode(prefix).alias("_j", "token"))
+    tail = F.least(F.col("_ln") - F.col("_i"), F.col("_rn") - F.col("_j"))
+    needed = (F.col("_ln") + F.col("_rn")) * (level / (1 + level)) - 1e-9
     candidates = (left.join(right, "token")
-                  .filter((F.col("node") != F.col("other"))
-                          & (F.col("_rn") >= F.col("_ln") * level - 1e-9)
-                          & (F.col("_ln") >= F.col("_rn") * level - 1e-9))
+                  .filter((F.col("node") != F.col("other")) & (tail >= needed))
                   .select("node", "other").distinct())
     a = probe.select("node", F.col("_set").alias("_a"))
     b = index.select(F.col("node").alias("other"), F.col("_set").alias("_b"), "carriers")

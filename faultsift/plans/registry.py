@@ -5,6 +5,7 @@ The leading letter and number of a name is the operator's id in the survey's inv
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -185,7 +186,7 @@ def B10_rollup_merge(w):
 
 @query
 def B11_groups(w):
-    return ingest.build_groups(w.events(), w.params.hourly_cap).select(
+    return ingest.build_groups(w.events(), w.params.hourly_cap, w.rollups()).select(
         "group_id", "fingerprint", "fingerprint_version", "service", "platform", "exception_type",
         "title", "culprit", "fingerprint_input", F.size("frames").alias("frame_count"),
         "degraded_reason", "level", "first_seen", "last_seen", "event_count", "release_first",
@@ -658,19 +659,24 @@ def H2_counts_by_status(w):
     return reads.counts_by_status(w.states(), q="NOT FOUND")
 
 
+def _days_back(days: int) -> dt.datetime:
+    """Start of a window of days that ends with the current one."""
+    return AS_OF - dt.timedelta(days=days - 1)
+
+
 @query
 def H3_overview_trend(w):
-    return reads.overview_trend(w.rollups(), w.states(), AS_OF, "30d", service="signup-svc")
+    return reads.overview_trend(w.rollups(_days_back(30)), w.states(), AS_OF, "30d",
+                                service="signup-svc")
 
 
 @query
 def H3_overview_all(w):
-    return reads.overview_trend(w.rollups(), w.states(), AS_OF, "7d")
+    return reads.overview_trend(w.rollups(_days_back(7)), w.states(), AS_OF, "7d")
 
 
 @query
 def H4_widened_overview(w):
-    import datetime as dt
     return reads.widened_overview(w.rollups(), w.states(), dt.datetime(2024, 2, 8))
 
 
@@ -681,7 +687,7 @@ def H5_services(w):
 
 @query
 def H6_sparklines(w):
-    return reads.sparklines(w.rollups(), AS_OF).select(
+    return reads.sparklines(w.rollups(_days_back(7)), AS_OF).select(
         "group_id", F.array_join("daily", ",").alias("daily"))
 
 
@@ -701,13 +707,12 @@ def _busiest(w) -> str:
 
 @query
 def H8_group_series_hours(w):
-    import datetime as dt
     return reads.group_series(w.rollups(), _busiest(w), dt.datetime(2024, 1, 20, 18, 45), "24h")
 
 
 @query
 def H8_group_series_days(w):
-    return reads.group_series(w.rollups(), _busiest(w), AS_OF, "30d")
+    return reads.group_series(w.rollups(_days_back(30)), _busiest(w), AS_OF, "30d")
 
 
 @query

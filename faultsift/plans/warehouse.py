@@ -38,10 +38,10 @@ class Warehouse:
         key = (spark.sparkContext.applicationId, sf_dir)
         self.root = _ROOTS.setdefault(key, scratch_path(spark, "tables"))
 
-    def _table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def _table(self, name: str, build: Callable[[], DataFrame], since=None) -> DataFrame:
         if not sinks.has_table(self.spark, self.root, name):
             sinks.write_table(build(), self.root, name)
-        return sinks.read_table(self.spark, self.root, name)
+        return sinks.read_table(self.spark, self.root, name, since)
 
     def source(self, name: str) -> DataFrame:
         return tables.table(self.spark, self.sf_dir, name)
@@ -54,12 +54,13 @@ class Warehouse:
         """Valid, de-duplicated, fingerprinted events."""
         return self._table("events", lambda: ingest.store(self.raw(), self.params))
 
-    def rollups(self) -> DataFrame:
-        return self._table("rollups", lambda: ingest.rollup(self.events()))
+    def rollups(self, since: dt.datetime | None = None) -> DataFrame:
+        """Hourly counts; ``since`` reads only the date folders from there on."""
+        return self._table("rollups", lambda: ingest.rollup(self.events()), since)
 
     def groups(self) -> DataFrame:
-        return self._table("groups",
-                           lambda: ingest.build_groups(self.events(), self.params.hourly_cap))
+        return self._table("groups", lambda: ingest.build_groups(
+            self.events(), self.params.hourly_cap, self.rollups()))
 
     # -- the status log, made of the groups themselves --------------------------------------
     def status_log(self) -> DataFrame:

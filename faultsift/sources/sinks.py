@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultsift.session import cut
+
 # table -> (date column, expression it is taken from)
 DATED = {
     "events": "received_at",
@@ -61,15 +63,12 @@ def merge_partitions(new: DataFrame, root: str, name: str, merge) -> None:
     aside first: Spark must not read a folder that it is overwriting.
     """
     spark = new.sparkSession
-    from faultsift.session import cut
-
     day = day_of(DATED[name])
     fresh = new.withColumn("day", day)
     target = f"{root}/{name}"
     if path_exists(spark, target):
         days = fresh.select("day").distinct()
-        # A calendar's worth of dates: one row per day, so it is always small.
-        old = spark.read.parquet(target).join(F.broadcast(days), "day", "left_semi")
+        old = spark.read.parquet(target).join(days, "day", "left_semi")
         fresh = merge(old.drop("day"), new).withColumn("day", day)
     cut(fresh).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("day").parquet(target)
