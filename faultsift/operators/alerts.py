@@ -103,14 +103,15 @@ def firing_points(rollups: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     busy = with_history(rollups, params).filter(F.col("event_count") >= params.min_observed)
     return (sr.with_statistics(busy, "event_count", params)
             .select("group_id", F.col("bucket_start").alias("hour"), "history",
+                    F.col("event_count").alias("size"),
                     F.explode(sr.first_firing_counts(F.col("event_count"), params)).alias("n")))
 
 
 def spike_instants(events: DataFrame, points: DataFrame) -> DataFrame:
     """The first event of each firing bucket at which the detector fires."""
-    keyed = events.withColumn("hour", hour_of()).select(
-        "group_id", "hour", "received_at", "event_id")
-    return locate_nth(keyed, points.select("group_id", "hour", "n"), ["group_id", "hour"])
+    keyed = events.withColumn("hour", hour_of())
+    return locate_nth(keyed, points.select("group_id", "hour", "n", "size"),
+                      ["group_id", "hour"])
 
 
 def spike_candidates(events: DataFrame, instants: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ def use_rocksdb(spark: SparkSession) -> None:
 def ingest_stream(raw: DataFrame, watermark: str = "10 minutes",
                   params: Params = DEFAULTS) -> DataFrame:
     """Validated, de-duplicated, fingerprinted events; ids are remembered per watermark."""
+    use_rocksdb(raw.sparkSession)
     valid, _ = ingest.split_valid(ingest.assign_event_ids(raw))
     unique = valid.withWatermark("received_at", watermark).dropDuplicatesWithinWatermark(
         ["event_id"])
@@ -38,6 +39,7 @@ def ingest_stream(raw: DataFrame, watermark: str = "10 minutes",
 # -- J2 -------------------------------------------------------------------------------------------
 def rollup_stream(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """Tumbling hourly counts; a partial aggregate precedes the exchange on the key."""
+    use_rocksdb(events.sparkSession)
     return (events.withWatermark("received_at", watermark)
             .groupBy(F.window("received_at", "1 hour").alias("_w"), "group_id")
             .agg(F.count(F.lit(1)).alias("event_count"))

@@ -7,16 +7,14 @@ from __future__ import annotations
 
 import re
 
+from faultsift.functions.frames import JAVA_VENDOR_PREFIXES  # fixed values only
+
 CTE: dict[str, str] = {}
 STATEMENTS: dict[str, str] = {}
 
 JAVA = r"^\s*at\s+(?:([\w.$]+)/)?([\w.$]+)\.([\w$<>]+)\(([^)]*)\)\s*$"
 V8 = r"^\s*at\s+(?:(.*?)\s+\((.*)\)|(.*?))\s*$"
-VENDOR = ("^(java|javax|jakarta|jdk|sun|com\\.sun|org\\.springframework|org\\.apache|"
-          "org\\.hibernate|org\\.eclipse|org\\.jboss|org\\.slf4j|ch\\.qos\\.logback|com\\.zaxxer|"
-          "org\\.postgresql|com\\.fasterxml|tools\\.jackson|io\\.netty|reactor|org\\.junit|"
-          "org\\.mockito|org\\.testcontainers|org\\.flywaydb|kotlin|scala|groovy|"
-          "org\\.codehaus\\.groovy)\\.")
+VENDOR = "^(" + "|".join(p.replace(".", "\\.") for p in JAVA_VENDOR_PREFIXES) + ")"
 
 
 def blank(c: str) -> str:
