@@ -429,8 +429,8 @@ FROM (SELECT *, event_count / greatest(ewma, 0.5) AS ewma_score,
         lambda i: {{'t': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 'k': i::INTEGER}})),
       lambda a, x: {{'t': a.t * (rate / x.k), 'c': a.c + a.t * (rate / x.k), 'k': x.k}}).c) AS tail
   FROM (SELECT {key}, bucket_start, event_count, history, len(history) AS n_hist,
-      coalesce(list_reduce(list_transform(history, lambda x: x::DOUBLE),
-        lambda a, x: 0.3 * x + (1 - 0.3) * a), 0.0) AS ewma,
+      list_reduce(list_transform(CASE WHEN len(history) = 0 THEN [0] ELSE history END,
+        lambda x: x::DOUBLE), lambda a, x: 0.3 * x + (1 - 0.3) * a) AS ewma,
       coalesce(list_avg(history), 0.0) AS mean, greatest(coalesce(list_avg(history), 0.0), 0.1) AS rate,
       CASE WHEN len(history) > 1 THEN list_stddev_samp(history) ELSE 0.0 END AS sd,
       CASE WHEN len(history) > 0 THEN len(list_filter(history, lambda x: x = 0)) / len(history)
