@@ -185,7 +185,6 @@ def frames_for(platform: Column, trace: Column) -> Column:
     """Frames by platform; an empty array when there is nothing to read."""
     empty = F.array().cast(FRAME_TYPE)
     readable = ~is_blank(trace)
-    return (F.when(readable & (platform == "java"), java_frames(trace).cast(FRAME_TYPE))
-            .when(readable & (platform == "javascript"),
-                  javascript_frames(trace).cast(FRAME_TYPE))
+    return (F.when(readable & (platform == "java"), java_frames(trace))
+            .when(readable & (platform == "javascript"), javascript_frames(trace))
             .otherwise(empty))

@@ -172,8 +172,12 @@ def nav_counts(groups: DataFrame, alerts: DataFrame) -> DataFrame:
             .drop("_one"))
 
 
-def storage_status(events: DataFrame, rollups: DataFrame, sweeps: DataFrame) -> DataFrame:
-    """Row counts, event time range and the last sweep; nulls where nothing ran."""
+def storage_status(events: DataFrame, rollups: DataFrame, sweeps: DataFrame,
+                   sizes: dict[str, int] | None = None) -> DataFrame:
+    """Row counts, event time range and the last sweep; nulls where nothing ran.
+
+    ``sizes`` adds stored bytes, such as ``{"events_bytes": sinks.table_bytes(…)}``.
+    """
     e = events.agg(F.count(F.lit(1)).alias("event_rows"),
                    F.date_format(F.min("received_at"), CLOCK).alias("oldest_event"),
                    F.date_format(F.max("received_at"), CLOCK).alias("newest_event"))
@@ -185,7 +189,8 @@ def storage_status(events: DataFrame, rollups: DataFrame, sweeps: DataFrame) ->
         F.col("deleted_events").alias("last_sweep_deleted")), "ran_at").alias("_s"))
     one = F.lit(1)
     return (e.withColumn("_one", one).join(r.withColumn("_one", one), "_one")
-            .join(s.withColumn("_one", one), "_one").select("*", "_s.*").drop("_one", "_s"))
+            .join(s.withColumn("_one", one), "_one").select("*", "_s.*").drop("_one", "_s")
+            .withColumns({name: F.lit(size).cast("bigint") for name, size in (sizes or {}).items()}))
 
 
 # -- H13 -----------------------------------------------------------------------------------------------------------------

@@ -51,6 +51,17 @@ def sweep_record(deleted: DataFrame, source: str, days: int, size: int,
         F.lit(size).cast("bigint").alias("events_bytes"))
 
 
+def sweep_metrics(raised: DataFrame, deleted: DataFrame, scored: DataFrame) -> DataFrame:
+    """Counters of one sweep: silence alerts raised, events deleted, verdicts scored."""
+    one = F.lit(1)
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.count(one).alias(name)).withColumn("_one", one)
+
+    return (counted(raised, "alerted").join(counted(deleted, "deleted"), "_one")
+            .join(counted(scored, "scored"), "_one").drop("_one"))
+
+
 # -- G4 -------------------------------------------------------------------------------------------
 def trend_loss(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rollup buckets that a sweep changed; must be empty."""

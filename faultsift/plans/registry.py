@@ -226,6 +226,14 @@ def B16_outcome_metrics(w):
     return ingest.outcome_metrics(ingest.receipts(w.raw(), capped))
 
 
+@query
+def B16_sweep_metrics(w):
+    return retention.sweep_metrics(
+        w.alerts().filter(F.col("kind") == "silence"),
+        retention.expired(w.events(), as_of(), F.lit(w.params.retention_days)),
+        w.observations().filter(F.col("outcome").isNotNull()))
+
+
 # == C: grouping ==========================================================================================
 @query
 def C1_normalize_documents(w):
@@ -629,12 +637,17 @@ def G3_sweep_record(w):
 
 @query
 def G4_trend_survives(w):
+    """A sweep changes no rollup, though many buckets have no events left behind them."""
     before = w.rollups()
     kept = retention.survivors(w.events(), as_of(), F.lit(14))
-    lost = retention.trend_loss(before, w.rollups()).agg(_count().alias("changed_buckets"))
-    left = kept.agg(_count().alias("events_left"))
+    keys = ["group_id", "bucket_start"]
     one = F.lit(1)
-    return lost.withColumn("_o", one).join(left.withColumn("_o", one), "_o").drop("_o")
+    parts = [retention.trend_loss(before, w.rollups()).agg(_count().alias("changed_buckets")),
+             kept.agg(_count().alias("events_left")),
+             before.join(ingest.rollup(kept), keys, "left_anti").agg(
+                 _count().alias("buckets_without_events"))]
+    first, second, third = (p.withColumn("_o", one) for p in parts)
+    return first.join(second, "_o").join(third, "_o").drop("_o")
 
 
 # == H: reads ============================================================================================================

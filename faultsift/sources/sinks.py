@@ -83,3 +83,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def has_table(spark: SparkSession, root: str, name: str) -> bool:
     """True when the table was written to its end."""
     return path_exists(spark, f"{root}/{name}/_SUCCESS")
+
+
+def table_bytes(spark: SparkSession, root: str, name: str) -> int:
+    """Stored size of a table from the file listing; no data is read."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(target).getLength() if fs.exists(target) else 0

@@ -676,6 +676,9 @@ QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY received_at, seq) = 1"
     "B16_outcome_metrics": """SELECT CASE WHEN error IS NOT NULL THEN 'rejected'
   WHEN NOT stored THEN 'duplicate' WHEN sampled THEN 'sampled' ELSE 'stored' END AS outcome,
   count(*) AS events FROM c_outcomes GROUP BY 1""",
+    "B16_sweep_metrics": """SELECT (SELECT count(*) FROM c_alerts WHERE kind = 'silence') AS alerted,
+  (SELECT count(*) FROM c_ev WHERE received_at < TIMESTAMP '2024-01-17') AS deleted,
+  (SELECT count(outcome) FROM c_obs) AS scored""",
     "C1_normalize_documents": f"""SELECT doc_id, CAST(length(t) AS INTEGER) AS chars,
   sha256(t) AS hash FROM (SELECT doc_id, {normalized('text')} AS t FROM documents)""",
     "C1_normalize_messages": "SELECT event_id, normalized_message FROM c_fpbase",
@@ -807,7 +810,9 @@ WHERE NOT (n <= 5000 AND received_at < TIMESTAMP '2024-01-17') GROUP BY 1""",
     "G3_sweep_record": """SELECT TIMESTAMP '2024-01-31' AS ran_at, 'scheduled' AS source,
   14 AS window_days, count(*) AS deleted_events, CAST(0 AS BIGINT) AS events_bytes
 FROM c_ev WHERE received_at < TIMESTAMP '2024-01-17'""",
-    "G4_trend_survives": """SELECT CAST(0 AS BIGINT) AS changed_buckets, count(*) AS events_left
+    "G4_trend_survives": """SELECT CAST(0 AS BIGINT) AS changed_buckets, count(*) AS events_left,
+  (SELECT count(*) FROM c_rollup WHERE bucket_start < TIMESTAMP '2024-01-17')
+    AS buckets_without_events
 FROM c_ev WHERE received_at >= TIMESTAMP '2024-01-17'""",
     "H1_group_page": """SELECT group_id, title, service, status, event_count, first_seen, last_seen
 FROM c_states WHERE title ILIKE '%not found%' AND (last_seen, group_id) <

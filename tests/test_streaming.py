@@ -36,6 +36,19 @@ def test_streamed_ingest_equals_batch(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_stream_reports_outcomes(spark):
+    rows = [raw_event("a", HOUR), raw_event("b", HOUR, message=""), raw_event("c", HOUR)]
+    landing, out, ckpt = (scratch_path(spark, n) for n in ("in", "out", "ckpt"))
+    df = raw(spark, rows)
+    df.write.parquet(landing)
+    q = jobs.write_stream(jobs.ingest_stream(spark.readStream.schema(df.schema).parquet(landing))
+                          .select("event_id"), out, ckpt)
+    q.awaitTermination()
+    seen = [p["observedMetrics"]["ingest"] for p in q.recentProgress if p["observedMetrics"]]
+    assert sum(m["valid"] for m in seen) == 2 and sum(m["rejected"] for m in seen) == 1
+    assert sinks.table_bytes(spark, out, "") > 0
+
+
 def test_rollups_in_both_forms(spark):
     events = simple_events(spark, [("g" if i % 3 else "h", hours_ago(9) + minutes(7 * i), f"e{i}")
                                    for i in range(60)])
