@@ -122,28 +122,33 @@ class Words:
         return self.bytes[self.start[i]:self.end[i]].tobytes()
 
 
-def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every `size` words in a row and their owners; a row of fewer words, but not none,
-    is one shingle of all of them."""
-    count = np.diff(first)
-    full = np.maximum(count - size + 1, 0)
-    owner = np.repeat(np.arange(len(count)), full)
+def grams(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first word, owner row) of every `size` consecutive words of a row."""
+    full = np.maximum(np.diff(first) - size + 1, 0)
+    owner = np.repeat(np.arange(len(full)), full)
     at = np.arange(full.sum()) - np.repeat(np.cumsum(full) - full, full) + first[:-1][owner]
+    total = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(at), np.uint64)
         for k in range(size):
             total = total * ODD + hashes[at + k]
-        short = np.flatnonzero((count > 0) & (count < size))
-        if len(short):
-            extra = np.zeros(len(short), np.uint64)
-            for i, row in enumerate(short):
-                for h in hashes[first[row]:first[row + 1]]:
-                    extra[i] = extra[i] * ODD + h
-            owner = np.concatenate([owner, short])
-            total = np.concatenate([total, extra])
-            order = np.argsort(owner, kind="stable")
-            owner, total = owner[order], total[order]
-    return mix(total), owner
+    return mix(total), at, owner
+
+
+def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, owner row) of every `size` words; a row of fewer words, but not none, is one shingle."""
+    total, _, owner = grams(hashes, first, size)
+    count = np.diff(first)
+    short = np.flatnonzero((count > 0) & (count < size))
+    if not len(short):
+        return total, owner
+    extra = np.zeros(len(short), np.uint64)
+    with np.errstate(over="ignore"):
+        for i, row in enumerate(short):
+            for h in hashes[first[row]:first[row + 1]]:
+                extra[i] = extra[i] * ODD + h + np.uint64(1)
+    total, owner = np.concatenate([total, mix(extra)]), np.concatenate([owner, short])
+    order = np.argsort(owner, kind="stable")
+    return total[order], owner[order]
 
 
 def made_batch(kept: pa.RecordBatch, names: list[str], arrays: dict[str, pa.Array]) -> pa.RecordBatch:

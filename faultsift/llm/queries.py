@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultsift.llm import bpe, topk, url_filter
+from faultsift.llm import bpe, decontaminate, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,20 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
 
 
+def with_verdict(found: DataFrame) -> DataFrame:
+    """Contaminated: some word is hit, and a twentieth of all words or more."""
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
+    ids = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return with_verdict(found).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(ids.cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"),
              ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -36,4 +50,4 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_top_k, op6_url_filters)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_top_k, op5_decontamination, op6_url_filters)}
