@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultsift.llm import bpe, decontaminate, topk, url_filter
+from faultsift.llm import bpe, decontaminate, quality, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bucket(n: int) -> Column:
+    """crc32 of the id as text, mod n; what holds documents out."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), bucket(3) != 1)
+    return quality.score(docs, model).select("doc_id", (bucket(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     tokens = bpe.encode(table(spark, sf_dir, "documents"), *source)
@@ -50,4 +61,4 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_top_k, op5_decontamination, op6_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_top_k, op5_decontamination, op6_url_filters)}
