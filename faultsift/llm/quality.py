@@ -11,16 +11,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.batches import ODD, carried, made_batch, raw_bytes, text_slices
+from faultsift.llm.batches import NONBLANK, ODD, Words, carried, made_batch, raw_bytes, text_slices
 
 SINGLES, PAIRS, TRIPLES = 256, 1 << 16, 1 << 16
-FEATURES = SINGLES + PAIRS + TRIPLES
+RUNS = (2, 3, 4, 6, 8)  # n-grams of one repeated word, whichever it is
+FEATURES = SINGLES + PAIRS + TRIPLES + len(RUNS)
 ROWS_AT_ONCE = 128
 
 
 def indicators(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, row bounds, features) for blocks of rows: which runs of one, two and three bytes
-    each text has. Singles and pairs have a feature of their own, triples share 65,536 by hash."""
+    each text has, and how long the runs of one word are. Singles and pairs have a feature of their own,
+    triples share 65,536 by hash."""
+    words = Words(data, offsets, NONBLANK)
+    hashes = words.hashes()
+    again = np.zeros(len(words), bool)
+    again[1:] = (hashes[1:] == hashes[:-1]) & (words.row[1:] == words.row[:-1])
+    starts = np.flatnonzero(~again)
+    length = np.diff(np.append(starts, len(words)))
+    runs = [words.row[starts[length >= n]] for n in RUNS]
     for at in range(0, len(offsets) - 1, ROWS_AT_ONCE):
         bounds = offsets[at:at + ROWS_AT_ONCE + 1]
         text = data[bounds[0]:bounds[-1]].astype(np.uint32)
@@ -37,6 +46,8 @@ def indicators(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.
             feature = code if size == 2 else (
                 code.astype(np.uint64) * ODD >> np.uint64(48)).astype(np.int64)
             there[(owner[:len(code)] * FEATURES + base + feature)[own]] = True
+        for i, own in enumerate(runs):
+            there[(own[(own >= at) & (own < at + rows)] - at) * FEATURES + SINGLES + PAIRS + TRIPLES + i] = True
         found = np.flatnonzero(there)
         upto = np.searchsorted(found, np.arange(rows + 1) * FEATURES)
         yield at, upto, found - np.repeat(np.arange(rows) * FEATURES, np.diff(upto))
@@ -87,7 +98,7 @@ class QualityModel:
         return out
 
 
-def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, cost: np.ndarray, features: int,
+def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, cost: float, features: int,
                  rounds: int, seed: int) -> tuple[np.ndarray, float]:
     """Weights and bias of the hinge loss: one dual variable at a time is set to its best value."""
     weights, bias = np.zeros(features), 0.0
@@ -99,7 +110,7 @@ def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, co
         for i in random.permutation(len(rows)):
             at, value = rows[i]
             slope = sign[i] * (float(weights[at] @ value) + bias) - 1.0
-            new = min(max(alpha[i] - slope / curve[i], 0.0), cost[i])
+            new = min(max(alpha[i] - slope / curve[i], 0.0), cost)
             step = (new - alpha[i]) * sign[i]
             if step:
                 alpha[i] = new
@@ -168,8 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_column: str = "
     if good[fitted].all() or not good[fitted].any():
         fitted[:] = True
     pick = np.flatnonzero(fitted)
-    weight = np.where(good, len(good) / (2 * max(good.sum(), 1)), len(good) / (2 * max((~good).sum(), 1))) * cost
-    weights, bias = dual_descent([rows[i] for i in pick], sign[pick], weight[pick], FEATURES, rounds, seed)
+    weights, bias = dual_descent([rows[i] for i in pick], sign[pick], cost, FEATURES, rounds, seed)
     aside = np.flatnonzero(~fitted) if not fitted.all() else pick
     margin = np.array([float(weights[rows[i][0]] @ rows[i][1]) + bias for i in aside])
     slope, shift = _calibrated(margin, good[aside])
