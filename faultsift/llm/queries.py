@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultsift.llm import bpe, decontaminate, quality, topk, url_filter
+from faultsift.llm import bpe, decontaminate, neardup, quality, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,4 +61,9 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_top_k, op5_decontamination, op6_url_filters)}
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicate_classes(table(spark, sf_dir, "documents"), size=5, threshold=0.8)
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_top_k, op5_decontamination, op6_url_filters, op7_near_duplicates)}
