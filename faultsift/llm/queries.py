@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultsift.llm import bpe, decontaminate, neardup, quality, topk, url_filter
+from faultsift.llm import bpe, decontaminate, neardup, quality, secrets, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,14 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(secrets.described(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        secrets.described(F.col("spans")).alias("spans"))
+
+
 def with_verdict(found: DataFrame) -> DataFrame:
     """Contaminated: some word is hit, and a twentieth of all words or more."""
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
@@ -66,4 +74,4 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_size")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_top_k, op5_decontamination, op6_url_filters, op7_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_top_k, op4_secrets, op5_decontamination, op6_url_filters, op7_near_duplicates)}
