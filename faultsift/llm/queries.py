@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultsift.llm import bpe, decontaminate, neardup, pitman_yor, quality, secrets, topk, url_filter
+from faultsift.llm import bpe, decontaminate, language_id, neardup, pitman_yor, quality, secrets, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,4 +80,10 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_top_k, op4_secrets, op5_decontamination, op6_url_filters, op7_near_duplicates, op9_lm_scoring)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, bucket(5) != 0)
+    return language_id.identify(docs, model).select("doc_id", (bucket(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_top_k, op4_secrets, op5_decontamination, op6_url_filters, op7_near_duplicates, op9_lm_scoring, op10_language_id)}
