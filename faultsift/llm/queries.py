@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultsift.llm import bpe, decontaminate, language_id, neardup, pitman_yor, quality, secrets, topk, url_filter
+from faultsift.llm import bpe, decontaminate, language_id, neardup, packing, pitman_yor, quality, secrets, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_size")
 
 
+def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), length=8192, text_column="text")
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = pitman_yor.score(table(spark, sf_dir, "documents"), bucket(7) != 2)
     return scored.select("doc_id", (bucket(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens",
@@ -86,4 +90,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", (bucket(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_top_k, op4_secrets, op5_decontamination, op6_url_filters, op7_near_duplicates, op9_lm_scoring, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_top_k, op4_secrets, op5_decontamination, op6_url_filters, op7_near_duplicates, op8_packed_ids, op9_lm_scoring, op10_language_id)}
