@@ -143,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_column: str = "
         seed: int = 7) -> QualityModel:
     """Learns from the labelled documents for which `train`, an expression on the id, holds.
 
-    The log-count ratios come from all of them, counted by Spark. The support vector machine is fitted
+    The log-count ratios come from all of them, counted by Spark; labels are joined by a sort-merge join
+    at every size, as they grow with the documents. The support vector machine is fitted
     to `max_train` of them at most (those of least hash of the id; this bound is the memory and time
     of the fit, which runs in the driver), calibrated on every fifth. Labels other than 0 and 1
     and null ids are left out; a document with several labels counts once for each. If a class has no
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_column: str = "
                 .select(F.col(id_column).alias("__id"), F.col(label_column).cast("int").alias("__label")))
     texts = docs.select(F.col(id_column).alias(id_column), F.coalesce(text_column, F.lit("")).alias("__text")).where(train)
     joined = lambda side: texts.join(side, texts[id_column] == F.col("__id"))
-    counts, classes = class_counts(joined(labelled), "__text", "__label")
+    counts, classes = class_counts(joined(labelled.hint("merge")), "__text", "__label")
     if not classes.all():
         known = max(classes.sum(), 1)
         share = min(max(classes[1] / known, 1e-6), 1 - 1e-6) if classes.sum() else 0.5
