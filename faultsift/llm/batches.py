@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD6E8FEB86659FD93
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python in Arrow batches of 8 MB at most (or one row), so long texts do not pile up
+    in a task. A session that already asks for less keeps it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.sub(r"[^0-9]", "", spark.conf.get(name)) or 0)
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def carried(df: DataFrame, carry: tuple[str, ...], made: T.StructType) -> list[T.StructField]:
     """The input columns to keep beside the made ones; a made column wins a clash of names."""
     taken = {f.name.lower() for f in made}

@@ -14,13 +14,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from faultsift.llm.batches import carried, made_batch, text_slices
+from faultsift.llm.batches import bounded_batches, carried, made_batch, text_slices
 
 NO_RANK = np.int32(2**31 - 1)
 LONGEST_ROW = 256      # bytes of a piece in a matrix; longer ones merge by a heap
 ROWS_AT_ONCE = 1 << 15
 IDS_AT_ONCE = 1 << 20
-KEPT_PIECES = 400_000  # remembered by a task at most, and their bytes
+KEPT_PIECES = 150_000  # remembered by a task at most, and their bytes
 KEPT_BYTES = 16 << 20
 
 
@@ -232,6 +232,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text_column: str = "text
     empty and have no ids. Repeated rows stay; an empty table gives no rows; a carried column
     named `ids` is left out. `path` is read by every worker, so it must be installed on all.
     """
+    bounded_batches(docs.sparkSession)
     made = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
     kept = carried(docs, carry, made)
     names = [f.name for f in kept]
@@ -253,6 +254,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, *, ids_column: str = "ids
            carry: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
     """The carried columns and `decoded`, the bytes that the ids stand for. Null ids decode to
     nothing; an id outside the vocabulary is an error."""
+    bounded_batches(tokens.sparkSession)
     made = T.StructType([T.StructField("decoded", T.BinaryType(), False)])
     kept = carried(tokens, carry, made)
     names = [f.name for f in kept]

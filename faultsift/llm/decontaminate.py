@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.batches import Words, carried, grams, made_batch, raw_bytes, text_slices
+from faultsift.llm.batches import Words, bounded_batches, carried, grams, made_batch, raw_bytes, text_slices
 from faultsift.llm.bpe import gather
 
 SHINGLE = 3
@@ -172,6 +172,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, t
     by position; the others are compared word by word.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     pairs = item_windows(items, window, item_column, item_text)
     total = pairs.count()
     sets = max(1, -(-total // windows_at_once))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.batches import carried, made_batch, raw_bytes, text_slices
+from faultsift.llm.batches import bounded_batches, carried, made_batch, raw_bytes, text_slices
 
 UNITS = 8           # of the state, per direction
 LENGTH = 64         # bytes of a window; every byte of a text is in one
@@ -154,6 +154,7 @@ def fit(docs: DataFrame, train: Column, *, id_column: str = "doc_id", text_colum
     """Learns from `max_per_language` documents of each language at most (of those for which `train`
     holds and whose language is known: by hash of the id), and `windows_per_text` random windows of each whole text;
     this bounds the memory and time of the fit, which runs in the driver. None without a usable document."""
+    bounded_batches(docs.sparkSession)
     known = docs.where(train & F.col(lang_column).isNotNull() & F.col(text_column).rlike(r"\p{L}"))
     known = known.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("__text"),
                          F.pmod(F.xxhash64(id_column, F.lit(seed)), F.lit(1 << 30)).alias("turn"))
@@ -194,6 +195,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, *, text_column: str =
     the first language in order. Repeated rows stay; an empty table gives no rows; carried columns
     with made names are left out.
     """
+    bounded_batches(docs.sparkSession)
     made = T.StructType([T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)])
     kept = carried(docs, carry, made)
     names = [f.name for f in kept]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.batches import ODD, Words, mix, raw_bytes, shingles, text_slices
+from faultsift.llm.batches import ODD, Words, bounded_batches, mix, raw_bytes, shingles, text_slices
 from faultsift.session import scratch_path
 
 LOW48 = np.uint64((1 << 48) - 1)
@@ -205,7 +205,7 @@ def near_duplicate_classes(docs: DataFrame, *, id_column: str = "doc_id", text_c
     compared with all members met around that hub, block by block, of which only a spanning forest returns; so no link
     between classes is lost and no group is ever expanded into pairs.
     """
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     rows = _written(_signed(docs.withColumn(text_column, F.coalesce(text_column, F.lit(""))), id_column, text_column,
                             size, bands, band_rows), "rows")
     key = F.struct(F.col("id").isNull().alias("none"), "id", "h")

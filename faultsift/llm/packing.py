@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.batches import raw_bytes, text_slices
+from faultsift.llm.batches import bounded_batches, raw_bytes, text_slices
 from faultsift.llm.bpe import gather
 
 END_OF_TEXT = 256        # after the 256 byte ids
@@ -133,6 +133,7 @@ def pack(docs: DataFrame, *, length: int = 8192, id_column: str = "doc_id", text
     """
     if (text_column is None) == (ids_column is None):
         raise ValueError("give either text_column or ids_column")
+    bounded_batches(docs.sparkSession)
     made = _schema(docs.schema[id_column].dataType)
     wide = np.dtype("<u2") if max(vocabulary, end_id + 1, pad_id + 1) <= 1 << 16 else np.dtype("<u4")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.batches import NONBLANK, ODD, Words, carried, made_batch, raw_bytes, text_slices
+from faultsift.llm.batches import NONBLANK, ODD, Words, bounded_batches, carried, made_batch, raw_bytes, text_slices
 
 SINGLES, PAIRS, TRIPLES = 256, 1 << 16, 1 << 16
 RUNS = (2, 3, 4, 6, 8)  # n-grams of one repeated word, whichever it is
@@ -150,6 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_column: str = "
     and null ids are left out; a document with several labels counts once for each. If a class has no
     example, every score is the share of the other.
     """
+    bounded_batches(docs.sparkSession)
     labelled = (labels.where(F.col(label_column).isin(0, 1))
                 .select(F.col(id_column).alias("__id"), F.col(label_column).cast("int").alias("__label")))
     texts = docs.select(F.col(id_column).alias(id_column), F.coalesce(text_column, F.lit("")).alias("__text")).where(train)
@@ -195,6 +196,7 @@ def score(docs: DataFrame, model: QualityModel, *, text_column: str = "text",
     score of the model's bias. Repeated rows stay; an empty table gives no rows; a carried column named
     `score` or `predicted` is left out.
     """
+    bounded_batches(docs.sparkSession)
     made = T.StructType([T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False)])
     kept = carried(docs, carry, made)
     names = [f.name for f in kept]

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultsift.llm.batches import bounded_batches
+
 EXACT = float(1 << 53)
 GROUP_VALUES = 1 << 23  # components of the blocks a task holds at a time
 
@@ -106,6 +108,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, scale: int =
     rank filter takes the best.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     table = quantised(vectors, scale, id_column, vector_column)
     asked = quantised(queries, scale, id_column, vector_column).distinct()
     total, width = asked.agg(F.count("*"), F.max(F.size("q"))).first()
