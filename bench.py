@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,6 +31,7 @@ def main() -> None:
     from faultsift.session import build_session
 
     spark = build_session("bench", f"local[{cpus}]", **{
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-shared-"),
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false",
         "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g")})
     spark.sparkContext.setLogLevel("ERROR")

@@ -45,7 +45,7 @@ class Params:
     z_sigma_floor: float = 1.0
     poisson_probability: float = 0.001
     poisson_lambda_floor: float = 0.1
-    poisson_max_terms: int = 200
+    poisson_max_terms: int | None = None  # 200 stops the sum as the original does
     active_detector: str = "ewma"
     # hindsight
     score_after_hours: int = 3

@@ -53,7 +53,7 @@ def _starts_with_any(c: Column, prefixes) -> Column:
 
 def declared_platform(name: Column) -> Column:
     """Wire name to platform: a known alias, else 'unknown'."""
-    key = F.lower(F.trim(name))
+    key = F.lower(F.btrim(name, F.lit("".join(map(chr, range(33))))))
     return (F.when(key.isin(*JAVA_ALIASES), F.lit("java"))
             .when(key.isin(*JAVASCRIPT_ALIASES), F.lit("javascript"))
             .otherwise(F.lit("unknown")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,30 +37,51 @@ def ewma(h: Column, alpha: float) -> Column:
     return F.when(F.size(h) > 0, folded).otherwise(0.0)
 
 
-def poisson_tail(observed: Column, rate: Column, max_terms: int | None) -> Column:
-    """P(X >= observed), term by term and at most ``max_terms`` of them.
+def _log_factorial(k: Column) -> Column:
+    """ln k!: a table up to 20, Stirling's series beyond (relative error below 1e-15)."""
+    x = k + 1.0
+    series = ((x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi)
+              + (1 / 12 - (1 / 360 - 1 / 1260 / (x * x)) / (x * x)) / x)
+    return F.when(k <= 20, F.log(F.factorial(F.least(k, F.lit(20)).cast("int")))).otherwise(series)
+
+
+def _log_term(k: Column, rate: Column) -> Column:
+    return k * F.log(rate) - rate - _log_factorial(k)
 
-    With ``max_terms=None`` the terms are summed in log space: exact for busy groups too,
-    where exp(-rate) underflows and the capped sum would report 1.
+
+def poisson_tail(observed: Column, rate: Column, max_terms: int | None = None) -> Column:
+    """P(X >= observed).
+
+    The terms are added from ``observed`` away from the mode (upwards above the rate, downwards
+    below it) until they vanish, about 9 sqrt(rate) of them, so a tail of any size has its digits.
+    With ``max_terms`` the head is added term by term, at most that many, and taken from 1: a
+    compatible form, which sees nothing beyond that count.
     """
-    last = observed - 1
     if max_terms is not None:
-        last = F.least(last, F.lit(max_terms))
+        return _head_tail(observed, rate, max_terms)
+    terms = F.sequence(F.lit(0), (F.ceil(9 * F.sqrt(rate)) + 30).cast("int"))
+    above = F.struct(F.exp(_log_term(observed, rate)).alias("t"), F.lit(0.0).alias("c"))
+    up = F.aggregate(terms, above, lambda a, j: F.struct(
+        (a["t"] * (rate / (observed + j + 1))).alias("t"), (a["c"] + a["t"]).alias("c")))["c"]
+    below = F.struct(F.exp(_log_term(observed - 1, rate)).alias("t"), F.lit(0.0).alias("c"))
+    down = F.aggregate(terms, below, lambda a, j: F.struct(
+        (a["t"] * (F.greatest(observed - 1 - j, F.lit(0)) / rate)).alias("t"),
+        (a["c"] + a["t"]).alias("c")))["c"]
+    return (F.when(observed <= 0, 1.0).when(observed > rate, up)
+            .otherwise(F.greatest(F.lit(0.0), 1.0 - down)))
+
+
+def _head_tail(observed: Column, rate: Column, max_terms: int) -> Column:
+    last = F.least(observed - 1, F.lit(max_terms))
     # sequence() would count down from 1 to 0.
     ks = F.when(last >= 1, F.sequence(F.lit(1), last.cast("int"))).otherwise(
         F.array().cast("array<int>"))
-    if max_terms is None:
-        start = F.struct((-rate).alias("t"), F.exp(-rate).alias("c"))
+    start = F.struct(F.exp(-rate).alias("t"), F.exp(-rate).alias("c"))
 
-        def step(a, k):
-            t = a["t"] + F.log(rate / k)
-            return F.struct(t.alias("t"), (a["c"] + F.exp(t)).alias("c"))
-    else:
-        start = F.struct(F.exp(-rate).alias("t"), F.exp(-rate).alias("c"))
+    def step(a, k):
+        t = a["t"] * (rate / k)
+        return F.struct(t.alias("t"), (a["c"] + t).alias("c"))
 
-        def step(a, k):
-            t = a["t"] * (rate / k)
-            return F.struct(t.alias("t"), (a["c"] + t).alias("c"))
     below = F.aggregate(ks, start, step)["c"]
     return F.when(observed <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - below))
 
@@ -141,9 +164,15 @@ def first_firing_counts(observed: Column, p: Params = DEFAULTS) -> Column:
         def fires(c):
             return (c - F.col("_mean")) / spread > p.z_threshold
     elif p.active_detector == "poisson":
-        # Past the last term the tail no longer moves.
-        top = F.least(observed, F.lit(p.poisson_max_terms + 1).cast("bigint"))
-        counts = F.sequence(floor, F.greatest(top, floor))
+        if p.poisson_max_terms is None:
+            # Chernoff's bound puts the crossing at most this far above the rate.
+            need = -math.log(p.poisson_probability)
+            over = need / 3 + F.sqrt(need * need / 9 + 2 * need * F.col("_rate"))
+            low = F.greatest(F.floor("_rate"), floor)
+            top = F.least(observed, F.ceil(F.col("_rate") + over) + 1)
+        else:  # past the last term the tail no longer moves
+            low, top = floor, F.least(observed, F.lit(p.poisson_max_terms + 1).cast("bigint"))
+        counts = F.sequence(low, F.greatest(top, low))
 
         def fires(c):
             return poisson_tail(c, F.col("_rate"), p.poisson_max_terms) < p.poisson_probability

@@ -77,8 +77,8 @@ def title(kind: Column, message: Column) -> Column:
     """``SimpleType: message`` cut to 200 characters, from already normalised parts."""
     simple = F.when(kind.endswith("."), kind).otherwise(F.substring_index(kind, ".", -1))
     full = F.when(is_blank(message), simple).otherwise(F.concat(simple, F.lit(": "), message))
-    return F.when(F.length(full) <= 200, full).otherwise(
-        F.concat(F.substring(full, 1, 199), F.lit("…")))
+    return F.when(~utf16_longer_than(full, 200), full).otherwise(
+        F.concat(truncate(full, 199), F.lit("…")))
 
 
 def utf16_longer_than(c: Column, limit: int) -> Column:
@@ -90,4 +90,9 @@ def utf16_longer_than(c: Column, limit: int) -> Column:
 
 
 def truncate(c: Column, limit: int) -> Column:
-    return F.substring(c, 1, limit)
+    """The first ``limit`` UTF-16 units; a pair that the cut would split is left out whole."""
+    units = F.encode(c, "UTF-16BE")
+    split = F.hex(F.substring(units, 2 * limit - 1, 1)).between("D8", "DB")
+    kept = F.when(split, limit - 1).otherwise(limit)
+    return F.when(utf16_longer_than(c, limit), F.decode(
+        F.substring(units, F.lit(1), 2 * kept), "UTF-16BE")).otherwise(c)

@@ -110,8 +110,7 @@ def firing_points(rollups: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 def spike_instants(events: DataFrame, points: DataFrame) -> DataFrame:
     """The first event of each firing bucket at which the detector fires."""
     keyed = events.withColumn("hour", hour_of())
-    return locate_nth(keyed, points.select("group_id", "hour", "n", "size"),
-                      ["group_id", "hour"])
+    return locate_nth(keyed, points.select("group_id", "hour", "n"), ["group_id", "hour"])
 
 
 def spike_candidates(events: DataFrame, instants: DataFrame) -> DataFrame:
@@ -269,5 +268,7 @@ def fold_deliveries(alerts: DataFrame, attempts: DataFrame,
 # -- F5 --------------------------------------------------------------------------------------------------
 def alert_feed(alerts: DataFrame, groups: DataFrame, limit: int = 50) -> DataFrame:
     """Newest alerts first, with their service; ties by id."""
-    return (alerts.join(groups.select("group_id", "service"), "group_id")
-            .orderBy(F.desc("created_at"), "alert_id").limit(limit))
+    newest = [F.desc("created_at"), F.col("alert_id")]
+    # Every alert has its group, so the newest can be taken before the join.
+    return (alerts.orderBy(*newest).limit(limit)
+            .join(groups.select("group_id", "service"), "group_id").orderBy(*newest))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from faultsift.contracts import DEFAULTS, Params
 from faultsift.functions import text as tx
 from faultsift.functions.fingerprint import with_fingerprint
-from faultsift.operators.ranks import MAP_SIDE_LIMIT, first_n, locate_nth
+from faultsift.operators.ranks import locate_nth
 
 # ---- fixed values: wire field, column, longest accepted value, must it be present ----
 FIELD_RULES = (
@@ -188,21 +188,15 @@ def sampled_counts(rollups: DataFrame, cap: int) -> DataFrame:
 def apply_hourly_cap(events: DataFrame, rollups: DataFrame, cap: int) -> DataFrame:
     """Past ``cap`` events in a group's hour, keep the count but drop trace and payload.
 
-    Only the cap-th event of each hour is located (a rank limit that Spark applies in every
-    map task, for the caps in use); every event is then compared with that one position.
-    No window ever holds a whole hour of a busy group.
+    Only the cap-th event of each full hour is located, by counting; every event is then compared
+    with that one position, and events of other hours are not joined at all where Spark can
+    tell. No window ever holds a whole hour of a busy group.
     """
     keys = ["group_id", "hour"]
     keyed = events.withColumn("hour", hour_of())
-    if cap <= MAP_SIDE_LIMIT:
-        narrow = keyed.select(*keys, "received_at", "event_id")
-        last_kept = first_n(narrow, keys, cap).filter(F.col("rank") == cap).select(
-            *keys, F.col("received_at").alias("nth_at"), F.col("event_id").alias("nth_id"))
-    else:
-        full = rollups.filter(F.col("event_count") > cap).select(
-            "group_id", F.col("bucket_start").alias("hour"), F.lit(cap).alias("n"),
-            F.col("event_count").alias("size"))
-        last_kept = locate_nth(keyed, full, keys).drop("n")
+    full = rollups.filter(F.col("event_count") > cap).select(
+        "group_id", F.col("bucket_start").alias("hour"), F.lit(cap).alias("n"))
+    last_kept = locate_nth(keyed, full, keys).drop("n")
     # An hour that is not full has no limit (and a struct of nulls would compare as lowest).
     sampled = F.col("nth_at").isNotNull() & (
         F.struct("received_at", "event_id") > F.struct("nth_at", "nth_id"))

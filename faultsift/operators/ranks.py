@@ -8,50 +8,40 @@ from pyspark.sql import functions as F
 from faultsift.session import cut
 
 
-PREFIX = 4  # leading characters of an event id, the last and finest cell
-RANKED_AT_ONCE = 1_000_000  # keys up to this size are simply ranked
-MAP_SIDE_LIMIT = 1000  # Spark limits ranks up to this map-side
+ID_STEP = 4  # leading characters by which a cell of one microsecond is narrowed at a time
+LAST_CELL = 10_000  # events of a cell that are ranked together
 
 
 def locate_nth(events: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """Order position of the n-th event by (received_at, event_id) for each target key.
 
-    ``targets`` holds ``keys`` (ending in an hour), ``n`` and ``size``, the key's number of
-    events; the result has keys, n, ``nth_at`` and ``nth_id``. Keys of bounded size are
-    ranked; larger ones, if there are any, are searched by counting.
+    ``targets`` holds ``keys`` (ending in an hour) and ``n``; the result has keys, n, ``nth_at``
+    and ``nth_id``. It is found by narrowing down: events per second of the hour are counted, then
+    per microsecond of the second in which n falls, then per id prefix, four characters
+    longer each time, until the cell is small. Counts combine map-side, each running sum covers at
+    most 3600, a million and a prefix alphabet's worth of rows, and only the last cell's
+    events are ranked. A key, an hour, a second or a prefix that holds a third of all rows
+    therefore never meets in one task.
     """
+    targets = targets.select(*keys, "n")
     rows = events.select(*keys, "received_at", "event_id")
-    large = targets.filter(F.col("size") > RANKED_AT_ONCE).select(*keys, "n")
-    small = targets.filter(F.col("size") <= RANKED_AT_ONCE).select(*keys, "n")
-    order = Window.partitionBy(*keys).orderBy("received_at", "event_id")
-    found = (rows.join(small, keys)
-             .withColumn("_rn", F.row_number().over(order))
-             .filter(F.col("_rn") == F.col("n"))
-             .select(*keys, "n", F.col("received_at").alias("nth_at"),
-                     F.col("event_id").alias("nth_id")))
-    if large.isEmpty():
-        return found
-    return found.unionByName(search_nth(rows, large, keys))
-
-
-def search_nth(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    """``locate_nth`` for keys of any size, by narrowing down.
-
-    Events per second of the hour are counted, then per microsecond of the second in which
-    n falls, then per id prefix of that microsecond. Counts combine map-side, each running
-    sum covers at most 3600, a million and a prefix alphabet's worth of rows, and only the
-    last cell's events are ranked. A key, an hour or a second that holds a third of all
-    rows therefore never meets in one task.
-    """
     wanted = rows.join(targets.select(*keys), keys, "left_semi")
     coarse = _narrow(wanted, targets.select(*keys, F.col("n").alias("_left")), keys,
                      F.unix_seconds("received_at"))
     # One second per key is left: write it down rather than scan the events again.
-    second = cut(coarse)
-    fine = cut(_narrow(second.drop("_left"), second.select(*keys, "_left").distinct(), keys,
+    cell = cut(coarse)
+    cell = cut(_narrow(cell.drop("_left"), cell.select(*keys, "_left").distinct(), keys,
                        F.unix_micros("received_at")))
-    cell = _narrow(fine.drop("_left"), fine.select(*keys, "_left").distinct(), keys,
-                   F.substring("event_id", 1, PREFIX))
+    prefix = 0
+    while True:
+        sizes = cell.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                        F.max(F.length("event_id")).alias("_length"))
+        large = sizes.filter((F.col("_n") > LAST_CELL) & (F.col("_length") > prefix))
+        if large.isEmpty():
+            break
+        prefix += ID_STEP
+        cell = cut(_narrow(cell.drop("_left"), cell.select(*keys, "_left").distinct(), keys,
+                           F.substring("event_id", 1, prefix)))
     order = Window.partitionBy(*keys).orderBy("event_id")
     return (cell.withColumn("_rn", F.row_number().over(order))
             .filter(F.col("_rn") == F.col("_left"))

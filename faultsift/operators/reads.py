@@ -19,7 +19,9 @@ def matching(groups: DataFrame, service: str | None = None, status: str | None =
     if status:
         groups = groups.filter(F.col("status") == status)
     if q:
-        groups = groups.filter(F.col("title").ilike(f"%{q}%"))
+        # A backslash stands for itself; % and _ stay wildcards.
+        escaped = q.replace("\\", "\\\\")
+        groups = groups.filter(F.col("title").ilike(f"%{escaped}%"))
     return groups
 
 
@@ -95,9 +97,9 @@ def overview_trend(rollups: DataFrame, groups: DataFrame, as_of: dt.datetime, wi
         "bucket", "day")
 
 
-def widened_overview(rollups: DataFrame, groups: DataFrame, as_of: dt.datetime,
-                     asked: str | None = None, **filters) -> DataFrame:
-    """Seven days, or thirty when no range was asked for and the seven are empty.
+def widened_overview(rollups: DataFrame, groups: DataFrame, events: DataFrame,
+                     as_of: dt.datetime, asked: str | None = None, **filters) -> DataFrame:
+    """Seven days, or thirty when no range was asked for, the seven are empty and events are stored.
 
     Both windows come from one pass; the choice is a column, not a second query.
     """
@@ -105,7 +107,7 @@ def widened_overview(rollups: DataFrame, groups: DataFrame, as_of: dt.datetime,
     week = F.date_trunc("day", F.lit(as_of).cast("timestamp")) - F.make_interval(days=F.lit(6))
     totals = daily.agg(
         F.sum(F.when(F.col("day") >= week, F.col("event_count"))).alias("_week"))
-    stored = rollups.agg(F.count(F.lit(1)).alias("_stored"))
+    stored = events.select(F.lit(1)).limit(1).agg(F.count(F.lit(1)).alias("_stored"))
     if asked is not None:
         wide = F.lit(asked == "30d")
     else:

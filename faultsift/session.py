@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,10 +36,15 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """The cluster's shared checkpoint folder; a temporary one only for a local master.
+
+    Executors of a cluster cannot see a folder on the driver's disk, so there the setting is required.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     active = spark.sparkContext.getCheckpointDir()
     if active is None:
+        if configured is None and not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-"))
         active = spark.sparkContext.getCheckpointDir()
     return (configured or active).rstrip("/")

@@ -417,17 +417,26 @@ SELECT t.{key}, t.bucket_start, t.event_count,
 FROM (SELECT *, min(bucket_start) OVER (PARTITION BY {key}) AS h0 FROM {rollup}) t"""
 
 
+def _poisson(n: str, rate: str) -> str:
+    """P(X >= n): the upper terms themselves above the rate, 1 less the lower ones below it."""
+    term = f"exp(k * ln({rate}) - {rate} - lgamma(k + 1))"
+    return (f"CASE WHEN {n} > {rate} THEN list_sum(list_transform(range({n}, {n} + (12 * sqrt({rate}))::BIGINT + 60), "
+            f"lambda k: {term})) ELSE 1 - list_sum(list_transform(range(0, {n}), lambda k: {term})) END")
+
+
 def _judged(history: str, key: str) -> str:
     return f"""
 SELECT *, n_hist >= 6 AND event_count >= 5 AND ewma_score > 3 AS ewma_fired,
   n_hist >= 6 AND event_count >= 5 AND z_score > 3 AS z_fired,
-  n_hist >= 6 AND event_count >= 5 AND tail < 0.001 AS p_fired
+  n_hist >= 6 AND event_count >= 5 AND tail < 0.001 AS p_fired,
+  n_hist >= 6 AND event_count >= 5 AND tail200 < 0.001 AS p200_fired
 FROM (SELECT *, event_count / greatest(ewma, 0.5) AS ewma_score,
     (event_count - mean) / greatest(sd, 1.0) AS z_score,
+    {_poisson('event_count', 'rate')} AS tail,
     greatest(0.0, 1 - list_reduce(list_prepend({{'t': exp(-rate), 'c': exp(-rate), 'k': 0}},
       list_transform(range(1, least(event_count - 1, 200) + 1),
         lambda i: {{'t': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 'k': i::INTEGER}})),
-      lambda a, x: {{'t': a.t * (rate / x.k), 'c': a.c + a.t * (rate / x.k), 'k': x.k}}).c) AS tail
+      lambda a, x: {{'t': a.t * (rate / x.k), 'c': a.c + a.t * (rate / x.k), 'k': x.k}}).c) AS tail200
   FROM (SELECT {key}, bucket_start, event_count, history, len(history) AS n_hist,
       list_reduce(list_transform(CASE WHEN len(history) = 0 THEN [0] ELSE history END,
         lambda x: x::DOUBLE), lambda a, x: 0.3 * x + (1 - 0.3) * a) AS ewma,
@@ -567,10 +576,12 @@ def _frames(lang: str) -> str:
 
 def _detector(name: str) -> str:
     return (f"SELECT group_id, bucket_start, is_active, fired, observed, round(baseline, 6) AS "
-            f"baseline, round(least(score, 9.0), 4) AS score, round(threshold::DOUBLE, 6) AS "
+            f"baseline, round(score, 4) AS score, round(threshold::DOUBLE, 6) AS "
             f"threshold FROM c_verdicts WHERE detector = '{name}'")
 
 
+_DENSE = ("SELECT event_type, make_timestamp(epoch_us(ts) // 24) AS moment, "
+          "lpad(CAST(event_id AS VARCHAR), 12, '0') AS event_id FROM events")
 _NONE = "coalesce({0}, '(none)')"
 _CLOCK = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 _BOXES = ("count(*) FILTER (outcome = 'true_positive') AS tp, "
@@ -669,6 +680,14 @@ QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY received_at, seq) = 1"
     "B13_hourly_cap": """SELECT event_id, group_id, hour_rank > 3 AS sampled,
   hour_rank <= 3 AND stacktrace IS NOT NULL AS keeps_trace,
   hour_rank <= 3 AND payload IS NOT NULL AS keeps_payload FROM c_ranked""",
+    "B13_default_cap": f"""SELECT event_id, n > 200 AS sampled, n <= 200 AS keeps_trace
+FROM (SELECT event_id, row_number() OVER (PARTITION BY date_trunc('hour', moment) ORDER BY moment, event_id) AS n
+  FROM ({_DENSE}))""",
+    "E9_default_threshold": f"""SELECT event_type AS group_id, moment AS at_time, event_id
+FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY moment, event_id) AS n
+  FROM (SELECT *, min(moment) OVER (PARTITION BY event_type) AS born FROM ({_DENSE}))
+  WHERE (epoch_us(moment) - epoch_us(born)) // 3600000000 <= 2)
+WHERE n >= 10""",
     "B14_attach": "SELECT event_id, group_id, fingerprint, fingerprint_version, "
                   "resolved_platform AS platform FROM c_ev",
     "B15_reconcile": """SELECT CAST(0 AS BIGINT) AS mismatches, count(*) AS events,
@@ -746,6 +765,13 @@ FROM c_states WHERE status = 'regressed' ORDER BY last_seen DESC, group_id DESC
     "E3_ewma": _detector("ewma"),
     "E4_zscore": _detector("zscore"),
     "E5_poisson": _detector("poisson"),
+    "E5_poisson_200_terms": """
+SELECT group_id, bucket_start, p200_fired AS fired, event_count AS observed, round(rate, 6) AS baseline
+FROM c_judged WHERE event_count >= 5""",
+    "E5_busy_surges": f"""
+SELECT o_orderdate, n AS orders, tail < 0.001 AS fires, round(-log10(greatest(tail, 1e-300)), 4) AS score
+FROM (SELECT *, {_poisson('(10 * n)', '(1.0::DOUBLE * n)')} AS tail
+  FROM (SELECT o_orderdate, count(*) AS n FROM orders GROUP BY 1))""",
     "E6_shadow_evaluation": """SELECT group_id, bucket_start, count(*) AS verdicts,
   count(*) FILTER (is_active) AS active, count(*) FILTER (fired) AS fired FROM c_verdicts
 GROUP BY ALL""",

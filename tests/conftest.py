@@ -13,8 +13,9 @@ HOUR = dt.datetime(2026, 8, 10, 12)
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session("tests", "local[8]", **{
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
         "spark.driver.memory": "6g"})
     session.sparkContext.setLogLevel("ERROR")

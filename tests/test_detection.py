@@ -82,6 +82,41 @@ def test_poisson_tail_and_stats(spark):
     assert got[4] == 1.0  # the capped sum cannot see past its terms
     exact = [r[0] for r in df.select(sr.poisson_tail(F.col("n"), F.col("r"), None)).collect()]
     assert exact[1] == pytest.approx(0.0803, abs=1e-4) and exact[4] < 0.001
+    assert exact[2] == 1.0 and exact[3] == 0.0
+
+
+def test_poisson_tail_keeps_its_digits(spark):
+    """Against exact rational sums, from common counts to a tenfold surge."""
+    cases = [(1, 0.1), (5, 0.1), (20, 4.5), (21, 4.5), (30, 4.5), (60, 45.0), (300, 300.0), (250, 300.0),
+             (400, 300.0), (600, 300.0), (3000, 2500.0), (40, 2.0)]
+    df = spark.createDataFrame(cases, "n int, r double")
+    got = [r[0] for r in df.select(sr.poisson_tail(F.col("n"), F.col("r"))).collect()]
+    for (n, rate), tail in zip(cases, got, strict=True):
+        term = math.exp(n * math.log(rate) - rate - math.lgamma(n + 1))
+        want, k = 0.0, n
+        while term > 1e-320 and k < n + 4000:
+            want, k = want + term, k + 1
+            term *= rate / k
+        assert tail == pytest.approx(want, rel=1e-9), (n, rate)
+
+
+def test_a_tenfold_surge_of_a_busy_group_fires(spark):
+    p = dataclasses.replace(DEFAULTS, active_detector="poisson")
+    r = rollups(spark, [("g", hours_ago(h), 300) for h in range(1, 25)] + [("g", hours_ago(0), 3000)])
+    fired = {(v.detector, v.fired) for v in detect.observe(r, p).collect() if v.observed == 3000}
+    assert ("poisson", True) in fired
+    old = dataclasses.replace(p, poisson_max_terms=200)
+    assert ("poisson", False) in {(v.detector, v.fired) for v in detect.observe(r, old).collect()
+                                  if v.observed == 3000}
+    busy = detect.with_history(r, p).filter("event_count = 3000")
+    n = sr.with_statistics(busy, "event_count", p).select(
+        F.explode(sr.first_firing_counts(F.col("event_count"), p))).first()[0]
+    tails = spark.createDataFrame([(n, 300.0), (n - 1, 300.0)], "n long, r double").select(
+        sr.poisson_tail(F.col("n"), F.col("r"))).collect()
+    assert tails[0][0] < 0.001 <= tails[1][0]
+
+
+def test_a_history_of_one_or_no_hour(spark):
     h = spark.createDataFrame([([0, 0, 0, 0, 1],), ([],), ([3],)], "history array<bigint>")
     rows = detect.series_stats(h).collect()
     assert (rows[0]["zero_share"], rows[0]["mean"]) == (0.8, 0.2)

@@ -60,18 +60,23 @@ def test_cap_keeps_first_of_the_hour(spark):
     assert ingest.reconcile_counts(ingest.build_groups(events), ingest.rollup(events)).count() == 0
 
 
-def test_large_caps_agree_with_small_ones(spark, monkeypatch):
+def test_cap_cuts_within_an_instant(spark):
     rows = [raw_event(f"e{i:02d}", NOW + dt.timedelta(microseconds=i // 3), payload="{}")
             for i in range(30)]
     events = ingest.store(raw(spark, rows))
     rolled = ingest.rollup(events)
-    ask = lambda: sorted((r.event_id, r.sampled) for r in
-                         ingest.apply_hourly_cap(events, rolled, 20).collect())
-    by_limit = ask()
-    monkeypatch.setattr(ingest, "MAP_SIDE_LIMIT", 10)
-    by_rank = ask()
-    monkeypatch.setattr(ranks, "RANKED_AT_ONCE", 10)
-    assert by_limit == by_rank == ask() and sum(s for _, s in by_limit) == 10
+    capped = ingest.apply_hourly_cap(events, rolled, 20).collect()
+    assert sorted((r.event_id, r.sampled) for r in capped) == [
+        (f"e{i:02d}", i >= 20) for i in range(30)]
+
+
+def test_ids_with_a_long_common_start_are_narrowed_step_by_step(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "LAST_CELL", 5)
+    rows = [("g", NOW, f"evt-2024-{i:04d}") for i in range(120)]
+    events = spark.createDataFrame(rows, "group_id string, received_at timestamp, event_id string")
+    keyed = events.withColumn("hour", ingest.hour_of())
+    target = keyed.select("group_id", "hour").distinct().withColumn("n", F.lit(77))
+    assert ranks.locate_nth(keyed, target, ["group_id", "hour"]).first().nth_id == "evt-2024-0076"
 
 
 def test_receipts_and_summary(spark):
@@ -109,16 +114,14 @@ def test_missing_ids_are_repeatable(spark):
     assert once == twice and len(set(once)) == 2
 
 
-def test_locate_nth_against_ranking(spark, monkeypatch):
+def test_locate_nth_against_ranking(spark):
     """A hot key, ties on the second and on the instant."""
     events = spark.range(4000).select(
         F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("group_id"),
         F.timestamp_seconds(1_700_000_000 + (F.col("id") * 37) % 9000).alias("received_at"),
         F.col("id").cast("string").alias("event_id")).withColumn("hour", ingest.hour_of())
     targets = events.groupBy("group_id", "hour").agg(
-        (F.count("*") / 2).cast("int").alias("n"), F.count("*").alias("size")).filter("n > 0")
-    monkeypatch.setattr(ranks, "RANKED_AT_ONCE", 60)  # the hot key is searched, others ranked
-    assert 0 < targets.filter("size > 60").count() < targets.count()
+        (F.count("*") / 2).cast("int").alias("n")).filter("n > 0")
     got = {(r.group_id, r.hour): (r.nth_at, r.nth_id) for r in
            ranks.locate_nth(events, targets, ["group_id", "hour"]).collect()}
     want = {}

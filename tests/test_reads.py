@@ -31,16 +31,24 @@ def test_paging_sees_every_group_once(spark):
     assert [r.service for r in reads.list_services(groups).collect()] == ["svc0", "svc1"]
 
 
+def test_a_filter_with_a_backslash_matches_itself(spark):
+    groups = spark.createDataFrame([(r"at C:\work\a.js",), ("at C:/work",), ("100 %",)], "title string")
+    titles = lambda q: [r.title for r in reads.matching(groups, q=q).collect()]
+    assert titles(r"c:\WORK") == [r"at C:\work\a.js"] and len(titles("c:_work")) == 2
+
+
 def test_trend_widening_and_series(spark):
     groups = spark.createDataFrame([("g", "s", "open", "t")], "group_id string, service string, status string, title string")
     old = rollups(spark, [("g", hours_ago(24 * 10), 7)])
     daily = reads.overview_trend(old, groups, NOW, "30d", service="s").collect()
     assert len(daily) == 30 and sum(r.event_count for r in daily) == 7
     assert sum(r.event_count for r in reads.overview_trend(old, groups, NOW, "30d", service="x").collect()) == 0
-    assert reads.widened_overview(old, groups, NOW).count() == 30
-    assert reads.widened_overview(old, groups, NOW, asked="7d").count() == 7
+    events, none = old, old.limit(0)
+    assert reads.widened_overview(old, groups, events, NOW).count() == 30
+    assert reads.widened_overview(old, groups, none, NOW).count() == 7  # retention left no event
+    assert reads.widened_overview(old, groups, events, NOW, asked="7d").count() == 7
     new = rollups(spark, [("g", hours_ago(1), 7), ("g", hours_ago(23), 1), ("g", hours_ago(24), 9)])
-    assert reads.widened_overview(new, groups, NOW).count() == 7
+    assert reads.widened_overview(new, groups, events, NOW).count() == 7
     hourly = reads.group_series(new, "g", NOW, "24h").orderBy("iso").collect()
     assert len(hourly) == 24 and hourly[0].event_count == 1 and hourly[-2].event_count == 7
     assert hourly[-1].label == "12:00"
