@@ -150,12 +150,19 @@ def silence_candidates(rollups: DataFrame, timeline: DataFrame, params: Params =
                        every_hours: int = 1) -> DataFrame:
     """Sweeps that find a watched group gone quiet; groups without changes are open."""
     sweeps = gone_quiet_sweeps(rollups, params, every_hours)
-    covering = (sweeps.join(timeline, "group_id")
-                .filter((F.col("since") <= F.col("sweep_at"))
-                        & (F.col("until").isNull() | (F.col("sweep_at") < F.col("until"))))
-                .select("group_id", "sweep_at", "status"))
-    return (sweeps.join(covering, ["group_id", "sweep_at"], "left")
-            .filter(F.coalesce("status", F.lit("open")).isin("open", "regressed"))
+    # As-of lookup: sweeps and status spans on one time line per group, a span before equal sweeps.
+    line = (sweeps.select("group_id", F.col("sweep_at").alias("_t"), F.lit(1).alias("_turn"),
+                          F.lit(None).cast("struct<status:string,until:timestamp>").alias("_span"))
+            .unionByName(timeline.select("group_id", F.col("since").alias("_t"), F.lit(0).alias("_turn"),
+                                         F.struct("status", "until").alias("_span"))))
+    before = (Window.partitionBy("group_id").orderBy("_t", "_turn", F.asc_nulls_last("_span.until"))
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (line.withColumn("_last", F.last("_span", ignorenulls=True).over(before))
+            .filter("_turn = 1").withColumnRenamed("_t", "sweep_at")
+            .withColumn("_status", F.when(
+                F.col("_last.until").isNull() | (F.col("sweep_at") < F.col("_last.until")),
+                F.col("_last.status")))
+            .filter(F.coalesce("_status", F.lit("open")).isin("open", "regressed"))
             .select("group_id", F.lit("silence").alias("kind"), F.col("sweep_at").alias("at"),
                     F.lit("").alias("event_id")))
 

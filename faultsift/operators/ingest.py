@@ -118,14 +118,18 @@ def not_yet_stored(df: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 # -- raw feed to stored events -------------------------------------------------------------------
-def store(raw: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Valid, de-duplicated, fingerprinted events.
+def store(raw: DataFrame, params: Params = DEFAULTS,
+          stored: DataFrame | None = None) -> DataFrame:
+    """Valid, de-duplicated, fingerprinted events; those that are not in ``stored``, if given.
 
     De-duplication shuffles the narrow raw record; fingerprinting follows it, so the
     frames are computed once per stored event and never shuffled.
     """
     valid, _ = split_valid(assign_event_ids(raw))
-    return with_fingerprint(resolve_legacy(deduplicate(valid)), params.fingerprint_version)
+    fresh = deduplicate(valid)
+    if stored is not None:
+        fresh = not_yet_stored(fresh, stored)
+    return with_fingerprint(resolve_legacy(fresh), params.fingerprint_version)
 
 
 # -- B9, B10: rollups -------------------------------------------------------------------------------
@@ -170,6 +174,33 @@ def build_groups(events: DataFrame, cap: int = DEFAULTS.hourly_cap,
             .withColumn("sampled_count", F.coalesce("sampled_count", F.lit(0))))
 
 
+def merge_groups(old: DataFrame, new: DataFrame, rollups: DataFrame | None = None,
+                 cap: int = DEFAULTS.hourly_cap) -> DataFrame:
+    """Upsert of groups built from later events into the stored ones.
+
+    What is known stays: descriptors, first sighting and first release are the stored ones'; level, last
+    sighting and last release are the new ones'; counts add up. So nothing is lost when
+    retention has deleted the events behind a stored group. ``rollups``, already merged, gives the
+    sampled counts, as an hour may have begun in the old part.
+    """
+    part = F.col("_part")
+    rows = old.withColumn("_part", F.lit(0)).unionByName(new.withColumn("_part", F.lit(1)))
+    merged = rows.groupBy("group_id", "fingerprint", "fingerprint_version").agg(
+        F.min_by(F.struct(*_FIRST_WINS), part).alias("_first"), F.max_by("level", part).alias("level"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.sum("event_count").alias("event_count"),
+        F.min_by("release_first", F.when(F.col("release_first").isNotNull(), part)).alias("release_first"),
+        F.max_by("release_last", F.when(F.col("release_last").isNotNull(), part)).alias("release_last"),
+        F.sum("sampled_count").alias("_sampled"))
+    merged = merged.select("group_id", "fingerprint", "fingerprint_version", "_first.*", "level",
+                           "first_seen", "last_seen", "event_count", "release_first", "release_last",
+                           F.col("_sampled").alias("sampled_count"))
+    if rollups is None:
+        return merged
+    return (merged.drop("sampled_count").join(sampled_counts(rollups, cap), "group_id", "left")
+            .withColumn("sampled_count", F.coalesce("sampled_count", F.lit(0))))
+
+
 # -- B12 -----------------------------------------------------------------------------------------------
 def with_group_age(events: DataFrame, groups: DataFrame) -> DataFrame:
     """Whole hours between a group's first sighting and each of its events."""

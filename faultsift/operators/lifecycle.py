@@ -6,7 +6,7 @@ which single hour matters to a status change, and only that hour's events are re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from faultsift.operators.ingest import hour_of
@@ -17,11 +17,28 @@ def hourly_bounds(events: DataFrame) -> DataFrame:
             .agg(F.min("received_at").alias("min_at"), F.max("received_at").alias("max_at")))
 
 
+def _on_time_line(points: DataFrame, hours: DataFrame, at: str) -> DataFrame:
+    """Points and hours of a group on one time line (``_t``), an hour at its ``at`` and before equal
+    points: what an as-of lookup sorts. A group has as many rows as hours and changes."""
+    return (hours.select("group_id", F.col(at).alias("_t"), F.lit(0).alias("_turn"), "hour",
+                         F.lit(None).cast("timestamp").alias("at"))
+            .unionByName(points.select("group_id", F.col("at").alias("_t"), F.lit(1).alias("_turn"),
+                                       F.lit(None).cast("timestamp").alias("hour"), "at")))
+
+
+def _line(first: int, last: int) -> WindowSpec:
+    return Window.partitionBy("group_id").orderBy("_t", "_turn").rowsBetween(first, last)
+
+
 def first_event_after(events: DataFrame, points: DataFrame) -> DataFrame:
-    """First event strictly after each (group_id, at): adds next_at, next_id, next_release."""
-    hours = hourly_bounds(events)
-    target = (points.join(hours, "group_id").filter(F.col("max_at") > F.col("at"))
-              .groupBy("group_id", "at").agg(F.min("hour").alias("hour")))
+    """First event strictly after each (group_id, at): adds next_at, next_id, next_release.
+
+    Its hour is the first whose last event is later than the point; only that hour's events are read.
+    """
+    target = (_on_time_line(points, hourly_bounds(events), "max_at")
+              .select("group_id", "at", F.first("hour", ignorenulls=True)
+                      .over(_line(Window.currentRow, Window.unboundedFollowing)).alias("hour"))
+              .filter(F.col("at").isNotNull() & F.col("hour").isNotNull()))
     order = F.struct("received_at", "event_id")
     return (events.withColumn("hour", hour_of()).join(target, ["group_id", "hour"])
             .filter(F.col("received_at") > F.col("at"))
@@ -33,12 +50,16 @@ def first_event_after(events: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def last_release_before(events: DataFrame, points: DataFrame) -> DataFrame:
-    """Release of the last release-carrying event at or before each (group_id, at)."""
+    """Release of the last release-carrying event at or before each (group_id, at).
+
+    Its hour is the last whose first event is not later than the point.
+    """
     released = events.filter(F.col("release").isNotNull()).select(
         "group_id", "received_at", "event_id", "release")
-    hours = hourly_bounds(released)
-    target = (points.join(hours, "group_id").filter(F.col("min_at") <= F.col("at"))
-              .groupBy("group_id", "at").agg(F.max("hour").alias("hour")))
+    target = (_on_time_line(points, hourly_bounds(released), "min_at")
+              .select("group_id", "at", F.last("hour", ignorenulls=True)
+                      .over(_line(Window.unboundedPreceding, Window.currentRow)).alias("hour"))
+              .filter(F.col("at").isNotNull() & F.col("hour").isNotNull()))
     return (released.withColumn("hour", hour_of()).join(target, ["group_id", "hour"])
             .filter(F.col("received_at") <= F.col("at"))
             .groupBy("group_id", "at")

@@ -21,7 +21,7 @@ from faultsift.functions import text as tx
 from faultsift.operators import (alerts, detect, grouping, ingest, lifecycle, reads, reconcile,
                                  retention, similar)
 from faultsift.plans.warehouse import AS_OF, Warehouse, as_of
-from faultsift.session import scratch_path
+from faultsift.session import cut, scratch_path
 from faultsift.sources import sinks, tables, wire
 from faultsift.streaming import jobs
 
@@ -195,6 +195,65 @@ def B11_groups(w):
         "release_last", "sampled_count")
 
 
+def _in_parts(w, sweep_between: bool) -> DataFrame:
+    """The feed loaded in three parts into an event, a rollup and a group table."""
+    root, days = scratch_path(w.spark, "parts"), ("2024-01-11", "2024-01-21", "2025-01-01")
+    stored, groups, since = None, None, "2000-01-01"
+    for number, until in enumerate(days):
+        part = w.raw().filter((F.col("received_at") >= since) & (F.col("received_at") < until))
+        batch = cut(ingest.store(part, w.params, stored))
+        sinks.merge_partitions(ingest.rollup(batch), root, "rollups", ingest.merge_rollups)
+        rollups = sinks.read_table(w.spark, root, "rollups")
+        new = ingest.build_groups(batch, w.params.hourly_cap)
+        groups = cut(new if groups is None else
+                     ingest.merge_groups(groups, new, rollups, w.params.hourly_cap))
+        stored = batch if stored is None else stored.unionByName(batch)
+        if sweep_between:  # the two days before stay, as long as anything is delivered again
+            stored = retention.survivors(stored, F.lit(until).cast("timestamp"), F.lit(2))
+        since = until
+    return groups.select(*B11_COLUMNS[:8], F.col("fingerprint_input"), F.size("frames").alias("frame_count"),
+                         *B11_COLUMNS[8:])
+
+
+B11_COLUMNS = ["group_id", "fingerprint", "fingerprint_version", "service", "platform", "exception_type",
+               "title", "culprit", "degraded_reason", "level", "first_seen", "last_seen", "event_count",
+               "release_first", "release_last", "sampled_count"]
+
+
+@query
+def B11_groups_in_three_parts(w):
+    """Upserts part by part give the groups of the one-shot build; deliveries repeat across parts."""
+    return _in_parts(w, sweep_between=False)
+
+
+@query
+def B11_groups_outlive_retention(w):
+    """The same where each part's events are swept before the next comes."""
+    return _in_parts(w, sweep_between=True)
+
+
+@query
+def A3_observation_merge(w):
+    """Verdicts of the first half, then all from two days before on: known rows are replaced."""
+    root = scratch_path(w.spark, "a3-observations")
+    o = w.observations()
+    sinks.write_table(o.filter(F.col("bucket_start") < HALF).withColumn(
+        "fired", F.lit(False)), root, "observations")
+    sinks.merge_partitions(o, root, "observations", sinks.replacing(*sinks.OBSERVATION_KEYS))
+    return (sinks.read_table(w.spark, root, "observations").groupBy("detector", "fired")
+            .agg(_count().alias("verdicts"), F.count("outcome").alias("scored")))
+
+
+@query
+def A3_alert_merge(w):
+    """Alerts raised again keep their id, so a repeated run adds none."""
+    root = scratch_path(w.spark, "a3-alerts")
+    a = w.alerts()
+    sinks.write_table(a.filter(F.col("created_at") < HALF), root, "alerts")
+    sinks.merge_partitions(a, root, "alerts", sinks.replacing(*sinks.ALERT_KEYS))
+    return sinks.read_table(w.spark, root, "alerts").groupBy("kind").agg(_count().alias("alerts"))
+
+
 @query
 def B12_group_age(w):
     return ingest.with_group_age(w.events(), w.groups()).select("event_id", "age_hours")
@@ -514,7 +573,7 @@ def E5_poisson_200_terms(w):
 
 @query
 def E5_busy_surges(w):
-    """Ten times the rate of a busy hour, a hundred and more events: per customer and order day."""
+    """A tenfold surge over the orders of each day, term sums far from the mode."""
     daily = (w.source("orders").groupBy("o_orderdate").agg(_count().alias("n"))
              .select((F.col("n") * 10).alias("observed"), (F.col("n") * F.lit(1.0)).alias("rate"),
                      F.col("n").alias("orders"), "o_orderdate"))
@@ -679,18 +738,25 @@ def G2_bounded_delete(w):
 
 @query
 def G3_sweep_record(w):
-    gone = retention.expired(w.events(), as_of(), F.lit(14))
-    return retention.sweep_record(gone, "scheduled", 14, 0, AS_OF)
+    """Size, window, delete and record as one chain, at limits of the size of the tables."""
+    limits = dataclasses.replace(DEFAULTS, pressure_bytes=1000, critical_bytes=10 ** 12)
+    return retention.sweep(w.events(), AS_OF, params=limits)[1]
 
 
 @query
 def G4_trend_survives(w):
-    """A sweep changes no rollup, though many buckets have no events left behind them."""
-    before = w.rollups()
-    kept = retention.survivors(w.events(), as_of(), F.lit(14))
+    """A sweep of written tables changes no rollup, though many buckets have no events left."""
+    root, before = scratch_path(w.spark, "g4"), w.rollups()
+    for name in ("rollups", "events"):
+        sinks.write_table(getattr(w, name)(), root, name)
+    left, record = retention.sweep(sinks.read_table(w.spark, root, "events"), AS_OF)
+    sinks.write_table(left, f"{root}/swept", "events")
+    sinks.write_table(record, root, "sweeps")
+    kept = sinks.read_table(w.spark, f"{root}/swept", "events")
+    after = sinks.read_table(w.spark, root, "rollups")
     keys = ["group_id", "bucket_start"]
     one = F.lit(1)
-    parts = [retention.trend_loss(before, w.rollups()).agg(_count().alias("changed_buckets")),
+    parts = [retention.trend_loss(before, after).agg(_count().alias("changed_buckets")),
              kept.agg(_count().alias("events_left")),
              before.join(ingest.rollup(kept), keys, "left_anti").agg(
                  _count().alias("buckets_without_events"))]
@@ -795,9 +861,9 @@ def H11_nav_counts(w):
 
 @query
 def H12_storage_status(w):
-    sweeps = retention.sweep_record(retention.expired(w.events(), as_of(), F.lit(14)),
-                                    "scheduled", 14, 0, AS_OF)
-    return reads.storage_status(w.events(), w.rollups(), sweeps)
+    _, record = retention.sweep(w.events(), AS_OF)
+    size = retention.stored_bytes(w.events(), retention.TEXT_COLUMNS).first()[0]
+    return reads.storage_status(w.events(), w.rollups(), record, {"events_bytes": size})
 
 
 @query

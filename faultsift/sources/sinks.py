@@ -59,21 +59,38 @@ def read_table(spark: SparkSession, root: str, name: str, since=None, until=None
 def merge_partitions(new: DataFrame, root: str, name: str, merge) -> None:
     """Fold new rows into the dates they touch, leaving other dates alone.
 
-    The touched dates are a semi-join, not a collected list. The merged rows are written
-    aside first: Spark must not read a folder that it is overwriting.
+    The touched dates are a semi-join, not a collected list, and their first and last are a
+    plain range that prunes date folders. The merged rows are written aside first: Spark must not
+    read a folder that it is overwriting.
     """
     spark = new.sparkSession
     day = day_of(DATED[name])
     fresh = new.withColumn("day", day)
+    first, last = fresh.agg(F.min("day"), F.max("day")).first()
+    if first is None:
+        return
     target = f"{root}/{name}"
     if path_exists(spark, target):
         days = fresh.select("day").distinct()
-        old = spark.read.parquet(target).join(days, "day", "left_semi")
+        old = (spark.read.parquet(target).filter(F.col("day").between(F.lit(first), F.lit(last)))
+               .join(days, "day", "left_semi"))
         fresh = merge(old.drop("day"), new).withColumn("day", day)
-    cut(fresh).write.mode("overwrite").option(
+    cut(fresh).hint("rebalance", "day").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("day").parquet(target)
 
 
+def replacing(*keys: str):
+    """A merge in which a new row takes the place of the stored row of the same keys."""
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
+
+    return merge
+
+
+OBSERVATION_KEYS = ("group_id", "bucket_start", "detector")
+ALERT_KEYS = ("alert_id",)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -580,6 +580,12 @@ def _detector(name: str) -> str:
             f"threshold FROM c_verdicts WHERE detector = '{name}'")
 
 
+_GROUPS_SQL = """SELECT group_id, fingerprint, fingerprint_version, service, platform,
+  exception_type, title, culprit, fingerprint_input, CAST(frame_count AS INTEGER) AS frame_count,
+  degraded_reason, level, first_seen, last_seen, event_count, release_first, release_last,
+  sampled_count FROM c_groups"""
+_BYTES = ("(SELECT CAST(sum(coalesce(strlen(message), 0) + coalesce(strlen(stacktrace), 0) "
+          "+ coalesce(strlen(payload), 0)) AS BIGINT) FROM c_ev)")
 _DENSE = ("SELECT event_type, make_timestamp(epoch_us(ts) // 24) AS moment, "
           "lpad(CAST(event_id AS VARCHAR), 12, '0') AS event_id FROM events")
 _NONE = "coalesce({0}, '(none)')"
@@ -671,10 +677,12 @@ QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY received_at, seq) = 1"
   count(*) FILTER (error IS NOT NULL) AS failed FROM c_outcomes""",
     "B9_hourly_rollup": _ROLLUP,
     "B10_rollup_merge": _ROLLUP,
-    "B11_groups": """SELECT group_id, fingerprint, fingerprint_version, service, platform,
-  exception_type, title, culprit, fingerprint_input, CAST(frame_count AS INTEGER) AS frame_count,
-  degraded_reason, level, first_seen, last_seen, event_count, release_first, release_last,
-  sampled_count FROM c_groups""",
+    "B11_groups": _GROUPS_SQL,
+    "B11_groups_in_three_parts": _GROUPS_SQL,
+    "B11_groups_outlive_retention": _GROUPS_SQL,
+    "A3_observation_merge": "SELECT detector, fired, count(*) AS verdicts, count(outcome) AS scored "
+                            "FROM c_obs GROUP BY 1, 2",
+    "A3_alert_merge": "SELECT kind, count(*) AS alerts FROM c_alerts GROUP BY 1",
     "B12_group_age": """SELECT event_id, CAST((epoch_us(received_at) - epoch_us(first_seen))
   // 3600000000 AS INTEGER) AS age_hours FROM c_ev JOIN c_groups USING (group_id)""",
     "B13_hourly_cap": """SELECT event_id, group_id, hour_rank > 3 AS sampled,
@@ -833,9 +841,9 @@ FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-10-01' - INTERVAL 365 DAY GROU
     "G2_bounded_delete": """SELECT service, count(*) AS events, min(received_at) AS oldest
 FROM (SELECT *, row_number() OVER (ORDER BY received_at, event_id) AS n FROM c_ev)
 WHERE NOT (n <= 5000 AND received_at < TIMESTAMP '2024-01-17') GROUP BY 1""",
-    "G3_sweep_record": """SELECT TIMESTAMP '2024-01-31' AS ran_at, 'scheduled' AS source,
-  14 AS window_days, count(*) AS deleted_events, CAST(0 AS BIGINT) AS events_bytes
-FROM c_ev WHERE received_at < TIMESTAMP '2024-01-17'""",
+    "G3_sweep_record": f"""SELECT TIMESTAMP '2024-01-31' AS ran_at, 'scheduled' AS source,
+  7 AS window_days, count(*) AS deleted_events, {_BYTES} AS events_bytes
+FROM c_ev WHERE received_at < TIMESTAMP '2024-01-24'""",
     "G4_trend_survives": """SELECT CAST(0 AS BIGINT) AS changed_buckets, count(*) AS events_left,
   (SELECT count(*) FROM c_rollup WHERE bucket_start < TIMESTAMP '2024-01-17')
     AS buckets_without_events
@@ -892,7 +900,8 @@ QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY s DESC, similar_id) <=
   {_CLOCK.format('(SELECT max(received_at) FROM c_ev)')} AS newest_event,
   (SELECT count(*) FROM c_rollup) AS rollup_rows, '2024-01-31 00:00:00' AS last_sweep_at,
   'scheduled' AS last_sweep_source, 14 AS last_sweep_window_days,
-  (SELECT count(*) FROM c_ev WHERE received_at < TIMESTAMP '2024-01-17') AS last_sweep_deleted""",
+  (SELECT count(*) FROM c_ev WHERE received_at < TIMESTAMP '2024-01-17') AS last_sweep_deleted,
+  {_BYTES} AS events_bytes""",
     "H13_trend_summary": """SELECT group_id, CAST(sum(event_count) AS BIGINT) AS total,
   max(event_count) AS peak, arg_min(bucket_start, (-event_count, bucket_start)) AS first_peak_at
 FROM c_rollup GROUP BY 1""",

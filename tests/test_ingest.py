@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from faultsift.contracts import Params
 from faultsift.operators import ingest, ranks, retention
+from faultsift.sources import sinks
 
 
 def test_first_violation_and_isolation(spark):
@@ -148,3 +149,52 @@ def test_retention(spark):
     row = retention.sweep_record(gone, "manual", 14, 7, NOW).first()
     assert (row.deleted_events, row.window_days, row.events_bytes) == (2, 14, 7)
     assert ingest.store(raw(spark, rows), Params(fingerprint_version=2)).first().fingerprint_version == 2
+
+
+def _group_rows(df):
+    return {r.group_id: (r.title, r.level, r.first_seen, r.last_seen, r.event_count, r.release_first,
+                         r.release_last, r.sampled_count) for r in df.collect()}
+
+
+def test_merged_groups_keep_what_is_known_and_survive_retention(spark):
+    days = [NOW + dt.timedelta(days=d) for d in range(4)]
+    rows = [raw_event(f"e{i}", at + dt.timedelta(minutes=i % 3), level="error" if i % 2 else "warn",
+                      release=None if i < 3 else f"r{i}") for i, at in enumerate(days * 3)]
+    whole = ingest.build_groups(ingest.store(raw(spark, rows)), 1)
+    groups, stored, rolled = None, None, None
+    for day in days:
+        end = day + dt.timedelta(days=1) - dt.timedelta(hours=12)
+        part = raw(spark, rows).filter((F.col("received_at") >= day) & (F.col("received_at") < end))
+        batch = ingest.store(part, stored=stored)
+        hours = ingest.rollup(batch)
+        rolled = hours if rolled is None else ingest.merge_rollups(rolled, hours)
+        new = ingest.build_groups(batch, 1)
+        groups = new if groups is None else ingest.merge_groups(groups, new, rolled, 1)
+        stored = batch  # everything older is gone
+    assert _group_rows(groups) == _group_rows(whole)
+    again = ingest.store(raw(spark, rows), stored=ingest.store(raw(spark, rows)))
+    assert again.count() == 0
+
+
+def test_a_sweep_takes_its_window_from_the_stored_size(spark):
+    rows = [raw_event(f"e{d}", NOW - dt.timedelta(days=d), message="m" * 100) for d in range(20)]
+    events = ingest.store(raw(spark, rows))
+    for size, days, gone in ((None, 14, 5), (350 * 1024 * 1024, 7, 12), (500 * 1024 * 1024, 3, 16)):
+        left, record = retention.sweep(events, NOW, size=size)
+        row = record.first()
+        assert (row.window_days, row.deleted_events, left.count()) == (days, gone, 20 - gone)
+        assert row.events_bytes == (size or retention.stored_bytes(events, retention.TEXT_COLUMNS).first()[0])
+    left, record = retention.sweep(events, NOW, limit=2)
+    assert record.first().deleted_events == 2 and left.count() == 18
+
+
+def test_replacing_merge_touches_only_its_days(spark, tmp_path):
+    rows = [("a", "ewma", NOW, 1), ("b", "ewma", NOW - dt.timedelta(days=3), 2)]
+    columns = "group_id string, detector string, bucket_start timestamp, v int"
+    sinks.write_table(spark.createDataFrame(rows, columns), str(tmp_path), "observations")
+    new = spark.createDataFrame([("a", "ewma", NOW, 7), ("c", "ewma", NOW, 8)], columns)
+    for _ in range(2):
+        sinks.merge_partitions(new, str(tmp_path), "observations", sinks.replacing(*sinks.OBSERVATION_KEYS))
+    sinks.merge_partitions(new.limit(0), str(tmp_path), "observations", sinks.replacing(*sinks.OBSERVATION_KEYS))
+    got = sorted((r.group_id, r.v) for r in sinks.read_table(spark, str(tmp_path), "observations").collect())
+    assert got == [("a", 7), ("b", 2), ("c", 8)]
