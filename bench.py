@@ -17,9 +17,10 @@ HEADLINE = (
     "E11_hindsight", "E13_scorecard", "E15_backtest", "F5_alert_feed", "G2_retention_survivors",
     "H1_group_page", "H1_orders_page", "H2_counts_by_status", "H3_overview_trend",
     "H6_sparklines", "H8_group_series_days", "H9_similar_to_one", "H10_similar_groups",
-    "H13_trend_summary", "I3_drift",
+    "H13_trend_summary", "I3_drift", "F1_cooldown", "F2_alerts", "D1_status_intervals",
+    "H7_group_detail", "G2_bounded_delete", "B11_groups_in_three_parts",
 )
-BUILDS = ("raw", "events", "rollups", "groups", "intervals", "comebacks", "states",
+BUILDS = ("raw", "events", "rollups", "stored", "groups", "intervals", "comebacks", "states",
           "observations", "alerts")
 
 

@@ -135,15 +135,22 @@ def sparklines(rollups: DataFrame, as_of: dt.datetime, ids: DataFrame | None = N
 
 
 # -- H7 -----------------------------------------------------------------------------------------------------------
-def group_detail(groups: DataFrame, events: DataFrame) -> DataFrame:
-    """Every group with its newest traced event and its release range."""
+def group_detail(groups: DataFrame, events: DataFrame, group_id: str | None = None) -> DataFrame:
+    """Every group, or one, with its newest traced event and its release range.
+
+    The newest position of each group is found on the narrow columns; only the winners' messages and
+    traces are joined to it.
+    """
+    if group_id is not None:
+        groups, events = (df.filter(F.col("group_id") == group_id) for df in (groups, events))
     traced = events.filter(F.col("stacktrace").isNotNull())
-    newest = (traced.groupBy("group_id")
-              .agg(F.max_by(F.struct("message", "stacktrace", "received_at"),
-                            F.struct("received_at", "event_id")).alias("_s"))
-              .select("group_id", F.col("_s.message").alias("sample_message"),
-                      F.col("_s.stacktrace").alias("sample_stacktrace"),
-                      F.col("_s.received_at").alias("sample_received_at")))
+    last = traced.groupBy("group_id").agg(
+        F.max(F.struct("received_at", "event_id")).alias("_p")).select(
+        "group_id", "_p.received_at", "_p.event_id")
+    newest = traced.join(last, ["group_id", "received_at", "event_id"]).select(
+        "group_id", F.col("message").alias("sample_message"),
+        F.col("stacktrace").alias("sample_stacktrace"),
+        F.col("received_at").alias("sample_received_at"))
     releases = F.when(F.col("release_first").eqNullSafe(F.col("release_last")),
                       F.col("release_first")).otherwise(
         F.concat_ws(" → ", "release_first", "release_last"))

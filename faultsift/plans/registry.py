@@ -164,13 +164,13 @@ def B6_missing_ids(w):
 
 @query
 def B7_receipts(w):
-    capped = ingest.apply_hourly_cap(w.events(), w.rollups(), w.params.hourly_cap)
+    capped = w.stored()
     return ingest.receipts(w.raw(), capped, w.comebacks())
 
 
 @query
 def B8_receipt_summary(w):
-    capped = ingest.apply_hourly_cap(w.events(), w.rollups(), w.params.hourly_cap)
+    capped = w.stored()
     return ingest.receipt_summary(ingest.receipts(w.raw(), capped))
 
 
@@ -261,10 +261,9 @@ def B12_group_age(w):
 
 @query
 def B13_hourly_cap(w):
-    capped = ingest.apply_hourly_cap(w.events(), w.rollups(), w.params.hourly_cap)
-    return capped.select("event_id", "group_id", "sampled",
-                         F.col("stacktrace").isNotNull().alias("keeps_trace"),
-                         F.col("payload").isNotNull().alias("keeps_payload"))
+    return w.stored().select("event_id", "group_id", "sampled",
+                             F.col("stacktrace").isNotNull().alias("keeps_trace"),
+                             F.col("payload").isNotNull().alias("keeps_payload"))
 
 
 def _dense_feed(w, group: F.Column) -> DataFrame:
@@ -310,7 +309,7 @@ def B15_reconcile(w):
 
 @query
 def B16_outcome_metrics(w):
-    capped = ingest.apply_hourly_cap(w.events(), w.rollups(), w.params.hourly_cap)
+    capped = w.stored()
     return ingest.outcome_metrics(ingest.receipts(w.raw(), capped))
 
 
@@ -465,13 +464,13 @@ def C20_fingerprint_v2(w):
 
 @query
 def C21_replay_merges(w):
-    return grouping.replay_merges(grouping.replay(w.events(), 2), w.groups())
+    return grouping.replay_merges(grouping.replay(w.stored(), 2), w.groups())
 
 
 @query
 def C21_replay_control(w):
     """The active version replayed over its own groups merges and splits nothing."""
-    mapping = grouping.replay(w.events(), 1)
+    mapping = grouping.replay(w.stored(), 1)
     one = F.lit(1)
     merges = grouping.replay_merges(mapping, w.groups()).agg(_count().alias("merges"))
     splits = grouping.replay_splits(mapping, w.groups()).agg(_count().alias("splits"))
@@ -480,12 +479,12 @@ def C21_replay_control(w):
 
 @query
 def C22_replay_splits(w):
-    return grouping.replay_splits(grouping.replay(w.events(), 2), w.groups())
+    return grouping.replay_splits(grouping.replay(w.stored(), 2), w.groups())
 
 
 @query
 def C23_replay_coverage(w):
-    return grouping.replay_coverage(grouping.replay(w.events(), 2), w.groups(), 2)
+    return grouping.replay_coverage(grouping.replay(w.stored(), 2), w.groups(), 2)
 
 
 @query
@@ -820,7 +819,7 @@ def H6_sparklines(w):
 
 @query
 def H7_group_detail(w):
-    return reads.group_detail(w.states(), w.events()).select(
+    return reads.group_detail(w.states(), w.stored()).select(
         "group_id", "title", "status", F.coalesce("release_range", F.lit("")).alias("release_range"),
         F.coalesce("sample_message", F.lit("")).alias("sample_message"),
         F.coalesce(F.sha2("sample_stacktrace", 256), F.lit("")).alias("sample_trace"),

@@ -51,9 +51,14 @@ class Warehouse:
         return self._table("raw", lambda: tables.fault_feed(self.source("events")))
 
     def events(self) -> DataFrame:
-        """Valid, de-duplicated, fingerprinted events."""
+        """Valid, de-duplicated, fingerprinted events, as they come in."""
         return self._table("events", lambda: ingest.store(self.raw(), self.params))
 
+    def stored(self) -> DataFrame:
+        """Events as they are kept: past the hourly cap without trace and payload, marked ``sampled``."""
+        return self._table("stored", lambda: ingest.apply_hourly_cap(
+            self.events(), self.rollups(), self.params.hourly_cap))
+
     def rollups(self, since: dt.datetime | None = None) -> DataFrame:
         """Hourly counts; ``since`` reads only the date folders from there on."""
         return self._table("rollups", lambda: ingest.rollup(self.events()), since)

@@ -14,6 +14,7 @@ from faultsift.session import cut
 # table -> (date column, expression it is taken from)
 DATED = {
     "events": "received_at",
+    "stored": "received_at",
     "rollups": "bucket_start",
     "observations": "bucket_start",
     "alerts": "created_at",

@@ -602,7 +602,8 @@ def _clock(c: str, none: str = "(none)") -> str:
 
 CTE["c_replay"] = """
 SELECT a.group_id, b.fingerprint AS candidate, count(*) AS events
-FROM c_ev a JOIN c_ev2r b USING (event_id) WHERE a.stacktrace IS NOT NULL GROUP BY ALL"""
+FROM c_ranked a JOIN c_ev2r b USING (event_id)
+WHERE a.stacktrace IS NOT NULL AND a.hour_rank <= 3 GROUP BY ALL"""
 # A replay declares the platform that was resolved at ingest; for traced events of a known
 # platform this changes nothing, and an unknown one is detected again.
 CTE["c_ev2r"] = "SELECT event_id, fingerprint FROM c_ev2"
@@ -875,7 +876,7 @@ FROM (SELECT g.group_id, d, coalesce(sum(r.event_count), 0)::BIGINT AS n
     ELSE s.release_first || ' → ' || s.release_last END, '') AS release_range,
   coalesce(e.message, '') AS sample_message, coalesce(sha256(e.stacktrace), '') AS sample_trace,
   {_clock('e.received_at', '')} AS sample_at
-FROM c_states s LEFT JOIN (SELECT * FROM c_ev WHERE stacktrace IS NOT NULL
+FROM c_states s LEFT JOIN (SELECT * FROM c_ranked WHERE stacktrace IS NOT NULL AND hour_rank <= 3
   QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY received_at DESC, event_id DESC) = 1) e
   ON e.group_id = s.group_id""",
     "H8_group_series_hours": "SELECT strftime(h, '%H:%M') AS label, " + _CLOCK.format("h")
