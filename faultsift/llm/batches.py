@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD6E8FEB86659FD93
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Rows go to Python in Arrow batches of 8 MB at most (or one row), so long texts do not pile up
+    """Rows go to Python in Arrow batches of 4 MB at most (or one row), so long texts do not pile up
     in a task. A session that already asks for less keeps it."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = int(re.sub(r"[^0-9]", "", spark.conf.get(name)) or 0)
@@ -45,6 +45,8 @@ def text_slices(batch: pa.RecordBatch, column: str,
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(start, stop - start), texts.slice(start, stop - start)
         start = stop
+    del texts
+    pa.default_memory_pool().release_unused()
 
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

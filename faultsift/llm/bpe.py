@@ -66,9 +66,34 @@ class PairTable:
         return out.reshape(shape)
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+
+
+class TokenBytes:
+    """What ids stand for; all that decoding needs."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all rows, row offsets) for ids of all rows and how many each has."""
+        unknown = (ids < 0) | (ids >= len(self.at) - 1)
+        if unknown.any():
+            raise ValueError(f"not an id of the vocabulary: {ids[unknown][0]}")
+        size = self.at[ids + 1] - self.at[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.bytes[gather(self.at[ids], size)], ends[np.concatenate([[0], np.cumsum(counts)])]
+
+
 class Vocabulary:
-    def __init__(self, lines: list[bytes], pattern: str):
-        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.single = np.full(256, -1, np.int32)
         left, right, merged = [], [], []
@@ -84,13 +109,6 @@ class Vocabulary:
         if (self.single < 0).any():
             raise ValueError("the vocabulary lacks single bytes")
         self.pairs = PairTable(*(np.array(x, np.int64) for x in (left, right, merged)))
-        self.one = dict(zip(zip(left, right, strict=True), merged, strict=True))
-        size = max(self.ranks.values()) + 1
-        tokens = [b""] * size
-        for token, rank in self.ranks.items():
-            tokens[rank] = token
-        self.token_at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
-        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces one after the other, how many each has)."""
@@ -149,34 +167,28 @@ class Vocabulary:
 
     def _merge_long(self, piece: bytes) -> list[int]:
         """The same merges for one very long piece: a heap of (rank, place) over a linked list."""
-        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(r, i) for i in range(len(ids) - 1) if (r := self.one.get((ids[i], ids[i + 1]))) is not None]
+        end = len(piece)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))  # of the token that begins here
+        alive = bytearray(b"\1" * end)
+
+        def merged(a: int, b: int) -> int | None:
+            return self.ranks.get(piece[a:after[b]])
+
+        heap = [(r, i, i + 1) for i in range(end - 1) if (r := merged(i, i + 1)) is not None]
         heapq.heapify(heap)
-        end = len(ids)
         while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i] if ids[i] >= 0 else end
-            if j >= end or self.one.get((ids[i], ids[j])) != rank:
+            rank, i, j = heapq.heappop(heap)
+            if not alive[i] or after[i] != j or merged(i, j) != rank:
                 continue  # one of the two has been merged since
-            ids[i], ids[j] = rank, -1
+            alive[j] = 0
             after[i] = after[j]
             if after[j] < end:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < end and (r := self.one.get((ids[a], ids[b]))) is not None:
-                    heapq.heappush(heap, (r, a))
-        return [t for t in ids if t >= 0]
-
-    def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes of all rows, row offsets) for ids of all rows and how many each has."""
-        unknown = (ids < 0) | (ids >= len(self.token_at) - 1)
-        if unknown.any():
-            raise ValueError(f"not an id of the vocabulary: {ids[unknown][0]}")
-        size = self.token_at[ids + 1] - self.token_at[ids]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        flat = self.token_bytes[gather(self.token_at[ids], size)]
-        return flat, ends[np.concatenate([[0], np.cumsum(counts)])]
+                if a >= 0 and b < end and (r := merged(a, b)) is not None:
+                    heapq.heappush(heap, (r, a, b))
+        starts = [i for i in range(end) if alive[i]]
+        return [self.ranks[piece[a:after[a]]] for a in starts]
 
 
 def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -187,8 +199,12 @@ def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 @cache
 def vocabulary(path: str, pattern: str) -> Vocabulary:
-    with open(path, "rb") as lines:
-        return Vocabulary(lines.readlines(), pattern)
+    return Vocabulary(_ranks(path), pattern)
+
+
+@cache
+def token_bytes(path: str) -> TokenBytes:
+    return TokenBytes(_ranks(path))
 
 
 class Encoder:
@@ -250,7 +266,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text_column: str = "text
     return docs.select(*[docs[n] for n in names], text).mapInArrow(run, T.StructType(kept + made.fields))
 
 
-def decode(tokens: DataFrame, path: str, pattern: str, *, ids_column: str = "ids",
+def decode(tokens: DataFrame, path: str, *, ids_column: str = "ids",
            carry: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
     """The carried columns and `decoded`, the bytes that the ids stand for. Null ids decode to
     nothing; an id outside the vocabulary is an error."""
@@ -260,7 +276,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, *, ids_column: str = "ids
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path, pattern)
+        vocab = token_bytes(path)
         for batch in batches:
             sizes = pc.fill_null(batch.column(batch.num_columns - 1).value_lengths(), 0).to_numpy()
             upto, at = np.cumsum(sizes, dtype=np.int64), 0

@@ -27,7 +27,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     tokens = bpe.encode(table(spark, sf_dir, "documents"), *source)
-    return bpe.decode(tokens, *source).select(
+    return bpe.decode(tokens, source[0]).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -22,12 +22,12 @@ def library():
 def test_ids_match_the_library_and_decode(spark, library):
     tokens = bpe.encode(odd_docs(spark), *BPE, carry=("doc_id", "text", "ids"))
     assert tokens.columns == ["doc_id", "text", "ids"]
-    rows = bpe.decode(tokens, *BPE, carry=("text", "ids")).collect()
+    rows = bpe.decode(tokens, BPE[0], carry=("text", "ids")).collect()
     assert len(rows) == len(odd_rows())
     for r in rows:
         assert list(r["ids"]) == library.encode_ordinary(r["text"] or "")
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
-    assert bpe.decode(bpe.encode(no_docs(spark), *BPE), *BPE).count() == 0
+    assert bpe.decode(bpe.encode(no_docs(spark), *BPE), BPE[0]).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
