@@ -5,14 +5,17 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from faultsift.plans.registry import QUERIES
 from oracle.compare import compare, connect
+from oracle.statements import statements
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
 
 
 def test_every_query_has_a_statement():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(statements())
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.fixture(scope="module")
@@ -20,9 +23,9 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(entry.queries()) if not n.startswith("J")])
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    ok, note = compare(spark, name, entry.queries()[name], entry.oracle_sql()[name], SF, con)
+    ok, note = compare(spark, name, QUERIES[name], statements()[name], SF, con)
     assert ok and "types agree" in note, note
 
 
