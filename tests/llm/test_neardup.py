@@ -101,3 +101,16 @@ def test_shingles_are_those_of_the_words():
         own = WORD.findall((t or "").translate(LOWER))
         assert (owner == row).sum() == (len(shingle_set(own)) if own else 0)
     assert set(element[owner == 0]) < set(element[owner == 4]) and often[owner == 4].sum() == 8
+
+
+def test_copies_that_repeat_lines_are_found(spark):
+    dice = random.Random(9)
+    rows = []
+    for pair in range(40):  # 100 common words; one copy has a passage of its own 30 times over
+        common = " ".join(f"c{pair}x{i}" for i in range(104))
+        own = " ".join(f"o{pair}x{dice.randrange(10 ** 6)}" for _ in range(20))
+        rows += [(2 * pair, common), (2 * pair + 1, common + (" " + own) * 30)]
+    want = brute_classes(rows)
+    assert len(want) == 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got_classes(neardup.near_duplicate_classes(docs)) == want
