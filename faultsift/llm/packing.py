@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultsift.llm.batches import bounded_batches, raw_bytes, text_slices
-from faultsift.llm.bpe import gather
+from faultsift.llm.bpe import Encoder, gather, vocabulary as loaded
 
 END_OF_TEXT = 256        # after the 256 byte ids
 HELD_TOKENS = 16 << 20   # packed together by a task; a longer document is packed by itself
@@ -117,10 +117,12 @@ def _schema(id_type: T.DataType) -> T.StructType:
 
 
 def pack(docs: DataFrame, *, length: int = 8192, id_column: str = "doc_id", text_column: str | None = None,
-         ids_column: str | None = None, end_id: int = END_OF_TEXT, pad_id: int = 0, vocabulary: int = 257) -> DataFrame:
+         ids_column: str | None = None, tokenizer: tuple[str, str] | None = None, end_id: int = END_OF_TEXT,
+         pad_id: int = 0, vocabulary: int = 257) -> DataFrame:
     """Rows of `length` token ids: pack_id, ids, positions, cu_seqlens, doc_ids and starts.
 
-    Tokens are the ids of `ids_column`, or the UTF-8 bytes of `text_column`; either way `end_id` follows. A document
+    Tokens are the ids of `ids_column`, or those that `tokenizer` (path and pattern, as for `bpe.encode`) gives
+    `text_column`, or without one its UTF-8 bytes; either way `end_id` follows. A document
     of more than `length` tokens is cut into pieces of `length` and a rest; none is lost. `ids` is a
     matrix row of little-endian 16-bit numbers (32-bit if `vocabulary` needs it), filled up with `pad_id`; `positions`, of 16
     bits up to a length of 65,536, counts from 0 again at every segment; `cu_seqlens` has 0 and the end of every
@@ -133,15 +135,22 @@ def pack(docs: DataFrame, *, length: int = 8192, id_column: str = "doc_id", text
     """
     if (text_column is None) == (ids_column is None):
         raise ValueError("give either text_column or ids_column")
+    if tokenizer is not None and text_column is None:
+        raise ValueError("a tokenizer needs text_column")
     bounded_batches(docs.sparkSession)
     made = _schema(docs.schema[id_column].dataType)
     wide = np.dtype("<u2") if max(vocabulary, end_id + 1, pad_id + 1) <= 1 << 16 else np.dtype("<u4")
 
     def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
         """(tokens with ends, sizes, documents) of some rows."""
+        encoder = Encoder(loaded(*tokenizer)) if tokenizer is not None else None
         for batch in batches:
             if text_column is not None:
                 for rows, texts in text_slices(batch, "__tokens"):
+                    if encoder is not None:
+                        flat, sizes = encoder.encode([t.decode() for t in texts.to_pylist()])
+                        yield _ended(flat, sizes, end_id, wide), sizes + 1, rows.column(0)
+                        continue
                     data, offsets = raw_bytes(texts)
                     yield _ended(data, np.diff(offsets), end_id, wide), np.diff(offsets) + 1, rows.column(0)
             else:

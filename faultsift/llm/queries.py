@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from faultsift.llm import bpe, decontaminate, language_id, neardup, packing, pitman_yor, quality, secrets, topk, url_filter
 
 
+END_ID = 50256  # the end of a text, after the 50,256 ranks of the vocabulary
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,7 +78,9 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), length=8192, text_column="text")
+    source = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return packing.pack(table(spark, sf_dir, "documents"), length=8192, text_column="text", tokenizer=source,
+                        end_id=END_ID, vocabulary=END_ID + 1)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

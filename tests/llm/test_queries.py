@@ -12,7 +12,8 @@ from tests.llm.fixtures import BPE
 from tests.llm.test_models import tokens
 from tests.llm.test_neardup import brute_classes
 
-from faultsift.llm.queries import QUERIES
+from faultsift.llm import packing
+from faultsift.llm.queries import END_ID, QUERIES
 from faultsift.llm.statements import STATEMENTS
 from oracle.compare import compare, connect
 
@@ -74,3 +75,17 @@ def test_lm_scoring(spark, texts):
         assert tuple(r)[1:5] == (held[r["doc_id"]], len(ts), sum(count[t] > 0 for t in ts), total)
         base = sum(math.log10((count[t] + 1) / (total + len(count) + 1)) for t in ts)
         assert math.isclose(r["base_score"], base, rel_tol=1e-9)
+
+
+def test_packed_rows_hold_the_token_ids(spark, texts):
+    with open(BPE[0], "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    assert max(ranks.values()) == END_ID - 1
+    library = tiktoken.Encoding("own", pat_str=BPE[1], mergeable_ranks=ranks, special_tokens={})
+    whole: dict = {}
+    for r in packing.unpack(QUERIES["op8_packed_ids"](spark, SF), vocabulary=END_ID + 1).collect():
+        whole.setdefault(r["doc_id"], {})[r["start"]] = r["tokens"]
+    assert len(whole) == len(texts)
+    for i, t in texts.items():
+        ids = [x for start in sorted(whole[i]) for x in whole[i][start]]
+        assert ids == [*library.encode_ordinary(t or ""), END_ID]
