@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.fixtures import no_docs, odd_docs, odd_rows
@@ -177,3 +178,18 @@ def test_gibbs_moves_keep_every_customer():
         assert np.bincount(seating.dish, seating.size, 5).tolist() == n.tolist() and (seating.size >= 1).all()
     t = seating.tables(5)
     assert (t[:4] >= 1).all() and t[4] == 0 and t[3] > t[1]
+
+
+def test_tables_of_large_counts_follow_seating_one_by_one():
+    n, above = np.full(200, 20_000.0), np.full(200, 1 / 200)
+    got, want = [], []
+    for seed in range(12):
+        seating = pitman_yor.Seating(0.75, 1.0, np.random.default_rng([seed, 1]))
+        seating.open(n, above)
+        dice, tables = np.random.default_rng([seed, 2]), np.ones(200)
+        for k in range(1, 20_000):
+            fresh = (1 + 0.75 * tables.sum()) * above
+            tables += dice.random(200) * (fresh + k - 0.75 * tables) < fresh
+        for out, t in ((got, seating.tables(200)), (want, tables)):
+            out.append((1 + 0.75 * t.sum()) / (1 + n.sum()))
+    assert math.isclose(np.mean(got), np.mean(want), rel_tol=0.03)
