@@ -193,3 +193,17 @@ def test_tables_of_large_counts_follow_seating_one_by_one():
         for out, t in ((got, seating.tables(200)), (want, tables)):
             out.append((1 + 0.75 * t.sum()) / (1 + n.sum()))
     assert math.isclose(np.mean(got), np.mean(want), rel_tol=0.03)
+
+
+def test_rare_words_are_dishes_and_contexts(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "SPLIT", 64)  # the common word's restaurant is dealt to several lots
+    dice = random.Random(4)
+    filler = [" ".join(f"f{dice.randrange(10 ** 6)} the" for _ in range(2000)) for _ in range(20)]
+    texts = ["rare pair " * 3, *filler]  # 3 in 80,000 tokens
+    table = spark.createDataFrame([(t,) for t in texts], "__text string").repartition(4)
+    model, words = pitman_yor.fit(table)
+    assert words.count() == len({w for t in texts for w in t.split()}) + 1
+    hashes = lambda t: pitman_yor.tokens(pa.array([t.encode()], pa.large_binary()))
+    chance = lambda t: 10 ** model.score(*hashes(t)[::2])[1]
+    assert chance("rare pair") > 0.3 and chance("pair rare") > 0.3
+    assert chance("rare pair") > 100 * chance("other pair") > 0 and chance("rare other") > 0
