@@ -32,6 +32,14 @@ def carried(df: DataFrame, carry: tuple[str, ...], made: T.StructType) -> list[T
     return [df.schema[name] for name in carry if name.lower() not in taken]
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that `df` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def text_slices(batch: pa.RecordBatch, column: str,
                 limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Cuts a batch into runs of rows of about `limit` text bytes; a longer text is a run of its own."""

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultsift.llm import bpe, decontaminate, language_id, neardup, packing, pitman_yor, quality, secrets, topk, url_filter
+from faultsift.llm import (
+    bpe, decontaminate, language_id, lexical, neardup, packing, periodic_runs, pitman_yor, quality, secrets, text_density,
+    topk, url_filter)
 
 
 END_ID = 50256  # the end of a text, after the 50,256 ranks of the vocabulary
@@ -95,4 +97,40 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", (bucket(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_top_k, op4_secrets, op5_decontamination, op6_url_filters, op7_near_duplicates, op8_packed_ids, op9_lm_scoring, op10_language_id)}
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_density.extract_text(table(spark, sf_dir, "pages"))
+
+
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """Texts whose id hashes to 0 mod 10 repeat, from word a on, the p words from there; a and p from the hash too.
+    Other texts, texts without words and rows without an id stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    n, g = F.size(words).cast("long"), F.floor(h / 10)
+    a = F.pmod(g, n)
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8))))
+    periodic = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(
+        words, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")))
+    return docs.withColumn("text", F.when((h % 10 == 0) & (n > 0), F.array_join(periodic, " ")).otherwise(F.col("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_period(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.find_runs(docs)
+    top = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    told = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"),
+        F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"),
+        F.expr("1000 * top.length DIV -top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(told, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_top_k, op4_secrets, op5_decontamination, op6_url_filters, op7_near_duplicates, op8_packed_ids, op9_lm_scoring, op10_language_id,
+                                  op11_main_text, op12_periodic_runs, op13_lexical_search)}

