@@ -105,13 +105,19 @@ def with_planted_period(docs: DataFrame) -> DataFrame:
     """Texts whose id hashes to 0 mod 10 repeat, from word a on, the p words from there; a and p from the hash too.
     Other texts, texts without words and rows without an id stay as they are."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    # Words are a column of their own, so that they are cut once a text and not once a word.
+    cut = docs.withColumn("words", F.when(h % 10 == 0, F.regexp_extract_all(
+        "text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
+    words = F.col("words")
     n, g = F.size(words).cast("long"), F.floor(h / 10)
     a = F.pmod(g, n)
     p = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8))))
-    periodic = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(
-        words, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")))
-    return docs.withColumn("text", F.when((h % 10 == 0) & (n > 0), F.array_join(periodic, " ")).otherwise(F.col("text")))
+    block = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    times = F.ceil((n - a) / p).cast("int")
+    periodic = F.concat(F.slice(words, F.lit(1), a.cast("int")), F.slice(
+        F.flatten(F.array_repeat(block, times)), F.lit(1), (n - a).cast("int")))
+    return cut.withColumn("text", F.when(words.isNotNull() & (n > 0), F.array_join(periodic, " "))
+                          .otherwise(F.col("text"))).drop("words")
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
