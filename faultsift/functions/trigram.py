@@ -18,3 +18,11 @@ def trigrams(text: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     shared = F.size(F.array_intersect(a, b))
     return F.coalesce(F.try_divide(shared, F.size(a) + F.size(b) - shared), F.lit(0.0))
+
+
+def codes(grams: Column) -> Column:
+    """Trigrams as numbers, 21 bits a character: equal where the trigrams are, and quicker to compare."""
+    def bits(t: Column, i: int) -> Column:
+        return F.ascii(F.substring(t, i, 1)).cast("bigint")
+
+    return F.transform(grams, lambda t: F.shiftleft(F.shiftleft(bits(t, 1), 21) + bits(t, 2), 21) + bits(t, 3))

@@ -19,6 +19,9 @@ ERROR_LIMIT = 500
 
 
 # -- F1 -------------------------------------------------------------------------------------------
+SECOND_US = 1_000_000
+
+
 def emit_with_cooldown(candidates: DataFrame, minutes: int,
                        previous: DataFrame | None = None) -> DataFrame:
     """Greedy suppression per (group_id, kind): keep a candidate when the last *kept* one
@@ -26,52 +29,89 @@ def emit_with_cooldown(candidates: DataFrame, minutes: int,
 
     ``candidates`` has group_id, kind, at, event_id; ``previous`` (group_id, kind, last_at)
     holds the last alerts already sent. A cooldown-wide time slot can keep at most one
-    candidate, and only the slot right before can block it. So slots whose predecessor
-    cannot reach them are decided at once, by an aggregate; a run of touching slots is
-    decided slot by slot, all runs together, again by aggregates. The number of rounds is
-    the longest such run. A busy group is therefore never gathered in one task.
+    candidate, and only the slot right before can block it. So a slot that its predecessor
+    cannot reach keeps its first candidate. In a run of touching slots every instant is linked to
+    the first one a cooldown later; what is kept is what these links reach from the first instant,
+    and doubling them finds it in log2(slots of the longest run) rounds. A busy group is never
+    gathered in one task: links are made per second and slot, the rounds are joins.
     """
     width = minutes * 60_000_000
     at_us = F.unix_micros("at")
-    cands = candidates.select(*KEYS, "at", "event_id", at_us.alias("_us"),
-                              F.floor(at_us / width).alias("_slot"))
+    cands = candidates.select(*KEYS, "event_id", at_us.alias("_us"))
     if previous is not None:
         # Alerts sent earlier block like a decided slot: drop what they still cover.
         cands = (cands.join(previous, KEYS, "left")
                  .filter(F.col("last_at").isNull()
                          | (F.col("_us") >= F.unix_micros("last_at") + width))
                  .drop("last_at"))
-    cands = cut(cands)
-    earliest = F.min(F.struct("at", "event_id"))
+    # Of equal instants only the least id can be kept.
+    nodes = cut(cands.groupBy(*KEYS, "_us").agg(F.min("event_id").alias("event_id"))
+                .withColumn("_slot", F.floor(F.col("_us") / width)))
     by_slot = Window.partitionBy(*KEYS).orderBy("_slot")
-    slots = (cands.groupBy(*KEYS, "_slot")
-             .agg(earliest.alias("_first"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi")))
+    slots = nodes.groupBy(*KEYS, "_slot").agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
     touches = ((F.lag("_slot").over(by_slot) == F.col("_slot") - 1)
                & (F.lag("_hi").over(by_slot) + width > F.col("_lo")))
-    numbered = (slots.withColumn("_start", ~F.coalesce(touches, F.lit(False)))
-                .withColumn("_rn", F.row_number().over(by_slot))
-                .withColumn("_pos", F.col("_rn") - F.max(F.when(F.col("_start"), F.col("_rn")))
-                            .over(by_slot)))
-    slots = cut(numbered.select(*KEYS, "_slot", "_first", "_pos"))
-    decided = slots.filter("_pos = 0").select(*KEYS, "_slot", F.col("_first").alias("_hit"))
-    parts = [decided]
-    longest = slots.agg(F.max("_pos")).first()[0] or 0
-    if longest:
-        # Only the undecided slots' candidates go on, one folder per round: the rounds
-        # together read them once.
-        undecided = scratch_path(candidates.sparkSession, "cooldown")
-        (cands.join(slots.filter("_pos > 0").select(*KEYS, "_slot", "_pos"), [*KEYS, "_slot"])
-         .write.partitionBy("_pos").parquet(undecided))
-        waiting = candidates.sparkSession.read.parquet(undecided)
-    for position in range(1, longest + 1):
-        before = decided.select(*KEYS, (F.col("_slot") + 1).alias("_slot"),
-                                (F.unix_micros("_hit.at") + width).alias("_open"))
-        decided = cut(waiting.filter(F.col("_pos") == position)
-                      .join(before, [*KEYS, "_slot"], "left")
-                      .filter(F.col("_open").isNull() | (F.col("_us") >= F.col("_open")))
-                      .groupBy(*KEYS, "_slot").agg(earliest.alias("_hit")))
-        parts.append(decided)
-    return reduce(DataFrame.unionByName, parts).select(*KEYS, "_hit.at", "_hit.event_id")
+    # Slots of a run follow each other without a gap.
+    slots = cut(slots.withColumn("_start", ~F.coalesce(touches, F.lit(False)))
+                .withColumn("_run", F.max(F.when(F.col("_start"), F.col("_slot"))).over(by_slot))
+                .withColumn("_after", F.lead("_run").over(by_slot))
+                .withColumn("_after", F.coalesce(F.col("_after") == F.col("_run"), F.lit(False))).drop("_hi"))
+    longest = slots.agg(F.max(F.col("_slot") - F.col("_run") + 1)).first()[0] or 0
+    kept = slots.filter("_start AND NOT _after").select(*KEYS, F.col("_lo").alias("_us"))
+    if longest > 1:
+        kept = kept.unionByName(_reached(cut(_cooldown_links(nodes, slots, width)), longest))
+    return (kept.join(nodes, [*KEYS, "_us"])
+            .select(*KEYS, F.timestamp_micros("_us").alias("at"), "event_id"))
+
+
+def _cooldown_links(nodes: DataFrame, slots: DataFrame, width: int) -> DataFrame:
+    """(keys, _us, _next, _hit): each instant of a run of several slots whose successor, the first instant
+    ``width`` or more later, lies in the run too; ``_hit`` marks the first instant of a run.
+
+    What is looked for lies in the next slot: in the same second, else in the next second with any,
+    else it is the first instant of the slot after that.
+    """
+    linked = slots.filter("_after").select(*KEYS, "_slot", F.col("_lo").alias("_first"), "_start")
+    asked = nodes.join(linked, [*KEYS, "_slot"]).select(
+        *KEYS, F.col("_us").alias("_from"), F.col("_start") & (F.col("_us") == F.col("_first")),
+        (F.col("_us") + width).alias("_us")).toDF(*KEYS, "_from", "_hit", "_us")
+    targets = nodes.join(slots.filter(~F.col("_start")).select(*KEYS, "_slot"), [*KEYS, "_slot"], "left_semi")
+    null = F.lit(None)
+    line = (asked.withColumn("_node", null.cast("bigint"))
+            .unionByName(targets.select(*KEYS, null.cast("bigint").alias("_from"), null.cast("boolean").alias("_hit"),
+                                        "_us", F.col("_us").alias("_node")))
+            .withColumn("_second", F.floor(F.col("_us") / SECOND_US)))
+    second = [*KEYS, "_second"]
+    later = (Window.partitionBy(*second).orderBy("_us", F.asc_nulls_first("_node"))
+             .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    here = line.withColumn("_here", F.first("_node", ignorenulls=True).over(later)).filter("_from IS NOT NULL")
+    seconds = (line.groupBy(*second).agg(F.min("_node").alias("_least"))
+               .withColumn("_slot", F.floor(F.col("_second") * SECOND_US / width)))
+    rest = (Window.partitionBy(*KEYS, "_slot").orderBy("_second").rowsBetween(1, Window.unboundedFollowing))
+    seconds = seconds.withColumn("_there", F.first("_least", ignorenulls=True).over(rest))
+    beyond = slots.filter(~F.col("_start")).select(*KEYS, (F.col("_slot") - 1).alias("_slot"), F.col("_lo").alias("_beyond"))
+    return (here.join(seconds.select(*second, "_there"), second)
+            .withColumn("_slot", F.floor(F.col("_us") / width))
+            .join(beyond, [*KEYS, "_slot"], "left")
+            .select(*KEYS, F.col("_from").alias("_us"), F.coalesce("_here", "_there", "_beyond").alias("_next"), "_hit")
+            .filter("_hit OR _next IS NOT NULL"))
+
+
+def _reached(links: DataFrame, longest: int) -> DataFrame:
+    """(keys, _us) that the links lead to from the marked instants. Each round marks what a marked one
+    links to and doubles the length of all links, so after r rounds the first 2^r of a chain are marked."""
+    for _ in range((longest - 1).bit_length()):
+        live = links.filter("_next IS NOT NULL")
+        hop = live.select(*KEYS, F.col("_us").alias("_next"), F.col("_next").alias("_far"))
+        own = F.struct("_us", F.col("_far").alias("_next"), "_hit")
+        mark = F.when(F.col("_hit"), F.struct(
+            F.col("_next").alias("_us"), F.lit(None).cast("bigint").alias("_next"), F.lit(True).alias("_hit")))
+        moved = (live.join(hop, [*KEYS, "_next"], "left")
+                 .select(*KEYS, F.inline(F.array_compact(F.array(own, mark)))))
+        links = cut(moved.unionByName(links.filter("_next IS NULL"))
+                    .groupBy(*KEYS, "_us").agg(F.max("_next").alias("_next"), F.max("_hit").alias("_hit"))
+                    .filter("_hit OR _next IS NOT NULL"))
+    return links.filter("_hit").select(*KEYS, "_us")
 
 
 def emit_on_hour_grid(candidates: DataFrame, minutes: int) -> DataFrame:

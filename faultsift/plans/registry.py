@@ -23,7 +23,7 @@ from faultsift.operators import (alerts, detect, grouping, ingest, lifecycle, re
 from faultsift.plans.warehouse import AS_OF, Warehouse, as_of
 from faultsift.session import cut, scratch_path
 from faultsift.sources import sinks, tables, wire
-from faultsift.streaming import jobs
+from faultsift.streaming import alerting, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -949,9 +949,11 @@ def J2_stream_windows(w):
 
 @query
 def J3_stream_alerts(w):
-    out = _deliver(w, _stored(w), "j3", lambda stream, path, ckpt: jobs.spike_alert_stream(
-        stream, path, ckpt, w.params))
-    return jobs.read_spike_alerts(w.spark, out).withColumnRenamed("at", "at_time")
+    """Spike, new-group and regression alerts; rows that wait for the watermark at the end are not in yet."""
+    feed = alerting.with_changes(w.events(), w.status_log())
+    out = _deliver(w, feed, "j3", lambda stream, path, ckpt: jobs.write_stream(
+        alerting.alert_stream(stream, "1 minute", w.params), path, ckpt))
+    return alerting.alerts_of(w.spark.read.parquet(out)).withColumnRenamed("at", "at_time")
 
 
 @query

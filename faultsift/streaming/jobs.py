@@ -1,4 +1,4 @@
-"""Structured Streaming forms of ingest, rollups, alerts and silence."""
+"""Structured Streaming forms of ingest, rollups and silence; alerts are in ``alerting``."""
 
 from __future__ import annotations
 
@@ -12,10 +12,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from faultsift.contracts import DEFAULTS, Params
 from faultsift.functions.fingerprint import with_fingerprint
-from faultsift.operators import alerts as al
 from faultsift.operators import ingest
+from faultsift.operators.pyramid import Pyramid
 from faultsift.session import cut
-from faultsift.sources import sinks
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -61,86 +60,25 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
 
 def maintain_rollups(events: DataFrame, root: str, checkpoint: str,
                      available_now: bool = True) -> StreamingQuery:
-    """Keep the rollup table current, with no waiting for a watermark.
+    """Keep the rollups current at every width, with no waiting for a watermark.
 
-    Each batch is reduced to (group, hour) counts and written under its own batch id; a
-    batch that runs again replaces its own folder, so counts never double.
+    Each batch is reduced to (group, hour) counts and merged into the days it touches; a batch
+    that runs again is known by its id, so counts never double. Days stay compact, a reader has one
+    version of each table, and what no version names any more is deleted.
     """
     def batch(df: DataFrame, batch_id: int) -> None:
-        (ingest.rollup(df).write.mode("overwrite")
-         .parquet(f"{root}/rollup_batches/batch={batch_id}"))
+        pyramid = Pyramid(df.sparkSession, f"{root}/rollups")
+        pyramid.merge(cut(ingest.rollup(df)), "stream", batch_id)
+        for table in pyramid.tables.values():
+            table.vacuum()
 
     writer = (events.writeStream.foreachBatch(batch)
               .option("checkpointLocation", checkpoint))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def read_maintained_rollups(spark: SparkSession, root: str) -> DataFrame:
-    batches = spark.read.parquet(f"{root}/rollup_batches").drop("batch")
-    return (batches.groupBy("group_id", "bucket_start")
-            .agg(F.sum("event_count").alias("event_count")))
-
-
-# -- J3 -------------------------------------------------------------------------------------------
-def spike_alert_stream(events: DataFrame, root: str, checkpoint: str,
-                       params: Params = DEFAULTS, available_now: bool = True) -> StreamingQuery:
-    """Spike alerts with their cooldown, batch by batch.
-
-    A micro-batch is judged by the batch operators over the hours it touches, with the
-    rollups before it as history and the alerts before it as cooldown state; both are
-    tables with one folder per batch, so a repeated batch rewrites what it wrote. Arrivals
-    must come in hour order, whole hours per batch or later parts of the same hour.
-    """
-    def batch(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        arrived = cut(df.select("group_id", "received_at", "event_id"))
-        base = f"{root}/spikes"
-        touched = arrived.select(
-            "group_id", ingest.hour_of().alias("bucket_start")).distinct()
-        counts = ingest.rollup(arrived)
-        earlier = _earlier(spark, base, "counts", batch_id)
-        seen = None
-        if earlier is not None:
-            groups = touched.select("group_id").distinct()
-            counts = ingest.merge_rollups(
-                earlier.join(groups, "group_id", "left_semi"), counts)
-            seen = _earlier(spark, base, "events", batch_id)
-        everything = cut(counts)
-        points = al.firing_points(everything, params)
-        points = cut(points.join(
-            touched.withColumnRenamed("bucket_start", "hour"), ["group_id", "hour"], "left_semi"))
-        in_hours = arrived
-        if seen is not None:
-            # Earlier arrivals of the touched hours only: date folders prune the rest.
-            older = (seen.withColumn("bucket_start", ingest.hour_of())
-                     .join(touched, ["group_id", "bucket_start"], "left_semi")
-                     .select("group_id", "received_at", "event_id"))
-            in_hours = older.unionByName(arrived)
-        instants = al.spike_instants(in_hours, points)
-        candidates = al.spike_candidates(in_hours, instants).join(
-            arrived.select("group_id", "event_id"), ["group_id", "event_id"], "left_semi")
-        sent = _earlier(spark, base, "alerts", batch_id)
-        last = None
-        if sent is not None:
-            last = sent.groupBy("group_id", "kind").agg(F.max("at").alias("last_at"))
-        emitted = al.emit_with_cooldown(candidates, params.cooldown_for("spike"), last)
-        for name, table in (("counts", ingest.rollup(arrived)), ("events", arrived),
-                            ("alerts", emitted)):
-            table.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
-
-    writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def _earlier(spark: SparkSession, base: str, name: str, batch_id: int) -> DataFrame | None:
-    if batch_id == 0 or not sinks.path_exists(spark, f"{base}/{name}"):
-        return None
-    return (spark.read.parquet(f"{base}/{name}")
-            .filter(F.col("batch") < batch_id).drop("batch"))
-
-
-def read_spike_alerts(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/spikes/alerts").drop("batch")
+def read_maintained_rollups(spark: SparkSession, root: str, **window) -> DataFrame:
+    return Pyramid(spark, f"{root}/rollups").read(**window)
 
 
 # -- J4 -------------------------------------------------------------------------------------------

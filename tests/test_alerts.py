@@ -41,6 +41,28 @@ def test_cooldown_against_one_by_one(spark, seed, step):
     assert sorted(map(tuple, got)) == greedy(rows, minutes(60))
 
 
+def test_long_runs_of_touching_slots_take_log_rounds(spark, monkeypatch):
+    """A key that never rests for 10,000 hours, one with a third of its rows in one second, and sparse ones."""
+    rng = random.Random(7)
+    start, rows = dt.datetime(2025, 1, 1), []
+    for i in range(15_000):
+        rows.append(("hot", "spike", start + dt.timedelta(minutes=40 * i, microseconds=rng.randrange(10 ** 9)), f"h{i:05d}"))
+    for i in range(6_000):
+        at = start + (dt.timedelta(hours=7, microseconds=rng.randrange(500)) if i % 3 == 0 else
+                      dt.timedelta(seconds=rng.randrange(400_000)))
+        rows.append(("dense", "spike", at, f"d{i:05d}"))
+    rows += [("rare", "spike", start + dt.timedelta(hours=3 * i), f"r{i}") for i in range(50)]
+    rounds, cut = [], alerts.cut
+    monkeypatch.setattr(alerts, "cut", lambda df: rounds.append(1) or cut(df))
+    got = alerts.emit_with_cooldown(spark.createDataFrame(rows, CAND), 60).collect()
+    assert sorted(map(tuple, got)) == greedy(rows, minutes(60))
+    assert sum(r.group_id == "hot" for r in got) > 7_000 and len(rounds) <= 17
+
+
+def test_cooldown_of_no_candidates(spark):
+    assert alerts.emit_with_cooldown(spark.createDataFrame([], CAND), 60).count() == 0
+
+
 def test_cooldown_continues_from_earlier_alerts(spark):
     rows = [("g", "spike", HOUR + minutes(m), f"e{m}") for m in (10, 50, 70)]
     sent = spark.createDataFrame([("g", "spike", HOUR - minutes(10))],

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 from conftest import HOUR, NOW, hours_ago
 from helpers import rollups
@@ -95,6 +96,39 @@ def test_all_pairs_against_brute_force(spark):
         assert [(a, b) for a, b, _ in sorted(got.get(g, []))] == want, g
 
 
+def test_many_titles_with_shared_words(spark):
+    """20,000 titles of a small vocabulary: few pairs meet, long lists are dealt over blocks, results are exact."""
+    rng = random.Random(8)
+    common = "error in order service cannot load item of user".split()
+    rare = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(5, 9))) for _ in range(3000)]
+    rows = [(f"g{i:05d}", " ".join(rng.sample(common, 3) + rng.sample(rare, 3))) for i in range(20_000)]
+    frame = spark.createDataFrame(rows, "group_id string, title string")
+    started = time.time()
+    got = {}
+    for r in similar.similar_groups(frame).collect():
+        got.setdefault(r.group_id, []).append((r["rank"], r.similar_id))
+    assert time.time() - started < 120
+    grams = [(g, _grams(t)) for g, t in rows]
+    for g, mine in rng.sample(grams, 25):
+        scored = ((-len(mine & o) / len(mine | o), i) for i, o in grams if i != g)
+        best = sorted(x for x in scored if -x[0] > 0.3)[:5]
+        assert sorted(got.get(g, [])) == [(n + 1, i) for n, (_, i) in enumerate(best)], g
+    nodes = similar.rare_first(frame.select(F.col("group_id").alias("node"), F.lit(1).alias("carriers"),
+                                            similar.codes(similar.trigrams(F.col("title"))).alias("_set")))
+    for level, most in ((0.6, 4_000_000), (0.45, 20_000_000)):  # of 400 million
+        assert similar.meetings(nodes, nodes, level).count() < most
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(f"g{i:03d}", " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(3)) for _ in range(3)))
+            for i in range(150)]
+    frame = spark.createDataFrame(rows, "group_id string, title string")
+    want = sorted(map(tuple, similar.similar_groups(frame).collect()))
+    monkeypatch.setattr(similar, "BLOCK", 7)
+    assert sorted(map(tuple, similar.similar_groups(frame).collect())) == want
+
+
 def test_similar_to_one(spark):
     df = spark.createDataFrame([(1, "small ring"), (2, "small rings"), (3, "big thing")], "id int, title string")
     got = similar.similar_to(df, "small ring", "id", exclude=F.col("id") == 1).collect()
