@@ -105,6 +105,16 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, from running sums over all bytes."""
+    power, inverse = _tables(len(data))
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(data * power[:len(data)], out=sums[1:], dtype=np.uint64)
+        own = (sums[end] - sums[start]) * inverse[start]
+        return mix(own + (end - start).astype(np.uint64) * ODD)
+
+
 class Words:
     """Words of the texts of one slice: byte spans, owner rows and 64-bit hashes.
 
@@ -132,12 +142,7 @@ class Words:
         return len(self.start)
 
     def hashes(self) -> np.ndarray:
-        power, inverse = _tables(len(self.bytes))
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(self.bytes) + 1, np.uint64)
-            np.cumsum(self.bytes * power[:len(self.bytes)], out=sums[1:], dtype=np.uint64)
-            own = (sums[self.end] - sums[self.start]) * inverse[self.start]
-            return mix(own + (self.end - self.start).astype(np.uint64) * ODD)
+        return span_hashes(self.bytes, self.start, self.end)
 
     def word(self, i: int) -> bytes:
         return self.bytes[self.start[i]:self.end[i]].tobytes()

@@ -14,14 +14,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from faultsift.llm.batches import bounded_batches, carried, made_batch, text_slices
+from faultsift.llm.batches import bounded_batches, carried, free_name, made_batch, raw_bytes, span_hashes, text_slices
 
 NO_RANK = np.int32(2**31 - 1)
 LONGEST_ROW = 256      # bytes of a piece in a matrix; longer ones merge by a heap
 ROWS_AT_ONCE = 1 << 15
 IDS_AT_ONCE = 1 << 20
-KEPT_PIECES = 150_000  # remembered by a task at most, and their bytes
-KEPT_BYTES = 16 << 20
+KEPT_PIECES = 300_000  # remembered by a task at most, and their ids
+KEPT_IDS = 4 << 20
 
 
 class PairTable:
@@ -207,35 +207,131 @@ def token_bytes(path: str) -> TokenBytes:
     return TokenBytes(_ranks(path))
 
 
+LETTER, NUMBER, BLANK, OTHER = range(4)
+
+
+@cache
+def _classes() -> np.ndarray:
+    """Which class of the pattern below every code point is in."""
+    table = np.full(0x110000, OTHER, np.uint8)
+    letters = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for kind, name in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
+        for hit in regex.finditer(name, letters):
+            a, b = (i + 0x800 * (i >= 0xD800) for i in hit.span())
+            table[a:b] = kind
+    return table
+
+
+# Fixed value: the pattern that `class_pieces` splits by.
+BY_CLASS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def class_pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First bytes of the matches of BY_CLASS in all rows; they tile the rows.
+
+    A match is a stretch of one class. A space before it joins it; other blanks keep to themselves, the last one
+    of a stretch apart when something follows. A lone apostrophe with no space before it takes what makes it a
+    short form from the letters behind it.
+    """
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    rows = np.searchsorted(lead, offsets[:-1])
+    rows = rows[rows < len(cp)]
+    if not len(cp):
+        return np.zeros(0, np.int64)
+    kind = _classes()[cp]
+    edge = np.ones(len(cp), bool)
+    edge[1:] = kind[1:] != kind[:-1]
+    edge[rows] = True
+    opens = np.zeros(len(cp), bool)
+    opens[rows] = True
+    start = np.flatnonzero(edge)
+    end, kind, opens = np.append(start[1:], len(cp)), kind[start], opens[start]
+    blank = kind == BLANK
+    followed = np.append(~opens[1:], False)
+    lends = blank & followed & (cp[end - 1] == 32)  # its last space goes to what follows
+    joined = np.append(False, lends[:-1])
+    cut = np.zeros(len(cp), bool)
+    cut[start[~blank] - joined[~blank]] = True
+    cut[start[blank & ~(lends & (end - start == 1))]] = True
+    cut[end[blank & followed & ~lends] - 1] = True
+    lone = np.flatnonzero((kind == OTHER) & (end - start == 1) & (cp[start] == 39) & ~joined & followed)
+    lone = lone[kind[lone + 1] == LETTER] if len(lone) else lone
+    at, stop = start[lone + 1], end[lone + 1]
+    first, second = cp[at], np.where(at + 1 < stop, cp[np.minimum(at + 1, len(cp) - 1)], 0)
+    one = np.isin(first, [ord(c) for c in "stmd"])
+    two = np.isin(first * 256 + second, [ord(a) * 256 + ord(b) for a, b in ("re", "ve", "ll")]) & (second < 256)
+    size = np.where(one, 1, np.where(two, 2, 0))
+    cut[at[size > 0]] = False
+    rest = at + size
+    cut[rest[(size > 0) & (rest < stop)]] = True
+    return lead[np.flatnonzero(cut)]
+
+
 class Encoder:
-    """Encodes texts; remembers short pieces, forgetting all when there are too many."""
+    """Encodes rows of bytes; remembers pieces by hash, and of too many the later used half."""
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.known = vocab, {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.known.clear()
-        self.bytes = 0
+        self.vocab, self.turn = vocab, 0
+        self.known: dict[int, int] = {}
         self.flat, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hashes, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.used > np.median(self.used))
+        self.flat = self.flat[gather(self.start[keep], self.count[keep])]
+        self.count, self.hashes, self.used = self.count[keep], self.hashes[keep], self.used[keep]
+        self.start = np.cumsum(self.count) - self.count
+        self.known = dict(zip(self.hashes.tolist(), range(len(keep)), strict=True))
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if self.vocab.pattern.pattern == BY_CLASS:
+            return class_pieces(data, offsets)
+        text = data.tobytes()
+        size = [len(p.encode()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)
+                for p in self.vocab.pattern.findall(text[a:b].decode())]
+        ends = np.cumsum(np.array(size, np.int64))
+        if (ends[-1] if size else 0) != len(data):
+            raise ValueError("the pattern leaves out a part of a text")
+        return ends - size
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, how many each has)."""
-        if len(self.known) > KEPT_PIECES or self.bytes > KEPT_BYTES:
-            self.clear()
-        found = [self.vocab.pattern.findall(t) for t in texts]
-        new = list({p for pieces in found for p in pieces} - self.known.keys())
-        flat, counts = self.vocab.encode_pieces([p.encode() for p in new])
-        self.bytes += sum(map(len, new))
-        self.known.update(zip(new, range(len(self.start), len(self.start) + len(new)), strict=True))
+        rows = [t.encode() for t in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        return self.encode_rows(np.frombuffer(b"".join(rows), np.uint8), offsets)
+
+    def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the UTF-8 rows data[offsets[i]:offsets[i + 1]]."""
+        if len(self.known) > KEPT_PIECES or len(self.flat) > KEPT_IDS:
+            self._forget()
+        self.turn += 1
+        start = self._pieces(data, offsets)
+        if not len(start):
+            return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
+        end = np.append(start[1:], len(data))
+        size = end - start
+        hashes, first, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        same = first[which]
+        if not (np.array_equal(size, size[same]) and np.array_equal(data, data[gather(start[same], size)])):
+            raise RuntimeError("two pieces share a hash")  # 1 in 2^64 a pair
+        slot = np.fromiter((self.known.get(h, -1) for h in hashes.tolist()), np.int64, len(hashes))
+        new = np.flatnonzero(slot < 0)
+        text = data.tobytes()
+        flat, counts = self.vocab.encode_pieces([text[a:b] for a, b in zip(
+            start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+        slot[new] = len(self.start) + np.arange(len(new))
+        self.known.update(zip(hashes[new].tolist(), slot[new].tolist(), strict=True))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
         self.count = np.concatenate([self.count, counts])
         self.flat = np.concatenate([self.flat, flat])
-        sizes = np.array([len(p) for p in found], np.int64)
-        at = np.fromiter((self.known[p] for pieces in found for p in pieces), np.int64, int(sizes.sum()))
-        ids = self.flat[gather(self.start[at], self.count[at])]
-        ends = np.concatenate([[0], np.cumsum(self.count[at])])
-        upto = ends[np.concatenate([[0], np.cumsum(sizes)])]
+        self.hashes = np.concatenate([self.hashes, hashes[new]])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        self.used[slot] = self.turn
+        at = slot[which]
+        many = self.count[at]
+        ids = self.flat[gather(self.start[at], many)]
+        upto = np.concatenate([[0], np.cumsum(many)])[np.searchsorted(start, offsets)]
         return ids, np.diff(upto)
 
 
@@ -252,17 +348,18 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text_column: str = "text
     made = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
     kept = carried(docs, carry, made)
     names = [f.name for f in kept]
+    source = free_name(docs, "source")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(path, pattern))
         for batch in batches:
-            for rows, texts in text_slices(batch, "__text"):
-                ids, counts = encoder.encode([t.decode() for t in texts.to_pylist()])
+            for rows, texts in text_slices(batch, source):
+                ids, counts = encoder.encode_rows(*raw_bytes(texts))
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield made_batch(rows, names, {"ids": pa.ListArray.from_arrays(
                     pa.array(ends), pa.array(ids, pa.int32()))})
 
-    text = docs[text_column].alias("__text")
+    text = docs[text_column].alias(source)
     return docs.select(*[docs[n] for n in names], text).mapInArrow(run, T.StructType(kept + made.fields))
 
 
@@ -289,5 +386,5 @@ def decode(tokens: DataFrame, path: str, *, ids_column: str = "ids",
                 yield made_batch(rows, names, {"decoded": pa.Array.from_buffers(
                     pa.binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])})
 
-    return tokens.select(*[tokens[n] for n in names], tokens[ids_column].alias("__ids")).mapInArrow(
+    return tokens.select(*[tokens[n] for n in names], tokens[ids_column].alias(free_name(tokens, "source"))).mapInArrow(
         run, T.StructType(kept + made.fields))

@@ -148,7 +148,7 @@ def pack(docs: DataFrame, *, length: int = 8192, id_column: str = "doc_id", text
             if text_column is not None:
                 for rows, texts in text_slices(batch, "__tokens"):
                     if encoder is not None:
-                        flat, sizes = encoder.encode([t.decode() for t in texts.to_pylist()])
+                        flat, sizes = encoder.encode_rows(*raw_bytes(texts))
                         yield _ended(flat, sizes, end_id, wide), sizes + 1, rows.column(0)
                         continue
                     data, offsets = raw_bytes(texts)
