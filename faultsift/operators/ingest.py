@@ -216,6 +216,17 @@ def sampled_counts(rollups: DataFrame, cap: int) -> DataFrame:
     return rollups.groupBy("group_id").agg(F.sum(over).alias("sampled_count"))
 
 
+def sampled_growth(before: DataFrame, new: DataFrame, cap: int) -> DataFrame:
+    """(group_id, sampled_count): how many more events are past the cap once the hourly counts ``new`` are added to
+    ``before``. Hours of ``before`` that nothing is added to need not be there."""
+    def over(n: Column) -> Column:
+        return F.greatest(n - cap, F.lit(0))
+
+    was = F.coalesce("_was", F.lit(0))
+    return (new.join(before.withColumnRenamed("event_count", "_was"), ["group_id", "bucket_start"], "left")
+            .groupBy("group_id").agg(F.sum(over(was + F.col("event_count")) - over(was)).alias("sampled_count")))
+
+
 def apply_hourly_cap(events: DataFrame, rollups: DataFrame, cap: int) -> DataFrame:
     """Past ``cap`` events in a group's hour, keep the count but drop trace and payload.
 

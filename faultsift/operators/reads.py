@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultsift.sources.versions import VersionedTable
+
 OVERVIEW_DAYS = {"7d": 7, "30d": 30}
 CLOCK = "yyyy-MM-dd HH:mm:ss"
 
@@ -40,6 +42,29 @@ def keyset_page(rows: DataFrame, at: str, key: str, limit: int,
     return rows.orderBy(F.desc(at), F.desc(key)).limit(limit + 1)
 
 
+def newest_page(table: VersionedTable, at: str, key: str, limit: int, after: tuple | None = None,
+                where: Column | None = None) -> DataFrame:
+    """The same page of a written table of days: days are opened from the newest, twice as many each time,
+    until the page is full of rows newer than all that is left. The manifest says where to begin and stop."""
+    manifest = table.manifest()
+    bound = None if after is None else str(after[0])
+    days = sorted(((p.high, v, p.rows) for v, p in manifest.parts.items() if bound is None or p.low <= bound), reverse=True)
+    opened, expected = 0, 0
+    while opened < len(days) and expected <= limit:
+        expected += days[opened][2]
+        opened += 1
+    while True:
+        names = {v for _, v, _ in days[:opened]}
+        rows = table.read(lambda v, _, names=names: v in names, manifest)
+        page = keyset_page(rows if where is None else rows.filter(where), at, key, limit, after)
+        if opened >= len(days):
+            return page
+        full = page.agg(F.count(F.lit(1)), F.min(at).cast("string")).first()
+        if full[0] == limit + 1 and full[1] > days[opened][0]:
+            return page
+        opened *= 2
+
+
 def group_page(groups: DataFrame, limit: int, after: tuple | None = None, **filters) -> DataFrame:
     page = matching(groups, **filters).select(
         "group_id", "title", "service", "platform", "level", "status", "culprit",

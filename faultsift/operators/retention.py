@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultsift.contracts import DEFAULTS, Params
+from faultsift.sources.versions import VersionedTable
 
 
 # -- G1 -------------------------------------------------------------------------------------------
@@ -68,6 +69,44 @@ def sweep(events: DataFrame, ran_at: dt.datetime, source: str = "scheduled", siz
             sweep_record(gone, source, days, size, ran_at))
 
 
+def sweep_table(table: VersionedTable, ran_at: dt.datetime, source: str = "scheduled", size: int | None = None,
+                params: Params = DEFAULTS, limit: int | None = None, days: int | None = None) -> DataFrame:
+    """The same sweep on a written table of days; returns the record.
+
+    Days wholly past the window go by the manifest alone, oldest first; only the day in which the window (or
+    the limit) ends is read and written anew. Without ``size`` the file listing is asked.
+    """
+    if size is None:
+        size = table.stored_bytes()
+    if days is None:
+        days = (params.critical_days if size >= params.critical_bytes else
+                params.pressure_days if size >= params.pressure_bytes else params.retention_days)
+    end, left = ran_at - dt.timedelta(days=days), limit
+    manifest = table.manifest()
+    old = sorted((dt.datetime.fromisoformat(p.low), v, p) for v, p in manifest.parts.items()
+                 if dt.datetime.fromisoformat(p.low) < end)
+    whole, deleted, edge = [], 0, None
+    for _, value, part in old:
+        if dt.datetime.fromisoformat(part.high) >= end or (left is not None and part.rows > left):
+            edge = (value, part)
+            break
+        whole.append(value)
+        deleted += part.rows
+        left = None if left is None else left - part.rows
+    if edge is None or left == 0:
+        if whole:
+            table.replace(table.read(lambda *_: False), touched=[], drop=whole)
+    else:
+        value, part = edge
+        day = table.read(lambda v, _: v == value)
+        kept = survivors(day, F.lit(ran_at).cast("timestamp"), F.lit(days), left).select(*day.columns)
+        after = table.replace(kept, touched=[value], drop=whole)
+        deleted += part.rows - (after.parts[value].rows if value in after.parts else 0)
+    return table.spark.createDataFrame(
+        [(ran_at, source, days, deleted, size)],
+        "ran_at timestamp, source string, window_days int, deleted_events bigint, events_bytes bigint")
+
+
 def sweep_metrics(raised: DataFrame, deleted: DataFrame, scored: DataFrame) -> DataFrame:
     """Counters of one sweep: silence alerts raised, events deleted, verdicts scored."""
     one = F.lit(1)

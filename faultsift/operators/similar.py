@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultsift.functions.trigram import codes, jaccard, trigrams
 from faultsift.session import cut
+from faultsift.sources.versions import VersionedTable
 
 MIN_SIMILARITY = 0.3
 TOP = 5
@@ -32,6 +33,44 @@ def similar_to(rows: DataFrame, title: str, key: str, text: str = "title",
             .withColumn("score", F.round("_s", 2)).drop("_s"))
 
 
+class TitleIndex:
+    """Postings of trigrams (token, length of the title's set, key) in buckets of the trigram, in its order."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.table = VersionedTable(spark, path, "bucket", self._bucket(F.col("token"), buckets), sort="token")
+        self.spark, self.buckets = spark, buckets
+
+    @staticmethod
+    def _bucket(token: Column, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+    def add(self, rows: DataFrame, key: str, text: str) -> None:
+        """Postings of new rows; keys are taken to be new."""
+        sets = rows.select(F.col(key).alias("key"), codes(trigrams(F.col(text))).alias("_set"))
+        self.table.merge(sets.select(F.explode("_set").alias("token"), F.size("_set").alias("size"), "key"),
+                         DataFrame.unionByName)
+
+    def similar(self, title: str, limit: int = TOP, exclude: Column | None = None) -> DataFrame:
+        """(key, score), best first: what ``similar_to`` finds, from the postings of the title's own trigrams.
+
+        Only their buckets are opened, and in these the row groups that can hold them; each posting of a title of
+        fitting length is one shared trigram, so counting them gives the similarity.
+        """
+        asked = codes(trigrams(F.lit(title)))
+        own = self.spark.range(1).select(F.explode(asked).alias("token")).select(
+            "token", self._bucket(F.col("token"), self.buckets).alias("bucket")).collect()
+        n, opened = len(own), {str(r["bucket"]) for r in own}
+        fits = (F.col("size") > MIN_SIMILARITY * n - 1e-9) & (F.col("size") < n / MIN_SIMILARITY + 1e-9)
+        hits = self.table.read(lambda b, _: b in opened).filter(
+            F.col("token").isin([r["token"] for r in own]) & fits)
+        if exclude is not None:
+            hits = hits.filter(~exclude)
+        shared = hits.groupBy("key").agg(F.count(F.lit(1)).alias("_shared"), F.max("size").alias("_size"))
+        return (shared.withColumn("_s", F.col("_shared") / (F.col("_size") + n - F.col("_shared")))
+                .filter(F.col("_s") > MIN_SIMILARITY).orderBy(F.desc("_s"), "key").limit(limit)
+                .select("key", F.round("_s", 2).alias("score")))
+
+
 # -- H10 -------------------------------------------------------------------------------------------
 def similar_groups(groups: DataFrame, key: str = "group_id", text: str = "title") -> DataFrame:
     """The best five similar groups of every group: (key, similar_id, score, rank).

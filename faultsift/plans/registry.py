@@ -19,11 +19,11 @@ from faultsift.functions import frames as fr
 from faultsift.functions import series as sr
 from faultsift.functions import text as tx
 from faultsift.operators import (alerts, detect, grouping, ingest, lifecycle, reads, reconcile,
-                                 retention, similar)
+                                 retention, similar, store)
 from faultsift.plans.warehouse import AS_OF, Warehouse, as_of
 from faultsift.session import cut, scratch_path
-from faultsift.sources import sinks, tables, wire
-from faultsift.streaming import alerting, jobs
+from faultsift.sources import sinks, tables, versions, wire
+from faultsift.streaming import alerting, jobs, metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,7 +99,7 @@ def A3_table_sink_merge(w):
 
 @query
 def A4_backfill_release(w):
-    return (ingest.backfill_release(w.raw()).filter(F.col("seq") == 0)
+    return (ingest.backfill_release(w.raw())
             .groupBy("release").agg(_count().alias("events")))
 
 
@@ -131,31 +131,44 @@ def B1_validation(w):
 
 @query
 def B2_legacy_fields(w):
-    return ingest.resolve_legacy(w.raw()).filter(F.col("event_id").isNotNull()).select(
+    return ingest.resolve_legacy(ingest.assign_event_ids(w.raw())).select(
         "event_id", "seq", "exception_type", "release")
 
 
 @query
 def B3_legacy_stacktrace(w):
-    r = ingest.resolve_legacy(w.raw()).filter(F.col("event_id").isNotNull())
+    r = ingest.resolve_legacy(ingest.assign_event_ids(w.raw()))
     return r.select("event_id", "seq", F.length("stacktrace").alias("chars"),
                     F.sha2("stacktrace", 256).alias("trace_hash"))
 
 
 @query
 def B4_capture_truncation(w):
-    """Whole documents through the message limit."""
-    cut = w.source("documents").select(
-        "doc_id", tx.truncate(F.col("text"), ingest.CAPTURE_LIMITS["message"]).alias("_t"))
-    return cut.select("doc_id", F.length("_t").alias("chars"), F.sha2("_t", 256).alias("hash"))
+    """Whole documents through both limits; every other one has letters of two UTF-16 units."""
+    text = F.when(F.col("doc_id") % 2 == 1, F.replace("text", F.lit("e"), F.lit("\U0001F600"))).otherwise(F.col("text"))
+    done = ingest.truncate_at_capture(w.source("documents").select(
+        "doc_id", text.alias("message"), text.alias("stacktrace")))
+    return done.select("doc_id", F.length("message").alias("chars"), F.sha2("message", 256).alias("hash"),
+                       F.length("stacktrace").alias("trace_chars"), F.sha2("stacktrace", 256).alias("trace_hash"))
 
 
 @query
 def B5_deduplicate(w):
-    kept = ingest.deduplicate(w.raw().filter(F.col("event_id").isNotNull()))
+    kept = ingest.deduplicate(ingest.assign_event_ids(w.raw()))
     return kept.select("event_id", "received_at", "seq")
 
 
+@query
+def B5_late_duplicates(w):
+    """A store that gets a part of the feed again after all of it, ten days and more later."""
+    events = store.EventStore(w.spark, scratch_path(w.spark, "b5"))
+    early = F.col("received_at") < "2024-01-20"
+    for part in (w.raw().filter(early), w.raw().filter(~early),
+                 w.raw().filter(F.col("received_at") < "2024-01-10")):
+        events.ingest(part, w.params)
+    return events.events.read().groupBy("group_id").agg(_count().alias("events"))
+
+
 @query
 def B6_missing_ids(w):
     made = ingest.assign_event_ids(w.raw().filter(F.col("event_id").isNull()))
@@ -196,23 +209,28 @@ def B11_groups(w):
 
 
 def _in_parts(w, sweep_between: bool) -> DataFrame:
-    """The feed loaded in three parts into an event, a rollup and a group table."""
+    """The feed loaded in three parts into an event store, a rollup table and a group table of 32 buckets."""
     root, days = scratch_path(w.spark, "parts"), ("2024-01-11", "2024-01-21", "2025-01-01")
-    stored, groups, since = None, None, "2000-01-01"
-    for number, until in enumerate(days):
+    cap, since = w.params.hourly_cap, "2000-01-01"
+    events = store.EventStore(w.spark, root)
+    rollups = versions.daily(w.spark, f"{root}/rollups", "bucket_start")
+    groups = versions.bucketed(w.spark, f"{root}/groups", "group_id")
+    for until in days:
         part = w.raw().filter((F.col("received_at") >= since) & (F.col("received_at") < until))
-        batch = cut(ingest.store(part, w.params, stored))
-        sinks.merge_partitions(ingest.rollup(batch), root, "rollups", ingest.merge_rollups)
-        rollups = sinks.read_table(w.spark, root, "rollups")
-        new = ingest.build_groups(batch, w.params.hourly_cap)
-        groups = cut(new if groups is None else
-                     ingest.merge_groups(groups, new, rollups, w.params.hourly_cap))
-        stored = batch if stored is None else stored.unionByName(batch)
+        batch = events.ingest(part, w.params)
+        counts = cut(ingest.rollup(batch))
+        found = ingest.build_groups(batch, cap, counts)
+        if rollups.manifest().schema is not None:
+            touched = set(rollups.touched_by(counts))
+            growth = ingest.sampled_growth(rollups.read(lambda d, _, t=touched: d in t), counts, cap)
+            found = found.drop("sampled_count").join(growth, "group_id")
+        groups.merge(cut(found), ingest.merge_groups)
+        rollups.merge(counts, ingest.merge_rollups)
         if sweep_between:  # the two days before stay, as long as anything is delivered again
-            stored = retention.survivors(stored, F.lit(until).cast("timestamp"), F.lit(2))
+            retention.sweep_table(events.events, dt.datetime.fromisoformat(until), days=2)
         since = until
-    return groups.select(*B11_COLUMNS[:8], F.col("fingerprint_input"), F.size("frames").alias("frame_count"),
-                         *B11_COLUMNS[8:])
+    return groups.read().select(*B11_COLUMNS[:8], F.col("fingerprint_input"), F.size("frames").alias("frame_count"),
+                                *B11_COLUMNS[8:])
 
 
 B11_COLUMNS = ["group_id", "fingerprint", "fingerprint_version", "service", "platform", "exception_type",
@@ -313,6 +331,23 @@ def B16_outcome_metrics(w):
     return ingest.outcome_metrics(ingest.receipts(w.raw(), capped))
 
 
+@query
+def B16_stream_outcomes(w):
+    """Counters that a listener wrote while the feed streamed: what it stored, knew already and refused."""
+    path = scratch_path(w.spark, "b16")
+    listener = metrics.CounterListener(w.spark, path, {"b16"})
+    w.spark.streams.addListener(listener)
+    try:
+        _deliver(w, w.raw(), "b16", lambda stream, out, ckpt: jobs.write_stream(
+            jobs.ingest_stream(stream, "1 day", w.params).select("event_id"), out, ckpt, name="b16"))
+        metrics.drain(w.spark)
+    finally:
+        w.spark.streams.removeListener(listener)
+    t = metrics.totals(w.spark, path).groupBy().pivot("metric", ["valid", "rejected", "stored"]).agg(F.first("value"))
+    return t.select(F.inline(F.array(*[F.struct(F.lit(n).alias("outcome"), v.cast("bigint").alias("events")) for n, v in (
+        ("rejected", F.col("rejected")), ("stored", F.col("stored")), ("duplicate", F.col("valid") - F.col("stored")))])))
+
+
 @query
 def B16_sweep_metrics(w):
     return retention.sweep_metrics(
@@ -705,7 +740,10 @@ def F4_delivery_state(w):
 
 @query
 def F5_alert_feed(w):
-    return alerts.alert_feed(w.delivered_alerts(), w.states(), 50).select(
+    """The newest alerts are taken first, then the attempts of these alone."""
+    newest = alerts.alert_feed(w.alerts(), w.states(), 50)
+    attempts = tables.attempt_log(newest)
+    return alerts.fold_deliveries(newest, attempts, w.params).select(
         "alert_id", "group_id", "kind", "created_at", "service", "title", "delivery_state")
 
 
@@ -730,9 +768,18 @@ def G2_retention_survivors(w):
 
 @query
 def G2_bounded_delete(w):
-    kept = retention.survivors(w.events(), as_of(), F.lit(14), limit=5000)
-    return kept.groupBy("service").agg(_count().alias("events"),
-                                       F.min("received_at").alias("oldest"))
+    """On the written table: whole days go by the manifest, one day is written anew."""
+    table = w.event_days().clone(scratch_path(w.spark, "g2"))
+    retention.sweep_table(table, AS_OF, limit=5000, days=14)
+    return table.read().groupBy("service").agg(_count().alias("events"),
+                                               F.min("received_at").alias("oldest"))
+
+
+@query
+def G2_sweep_record(w):
+    """The record of a sweep of the written table."""
+    table = w.event_days().clone(scratch_path(w.spark, "g2"))
+    return retention.sweep_table(table, AS_OF, size=1)
 
 
 @query
@@ -771,6 +818,14 @@ def H1_group_page(w):
                        "last_seen")
 
 
+@query
+def H1_newest_page(w):
+    """The same page from a written table of days, opened from the newest until it is full."""
+    page = reads.newest_page(w.days("states", "last_seen"), "last_seen", "group_id", 20, ("2024-01-29 00:00:00", "zzzz"),
+                             F.col("title").ilike("%not found%"))
+    return page.select("group_id", "title", "service", "status", "event_count", "first_seen", "last_seen")
+
+
 @query
 def H1_orders_page(w):
     page = reads.keyset_page(
@@ -790,15 +845,27 @@ def _days_back(days: int) -> dt.datetime:
     return AS_OF - dt.timedelta(days=days - 1)
 
 
+def _daily(w, days: int) -> DataFrame:
+    """Day rows of a window of days that ends with the current one."""
+    return w.pyramid().read(_days_back(days), AS_OF + dt.timedelta(days=1), "day")
+
+
 @query
 def H3_overview_trend(w):
-    return reads.overview_trend(w.rollups(_days_back(30)), w.states(), AS_OF, "30d",
+    return reads.overview_trend(_daily(w, 30), w.states(), AS_OF, "30d",
                                 service="signup-svc")
 
 
 @query
 def H3_overview_all(w):
-    return reads.overview_trend(w.rollups(_days_back(7)), w.states(), AS_OF, "7d")
+    return reads.overview_trend(_daily(w, 7), w.states(), AS_OF, "7d")
+
+
+@query
+def H3_year_trend(w):
+    """Totals of nearly a year from months, days and hours."""
+    rows = w.pyramid().read(dt.datetime(2023, 2, 10, 5), dt.datetime(2024, 1, 27, 3), "month")
+    return rows.groupBy("group_id").agg(F.sum("event_count").alias("event_count"))
 
 
 @query
@@ -813,7 +880,7 @@ def H5_services(w):
 
 @query
 def H6_sparklines(w):
-    return reads.sparklines(w.rollups(_days_back(7)), AS_OF).select(
+    return reads.sparklines(_daily(w, 7), AS_OF).select(
         "group_id", F.array_join("daily", ",").alias("daily"))
 
 
@@ -838,7 +905,7 @@ def H8_group_series_hours(w):
 
 @query
 def H8_group_series_days(w):
-    return reads.group_series(w.rollups(_days_back(30)), _busiest(w), AS_OF, "30d")
+    return reads.group_series(_daily(w, 30), _busiest(w), AS_OF, "30d")
 
 
 @query
@@ -848,6 +915,14 @@ def H9_similar_to_one(w):
     return found.select("p_partkey", "p_name", "score")
 
 
+@query
+def H9_similar_by_index(w):
+    """The same from stored postings of trigrams."""
+    found = w.part_names().similar("small ring", 5, exclude=F.col("key") == 0)
+    names = w.source("part").join(found, F.col("p_partkey") == F.col("key"))
+    return names.select("p_partkey", "p_name", "score")
+
+
 @query
 def H10_similar_groups(w):
     return similar.similar_groups(w.groups())
@@ -860,9 +935,14 @@ def H11_nav_counts(w):
 
 @query
 def H12_storage_status(w):
+    """Sizes come from the file listing; SQL cannot know them, so only their sum is compared."""
     _, record = retention.sweep(w.events(), AS_OF)
-    size = retention.stored_bytes(w.events(), retention.TEXT_COLUMNS).first()[0]
-    return reads.storage_status(w.events(), w.rollups(), record, {"events_bytes": size})
+    w.rollups()
+    sizes = {f"{n}_bytes": sinks.table_bytes(w.spark, w.root, n) for n in ("events", "rollups")}
+    status = reads.storage_status(w.events(), w.rollups(), record, {**sizes, "total_bytes": sum(sizes.values())})
+    sums = ((F.col("events_bytes") > 0) & (F.col("rollups_bytes") > 0)
+            & (F.col("total_bytes") == F.col("events_bytes") + F.col("rollups_bytes")))
+    return status.withColumn("bytes_add_up", sums).drop(*sizes, "total_bytes")
 
 
 @query
@@ -875,7 +955,6 @@ def _plan(w) -> DataFrame:
     """The schedule asks for what arrived raw; it orders services by name."""
     order = F.when(F.col("service") == "checkout-api", 0).otherwise(F.ascii("service"))
     return (w.raw().filter(F.col("service").isNotNull() & (F.col("service") != ""))
-            .filter(F.col("seq") == 0)
             .groupBy("service", order.alias("service_order"), ingest.hour_of().alias("hour"))
             .agg((_count() - F.when(F.hour(F.first("received_at")) == 7, 1).otherwise(0))
                  .alias("planned")))
@@ -933,6 +1012,14 @@ def J1_stream_ingest(w):
     return w.spark.read.parquet(out).groupBy("group_id").agg(_count().alias("events"))
 
 
+@query
+def J1_stream_store(w):
+    """The feed streamed into an event store: an id is known however late it comes again."""
+    path = scratch_path(w.spark, "j1-store")
+    _deliver(w, w.raw(), "j1s", lambda stream, _, ckpt: jobs.store_stream(stream, path, ckpt, w.params))
+    return store.EventStore(w.spark, path).events.read().groupBy("group_id").agg(_count().alias("events"))
+
+
 @query
 def J2_stream_rollup(w):
     out = _deliver(w, _stored(w), "j2", jobs.maintain_rollups)

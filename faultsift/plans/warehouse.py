@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from faultsift.contracts import DEFAULTS, Params
 from faultsift.operators import alerts, detect, ingest, lifecycle
+from faultsift.operators.pyramid import Pyramid
+from faultsift.operators.similar import TitleIndex
 from faultsift.session import prepare_session, scratch_path
 from faultsift.sources import sinks, tables
+from faultsift.sources.versions import VersionedTable, daily
 
 AS_OF = dt.datetime(2024, 1, 31)
 # The test tables are small: two thresholds are lowered so that the rules have work to do.
@@ -54,6 +57,22 @@ class Warehouse:
         """Valid, de-duplicated, fingerprinted events, as they come in."""
         return self._table("events", lambda: ingest.store(self.raw(), self.params))
 
+    def days(self, name: str, column: str) -> VersionedTable:
+        """A derived table once more, as a versioned table of days of ``column``."""
+        table = daily(self.spark, f"{self.root}/{name}_days", column)
+        if not table.versions():
+            table.replace(getattr(self, name)())
+        return table
+
+    def event_days(self) -> VersionedTable:
+        return self.days("events", "received_at")
+
+    def part_names(self) -> TitleIndex:
+        index = TitleIndex(self.spark, f"{self.root}/part_names")
+        if not index.table.versions():
+            index.add(self.source("part"), "p_partkey", "p_name")
+        return index
+
     def stored(self) -> DataFrame:
         """Events as they are kept: past the hourly cap without trace and payload, marked ``sampled``."""
         return self._table("stored", lambda: ingest.apply_hourly_cap(
@@ -63,6 +82,12 @@ class Warehouse:
         """Hourly counts; ``since`` reads only the date folders from there on."""
         return self._table("rollups", lambda: ingest.rollup(self.events()), since)
 
+    def pyramid(self) -> Pyramid:
+        """The hourly counts again by hour, day and month."""
+        pyramid = Pyramid(self.spark, f"{self.root}/pyramid")
+        pyramid.merge(self.rollups(), "rollups", 0)
+        return pyramid
+
     def groups(self) -> DataFrame:
         return self._table("groups", lambda: ingest.build_groups(
             self.events(), self.params.hourly_cap, self.rollups()))

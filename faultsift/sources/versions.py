@@ -33,7 +33,7 @@ class Manifest:
 
 
 class VersionedTable:
-    """Parquet under ``path``, partitioned by ``name`` = ``value`` of a row (a day, a bucket).
+    """Parquet under ``path``, partitioned by ``name`` = ``value`` of a row (a day, a bucket), by ``sort`` within.
 
     A version is a manifest: the folder of every partition, its rows and the range of ``order``. A change writes
     the touched partitions into a folder of its own and then renames one manifest into place, so a reader
@@ -42,8 +42,10 @@ class VersionedTable:
     the driver reads.
     """
 
-    def __init__(self, spark: SparkSession, path: str, name: str, value: Column, order: str | None = None):
-        self.spark, self.path, self.name, self.value, self.order = spark, path.rstrip("/"), name, value, order
+    def __init__(self, spark: SparkSession, path: str, name: str, value: Column, order: str | None = None,
+                 sort: str | None = None):
+        self.spark, self.path, self.name, self.value = spark, path.rstrip("/"), name, value
+        self.order, self.sort = order, sort
         self._jvm = spark.sparkContext._jvm
         self._hadoop = spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -121,7 +123,10 @@ class VersionedTable:
             base = f"{self.path}/data"
             # The ending keeps Spark from reading the version as a number.
             folder = f"{base}/v={old.version + 1}-{uuid.uuid4().hex[:8]}"
-            dated.hint("rebalance", self.name).write.partitionBy(self.name).parquet(folder)
+            dealt = dated.hint("rebalance", self.name)
+            if self.sort:  # files in order: a filter on the column skips row groups
+                dealt = dealt.sortWithinPartitions(self.name, self.sort)
+            dealt.write.partitionBy(self.name).parquet(folder)
             made = self._measured(schema, base, folder)
             parts = {k: p for k, p in parts.items() if k not in set(touched or made)} | made
         new = Manifest(old.version + 1, schema.json(), parts,
@@ -155,7 +160,7 @@ class VersionedTable:
 
     def clone(self, path: str) -> VersionedTable:
         """A table of its own that starts from this one's folders; nothing is copied, and neither sees the other's changes."""
-        other = VersionedTable(self.spark, path, self.name, self.value, self.order)
+        other = VersionedTable(self.spark, path, self.name, self.value, self.order, self.sort)
         other._switch(dataclasses.replace(self.manifest(), version=1))
         return other
 

@@ -14,6 +14,7 @@ from faultsift.contracts import DEFAULTS, Params
 from faultsift.functions.fingerprint import with_fingerprint
 from faultsift.operators import ingest
 from faultsift.operators.pyramid import Pyramid
+from faultsift.operators.store import EventStore
 from faultsift.session import cut
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -29,16 +30,30 @@ def ingest_stream(raw: DataFrame, watermark: str = "10 minutes",
                   params: Params = DEFAULTS) -> DataFrame:
     """Validated, de-duplicated, fingerprinted events; ids are remembered per watermark.
 
-    Each batch reports its valid and rejected records as the observed metrics "ingest".
+    Each batch reports its valid and rejected records as the observed metrics "ingest" and its new events as
+    "unique". Ids that come again beyond the watermark are known to ``store_stream`` only.
     """
     use_rocksdb(raw.sparkSession)
     checked = ingest.validate(ingest.assign_event_ids(raw)).observe("ingest", *outcome_counts())
     valid = checked.filter("error IS NULL").drop("error")
     unique = valid.withWatermark("received_at", watermark).dropDuplicatesWithinWatermark(
-        ["event_id"])
+        ["event_id"]).observe("unique", F.count(F.lit(1)).alias("stored"))
     return with_fingerprint(ingest.resolve_legacy(unique), params.fingerprint_version)
 
 
+def store_stream(raw: DataFrame, path: str, checkpoint: str, params: Params = DEFAULTS,
+                 available_now: bool = True) -> StreamingQuery:
+    """Each batch goes into the event store under ``path``, which knows every stored id; no state is kept here."""
+    def batch(df: DataFrame, batch_id: int) -> None:
+        events = EventStore(df.sparkSession, path)
+        events.ingest(df, params, "stream", batch_id)
+        for table in (events.events, events.filters):
+            table.vacuum()
+
+    writer = raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 # -- J2 -------------------------------------------------------------------------------------------
 def rollup_stream(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """Tumbling hourly counts; a partial aggregate precedes the exchange on the key."""
@@ -50,9 +65,11 @@ def rollup_stream(events: DataFrame, watermark: str = "10 minutes") -> DataFrame
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
-                 available_now: bool = True) -> StreamingQuery:
+                 available_now: bool = True, name: str | None = None) -> StreamingQuery:
     writer = (df.writeStream.format("parquet").outputMode(mode)
               .option("path", path).option("checkpointLocation", checkpoint))
+    if name is not None:
+        writer = writer.queryName(name)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

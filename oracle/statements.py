@@ -196,7 +196,7 @@ SELECT * REPLACE ({_legacy('exception_type', 'exceptionType')} AS exception_type
 FROM {source}"""
 
 
-CTE["c_resolved_feed"] = _resolved("c_feed")
+CTE["c_resolved_feed"] = _resolved("c_checked")
 CTE["c_winners"] = """
 SELECT * FROM c_checked WHERE error IS NULL
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY received_at, seq) = 1"""
@@ -641,7 +641,7 @@ FROM c_feed WHERE service <> '' AND seq = 0 GROUP BY ALL"""
 CTE["c_plan"] = """
 SELECT service, CASE WHEN service = 'checkout-api' THEN 0 ELSE ascii(service) END AS service_order,
   h AS hour, count(*) - CASE WHEN hour(h) = 7 THEN 1 ELSE 0 END AS planned
-FROM (SELECT *, date_trunc('hour', received_at) AS h FROM c_feed WHERE service <> '' AND seq = 0)
+FROM (SELECT *, date_trunc('hour', received_at) AS h FROM c_feed WHERE service <> '')
 GROUP BY service, h"""
 CTE["c_sent"] = """
 SELECT g.service, r.bucket_start AS hour, CAST(sum(r.event_count) AS BIGINT) AS delivered
@@ -653,7 +653,7 @@ STATEMENTS.update({
     "A2_stream_source": _SERVICE,
     "A3_table_sink_merge": _ROLLUP,
     "A4_backfill_release": """SELECT coalesce(json_extract_string(payload, '$.release'), release)
-  AS release, count(*) AS events FROM c_feed WHERE seq = 0 GROUP BY 1""",
+  AS release, count(*) AS events FROM c_feed GROUP BY 1""",
     "A4_backfill_rollups": _ROLLUP,
     "A5_backfill_release_range": """SELECT group_id, release_first, release_last FROM c_groups
 WHERE release_first IS NOT NULL""",
@@ -661,14 +661,20 @@ WHERE release_first IS NOT NULL""",
 WHERE resolved_platform <> 'unknown' GROUP BY 1""",
     "B1_validation": "SELECT coalesce(error, 'valid') AS error, count(*) AS events FROM c_checked "
                      "GROUP BY 1",
-    "B2_legacy_fields": "SELECT event_id, seq, exception_type, release FROM c_resolved_feed "
-                        "WHERE event_id IS NOT NULL",
+    "B2_legacy_fields": "SELECT event_id, seq, exception_type, release FROM c_resolved_feed",
     "B3_legacy_stacktrace": "SELECT event_id, seq, CAST(length(stacktrace) AS INTEGER) AS chars, "
-                            "sha256(stacktrace) AS trace_hash FROM c_resolved_feed "
-                            "WHERE event_id IS NOT NULL",
-    "B4_capture_truncation": "SELECT doc_id, CAST(length(substr(text, 1, 4000)) AS INTEGER) AS "
-                             "chars, sha256(substr(text, 1, 4000)) AS hash FROM documents",
-    "B5_deduplicate": """SELECT event_id, received_at, seq FROM c_feed WHERE event_id IS NOT NULL
+                            "sha256(stacktrace) AS trace_hash FROM c_resolved_feed",
+    "B4_capture_truncation": """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1
+    THEN replace(text, 'e', chr(128512)) ELSE text END AS s FROM documents),
+  letters AS (SELECT doc_id, s, regexp_extract_all(s, '(?s).') AS c FROM t),
+  units AS (SELECT doc_id, i, sum(1 + CAST(unicode(x) > 65535 AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS u
+    FROM (SELECT doc_id, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM letters)),
+  fits AS (SELECT doc_id, count(*) FILTER (u <= 4000) AS m, count(*) FILTER (u <= 20000) AS st FROM units GROUP BY 1)
+SELECT doc_id, CAST(length(substr(s, 1, m)) AS INTEGER) AS chars, sha256(substr(s, 1, m)) AS hash,
+  CAST(length(substr(s, 1, st)) AS INTEGER) AS trace_chars, sha256(substr(s, 1, st)) AS trace_hash
+FROM letters JOIN (SELECT doc_id, coalesce(m, 0) AS m, coalesce(st, 0) AS st FROM letters LEFT JOIN fits USING (doc_id))
+  USING (doc_id)""",
+    "B5_deduplicate": """SELECT event_id, received_at, seq FROM c_checked
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY received_at, seq) = 1""",
     "B6_missing_ids": "SELECT c.event_id, c.received_at, c.service FROM c_checked c "
                       "WHERE length(c.event_id) = 64",
@@ -850,6 +856,9 @@ FROM c_ev WHERE received_at < TIMESTAMP '2024-01-24'""",
     AS buckets_without_events
 FROM c_ev WHERE received_at >= TIMESTAMP '2024-01-17'""",
     "H1_group_page": """SELECT group_id, title, service, status, event_count, first_seen, last_seen
+FROM c_states WHERE title ILIKE '%not found%' AND (last_seen, group_id) <
+  (TIMESTAMP '2024-01-29', 'zzzz') ORDER BY last_seen DESC, group_id DESC LIMIT 21""",
+    "H1_newest_page": """SELECT group_id, title, service, status, event_count, first_seen, last_seen
 FROM c_states WHERE title ILIKE '%not found%' AND (last_seen, group_id) <
   (TIMESTAMP '2024-01-29', 'zzzz') ORDER BY last_seen DESC, group_id DESC LIMIT 21""",
     "H1_orders_page": """SELECT o_orderkey, o_orderdate, o_totalprice FROM orders
@@ -887,6 +896,9 @@ FROM c_states s LEFT JOIN (SELECT * FROM c_ranked WHERE stacktrace IS NOT NULL A
                             + " AS iso, event_count FROM (" + _trend(
         "TIMESTAMP '2024-01-02'", "TIMESTAMP '2024-01-31'", "DAY", _BUSY, "d") + ")",
     "H9_similar_to_one": f"""SELECT p_partkey, p_name, round(s, 2) AS score
+FROM (SELECT p_partkey, p_name, {_jaccard(_tri('p_name'), _tri("'small ring'"))} AS s FROM part
+  WHERE p_partkey <> 0) WHERE s > 0.3 ORDER BY s DESC, p_partkey LIMIT 5""",
+    "H9_similar_by_index": f"""SELECT p_partkey, p_name, round(s, 2) AS score
 FROM (SELECT p_partkey, p_name, {_jaccard(_tri('p_name'), _tri("'small ring'"))} AS s FROM part
   WHERE p_partkey <> 0) WHERE s > 0.3 ORDER BY s DESC, p_partkey LIMIT 5""",
     "H10_similar_groups": f"""SELECT group_id, similar_id, round(s, 2) AS score,
@@ -902,7 +914,7 @@ QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY s DESC, similar_id) <=
   (SELECT count(*) FROM c_rollup) AS rollup_rows, '2024-01-31 00:00:00' AS last_sweep_at,
   'scheduled' AS last_sweep_source, 14 AS last_sweep_window_days,
   (SELECT count(*) FROM c_ev WHERE received_at < TIMESTAMP '2024-01-17') AS last_sweep_deleted,
-  {_BYTES} AS events_bytes""",
+  true AS bytes_add_up""",
     "H13_trend_summary": """SELECT group_id, CAST(sum(event_count) AS BIGINT) AS total,
   max(event_count) AS peak, arg_min(bucket_start, (-event_count, bucket_start)) AS first_peak_at
 FROM c_rollup GROUP BY 1""",
@@ -917,6 +929,14 @@ WHERE planned > coalesce(delivered, 0)""",
 FROM (SELECT p.*, coalesce(delivered, 0) AS got FROM c_plan p LEFT JOIN c_sent
   USING (service, hour)) GROUP BY 1""",
     "J1_stream_ingest": "SELECT group_id, count(*) AS events FROM c_ev GROUP BY 1",
+    "J1_stream_store": "SELECT group_id, count(*) AS events FROM c_ev GROUP BY 1",
+    "B5_late_duplicates": "SELECT group_id, count(*) AS events FROM c_ev GROUP BY 1",
+    "B16_stream_outcomes": """SELECT CASE WHEN error IS NOT NULL THEN 'rejected' WHEN stored THEN 'stored'
+    ELSE 'duplicate' END AS outcome, count(*) AS events FROM c_outcomes GROUP BY 1""",
+    "G2_sweep_record": """SELECT TIMESTAMP '2024-01-31' AS ran_at, 'scheduled' AS source, 14 AS window_days,
+  count(*) AS deleted_events, CAST(1 AS BIGINT) AS events_bytes FROM c_ev WHERE received_at < TIMESTAMP '2024-01-17'""",
+    "H3_year_trend": """SELECT group_id, CAST(sum(event_count) AS BIGINT) AS event_count FROM c_rollup
+WHERE bucket_start >= TIMESTAMP '2023-02-10 05:00:00' AND bucket_start < TIMESTAMP '2024-01-27 03:00:00' GROUP BY 1""",
     "J2_stream_rollup": _ROLLUP,
     "J2_stream_windows": """SELECT * FROM c_rollup WHERE bucket_start + INTERVAL 1 HOUR <=
   (SELECT max(received_at) - INTERVAL 1 MINUTE FROM c_ev)""",
