@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 from faultsift.llm.batches import bounded_batches
 
 EXACT = float(1 << 53)
-GROUP_VALUES = 1 << 23  # components of the blocks a task holds at a time
+GROUP_VALUES = 1 << 23  # components of the rows a task holds at a time
+ROWS_AT_ONCE = 512
+OWN_ORDER = 4  # blocks that each query takes in its own order
 
 
 def quantised(vectors: DataFrame, scale: int, id_column: str, vector_column: str) -> DataFrame:
@@ -40,30 +42,62 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def coherent_order(rows: np.ndarray, block: int) -> list[np.ndarray]:
+    """Row numbers in blocks of `block` at most: rows are halved at the median of their most spread component
+    until they fit, so a block's components lie close together and its maxima bound its rows tightly."""
+    done, todo = [], [np.arange(len(rows))]
+    while todo:
+        some = todo.pop()
+        if len(some) <= block:
+            done.append(some)
+            continue
+        own = rows[some]
+        widest = int(np.argmax(own.var(axis=0)))
+        half = len(some) // 2
+        order = np.argpartition(own[:, widest], half)
+        todo += [some[order[half:]], some[order[:half]]]
+    return done
+
+
 class _Searcher:
     """The best k of each query over the blocks one task has seen."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
-        self.ids, self.queries, self.k = ids, queries, k
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, block_rows: int = 256):
+        self.ids, self.queries, self.k, self.block_rows = ids, queries, k, block_rows
         self.real = queries.astype(np.float64)
         self.high, self.low = np.maximum(self.real, 0), np.minimum(self.real, 0)
-        self.top = (np.zeros(0, np.int64),) * 3  # query number, score, vector id
+        self.score = np.full((len(ids), k), np.iinfo(np.int64).min)
+        self.vector = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.many = np.zeros(len(ids), np.int64)
         self.kth = np.full(len(ids), -np.inf)
         self.largest = np.abs(self.real).max(initial=0)
-
-    def group(self, blocks: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Each query takes the blocks from the highest bound down, until one falls below its kth."""
-        bounds = np.stack([self.high @ m.max(axis=0).astype(np.float64)
-                           + self.low @ m.min(axis=0).astype(np.float64) for _, m in blocks])
+        self.scored = self.pairs = 0  # (query, block) pairs that were scored, of all
+
+    def rows(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        """Each query takes its few blocks of highest bound first, from the highest down, which brings its kth near
+        its end; the other blocks then go once over all queries whose bound there is still not below their kth."""
+        real = matrix.astype(np.float64)
+        blocks = [(ids[some], matrix[some]) for some in coherent_order(real, self.block_rows)]
+        bounds = (np.stack([m.max(axis=0) for _, m in blocks]).astype(np.float64) @ self.high.T
+                  + np.stack([m.min(axis=0) for _, m in blocks]).astype(np.float64) @ self.low.T)
         bounds += np.abs(bounds) * 1e-9 + 1e-6  # the rounding of a bound must not lose a score
+        self.pairs += bounds.size
+        first = min(OWN_ORDER, len(blocks))
         order = np.argsort(-bounds, axis=0, kind="stable")
-        for turn in range(len(blocks)):
-            mine = order[turn]
-            open_ = np.flatnonzero(bounds[mine, np.arange(len(mine))] >= self.kth)
-            if not len(open_):
-                return
-            for b in np.unique(mine[open_]):
-                self._score(*blocks[b], open_[mine[open_] == b])
+        for turn in range(first):
+            self._visit(blocks, bounds, order[turn])
+        bounds[order[:first], np.arange(len(self.ids))] = -np.inf
+        for block in np.argsort(-bounds.max(axis=1), kind="stable"):
+            self._visit(blocks, bounds, np.full(len(self.ids), block))
+
+    def _visit(self, blocks: list, bounds: np.ndarray, mine: np.ndarray) -> None:
+        """Scores block mine[q] for each query q whose bound there is not below its kth (-inf: was there)."""
+        here = bounds[mine, np.arange(len(mine))]
+        asked = np.flatnonzero((here >= self.kth) & (here > -np.inf))
+        self.scored += len(asked)
+        by = asked[np.argsort(mine[asked], kind="stable")]
+        for some in np.split(by, np.flatnonzero(np.diff(mine[by])) + 1) if len(by) else []:
+            self._score(*blocks[mine[some[0]]], some)
 
     def _score(self, ids: np.ndarray, block: np.ndarray, asked: np.ndarray) -> None:
         width = block.shape[1]
@@ -71,28 +105,34 @@ class _Searcher:
             scores = (self.real[asked] @ block.T.astype(np.float64)).astype(np.int64)
         else:  # beyond 53 bits: 64-bit integers, which wrap as a long does
             scores = self.queries[asked] @ block.T
-        other = ids[None, :] != self.ids[asked][:, None]
-        floor = np.where(other, scores, np.iinfo(np.int64).min)
-        if len(ids) > self.k:
-            floor = np.partition(floor, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
-        else:
-            floor = floor.min(axis=1)
-        keep = other & (scores >= floor[:, None]) & (scores >= self.kth[asked][:, None])
+        keep = (ids[None, :] != self.ids[asked][:, None]) & (scores >= self.kth[asked][:, None])
         row, column = np.nonzero(keep)
-        number = np.concatenate([self.top[0], asked[row]])
-        score = np.concatenate([self.top[1], scores[row, column]])
-        vector = np.concatenate([self.top[2], ids[column]])
+        if not len(row):
+            return
+        hit = np.unique(row)  # queries whose best may change; the others are not looked at
+        own = asked[hit]
+        held = np.arange(self.k)[None, :] < self.many[own][:, None]
+        number = np.concatenate([np.nonzero(held)[0], np.searchsorted(hit, row)])
+        score = np.concatenate([self.score[own][held], scores[row, column]])
+        vector = np.concatenate([self.vector[own][held], ids[column]])
         by = np.lexsort((vector, -score, number))
         number, score, vector = number[by], score[by], vector[by]
         rank = np.arange(len(number)) - np.searchsorted(number, number)
         best = rank < self.k
-        self.top = number[best], score[best], vector[best]
-        last = rank == self.k - 1
-        self.kth[number[last]] = score[last]
+        number, rank = number[best], rank[best]
+        self.score[own[number], rank], self.vector[own[number], rank] = score[best], vector[best]
+        self.many[own] = np.bincount(number, minlength=len(own))
+        full = own[self.many[own] == self.k]
+        self.kth[full] = self.score[full, self.k - 1]
+
+    def top(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, score, vector id) of what is held."""
+        number, rank = np.nonzero(np.arange(self.k)[None, :] < self.many[:, None])
+        return number, self.score[number, rank], self.vector[number, rank]
 
 
 def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, scale: int = 1024,
-           id_column: str = "vec_id", vector_column: str = "embedding", block_rows: int = 512,
+           id_column: str = "vec_id", vector_column: str = "embedding", block_rows: int = 256,
            queries_at_once: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best vectors of every query by integer inner product.
 
@@ -101,8 +141,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, scale: int =
     A query id that comes twice is answered for each of its distinct vectors under the same id.
     Empty tables give no rows. Scores are 64-bit integers.
 
-    Tasks cut their vectors into blocks of consecutive rows, keep each block's maximum and minimum per
-    component, and go through the blocks of a query in the order of their bounds. Queries come in
+    Tasks cut their vectors into blocks of rows that lie close together (`coherent_order`), keep each block's maximum
+    and minimum per component, and go through the blocks of a query in the order of their bounds. Queries come in
     sets of about `queries_at_once` (by hash; each set is sent to the tasks once), so neither
     the driver nor a task holds all of them; every task returns k rows a query at most, from which a
     rank filter takes the best.
@@ -124,19 +164,23 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, scale: int =
             (rows["id"].to_numpy(), _matrix(rows["q"].combine_chunks(), width)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, part=part) -> Iterator[pa.RecordBatch]:
-            searcher = _Searcher(*sent.value, k)
+            searcher = _Searcher(*sent.value, k, block_rows)
             held, values = [], 0
+
+            def group() -> None:
+                searcher.rows(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
             for batch in batches:
-                for at in range(0, batch.num_rows, block_rows):
-                    rows = batch.slice(at, block_rows)
+                for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    rows = batch.slice(at, ROWS_AT_ONCE)
                     held.append((rows.column(0).to_numpy(), _matrix(rows.column(1), width)))
                     values += len(rows) * width
                     if values >= GROUP_VALUES:
-                        searcher.group(held)
+                        group()
                         held, values = [], 0
             if held:
-                searcher.group(held)
-            number, score, vector = searcher.top
+                group()
+            number, score, vector = searcher.top()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, pa.int64()) for x in (np.full(len(number), part), number,
                                                    searcher.ids[number], score, vector)], names=schema.names)

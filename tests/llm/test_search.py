@@ -31,6 +31,30 @@ def test_search_is_exact_with_ties_and_odd_vectors(spark, at_once):
     assert sorted(map(tuple, got.collect())) == brute(rows, asked, 10)
 
 
+def test_bounds_prune_where_vectors_lie_in_clusters():
+    random = np.random.default_rng(4)
+    centres = random.normal(size=(60, 32)) * 500
+    rows = (centres[random.integers(60, size=20_000)] + random.normal(size=(20_000, 32)) * 40).astype(np.int64)
+    ids, asked = np.arange(len(rows)), np.arange(0, len(rows), 100)
+    searcher = topk._Searcher(asked, rows[asked], 10)
+    searcher.rows(ids, rows)
+    scores = rows[asked] @ rows.T
+    scores[np.arange(len(asked)), asked] = -(1 << 62)
+    want = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :10]
+    number, score, vector = searcher.top()
+    assert (number.reshape(-1, 10) == np.arange(len(asked))[:, None]).all()
+    assert (vector.reshape(-1, 10) == want).all()
+    assert (score.reshape(-1, 10) == np.take_along_axis(scores, want, axis=1)).all()
+    assert searcher.scored < 0.5 * searcher.pairs
+
+
+def test_blocks_cover_all_rows_once():
+    rows = np.random.default_rng(5).normal(size=(1000, 3))
+    rows[:500] = rows[0]
+    blocks = topk.coherent_order(rows, 64)
+    assert sorted(np.concatenate(blocks).tolist()) == list(range(1000)) and max(map(len, blocks)) <= 64
+
+
 def test_search_of_few_and_no_vectors(spark):
     few = spark.createDataFrame([(1, [1.0], 0), (2, [2.0], 0)], VECTORS)
     assert [tuple(r) for r in topk.search(few, few.where("vec_id = 1")).collect()] == [(1, 1, 2, 1024 * 2048)]
