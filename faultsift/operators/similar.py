@@ -37,7 +37,7 @@ class TitleIndex:
     """Postings of trigrams (token, length of the title's set, key) in buckets of the trigram, in its order."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.table = VersionedTable(spark, path, "bucket", self._bucket(F.col("token"), buckets), sort="token")
+        self.table = VersionedTable(spark, path, "bucket", self._bucket(F.col("token"), buckets), sort="token", counted=False)
         self.spark, self.buckets = spark, buckets
 
     @staticmethod
@@ -104,6 +104,8 @@ def similar_groups(groups: DataFrame, key: str = "group_id", text: str = "title"
                          .filter(F.coalesce("_others", F.lit(0)) + F.col("carriers") - 1 < TOP)
                          .drop("_others"))
         above = level
+        if open_nodes.isEmpty():
+            break
     same = nodes.select("node", F.col("node").alias("other"), F.lit(1.0).alias("score"))
     pairs = reduce(DataFrame.unionByName, found).select("node", "other", "score").unionByName(same)
     # Each node keeps only as many neighbours as can matter, before ids are attached.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +17,17 @@ SEGMENT = 32_768  # bits that one bitmap row holds
 BITS_PER_ID, HASHES = 16, 4  # one id in 400 looks stored on a day that does not hold it
 
 
-def _bits_of(rows: int) -> int:
-    return SEGMENT * max(1, -(-BITS_PER_ID * rows // SEGMENT))
+def _segments(rows: int) -> int:
+    return max(1, -(-BITS_PER_ID * rows // SEGMENT))
+
+
+def _segment(size: Column) -> Column:
+    """All bits of an id lie in one segment, so one row of a filter answers for it."""
+    return F.pmod(F.xxhash64("event_id", F.lit(HASHES)), size)
 
 
-def _places(size: Column) -> Column:
-    return F.array(*[F.pmod(F.xxhash64("event_id", F.lit(i)), size) for i in range(HASHES)])
+def _bits() -> list[Column]:
+    return [F.pmod(F.xxhash64("event_id", F.lit(i)), F.lit(SEGMENT)) for i in range(HASHES)]
 
 
 class EventStore:
@@ -33,7 +40,7 @@ class EventStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.events = daily(spark, f"{path}/events", "received_at")
-        self.filters = VersionedTable(spark, f"{path}/filters", "part", F.col("of"))
+        self.filters = VersionedTable(spark, f"{path}/filters", "part", F.col("of"), counted=False)
         self.days_read: list[str] = []
 
     @staticmethod
@@ -51,13 +58,13 @@ class EventStore:
         rows = None
         if fresh:
             sizes = self.spark.createDataFrame(
-                [(d, n, _bits_of(p.rows)) for n, (d, p) in fresh.items()], "_day string, of string, size long")
+                [(d, n, _segments(p.rows)) for n, (d, p) in fresh.items()], "_day string, of string, size long")
             days = {d for d, _ in fresh.values()}
             ids = self.events.read(lambda d, _: d in days).select(
                 "event_id", F.to_date("received_at").cast("string").alias("_day"))
-            rows = (ids.join(sizes, "_day").select("of", F.explode(_places(F.col("size"))).alias("_place"))
-                    .groupBy("of", F.expr(f"_place DIV {SEGMENT}").alias("segment"))
-                    .agg(F.bitmap_construct_agg(F.col("_place") % SEGMENT).alias("bits")))
+            rows = (ids.join(sizes, "_day")
+                    .select("of", "size", _segment(F.col("size")).alias("segment"), F.explode(F.array(*_bits())).alias("_bit"))
+                    .groupBy("of", "size", "segment").agg(F.bitmap_construct_agg("_bit").alias("bits")))
         else:
             rows = self.filters.read(lambda *_: False)
         self.filters.replace(rows, touched=list(fresh), drop=[n for n in known if n not in wanted])
@@ -68,20 +75,20 @@ class EventStore:
         made = self.filters.manifest()
         names = {self._filter_name(d, p): (d, p) for d, p in parts.items()}
         certain = [d for n, (d, _) in names.items() if n not in made.parts]
-        asked = [F.struct(F.lit(n).alias("of"), F.lit(_bits_of(p.rows)).cast("bigint").alias("size"))
-                 for n, (_, p) in names.items() if n in made.parts]
-        if not asked:
+        sizes = sorted({_segments(p.rows) for n, (_, p) in names.items() if n in made.parts})
+        if not sizes:
             return sorted(certain)
-        probes = (ids.select("event_id").distinct().select("event_id", F.explode(F.array(*asked)).alias("_f"))
-                  .select("event_id", "_f.of", F.explode(_places(F.col("_f.size"))).alias("_place"))
-                  .withColumn("segment", F.expr(f"_place DIV {SEGMENT}")))
-        byte = F.substring("bits", (F.expr(f"_place % {SEGMENT} DIV 8") + 1).cast("int"), F.lit(1))
-        bit = F.call_function("shiftright", F.conv(F.hex(byte), 16, 10).cast("int"),
-                              (F.col("_place") % 8).cast("int")) % 2 == 1
+        probes = (ids.select("event_id").distinct()
+                  .select("event_id", F.explode(F.array(*[F.lit(n).cast("bigint") for n in sizes])).alias("size"))
+                  .withColumn("segment", _segment(F.col("size"))))
         bitmaps = self.filters.read(lambda n, _: n in names, made)
-        hit = (probes.join(bitmaps, ["of", "segment"]).groupBy("event_id", "of").agg(F.bool_and(bit).alias("_all"),
-                                                                                    F.count(F.lit(1)).alias("_n"))
-               .filter(F.col("_all") & (F.col("_n") == HASHES)).select("of").distinct().collect())
+
+        def is_set(bit: Column) -> Column:
+            byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            return F.call_function("shiftright", byte, (bit % 8).cast("int")) % 2 == 1
+
+        hit = (probes.join(bitmaps, ["size", "segment"]).filter(reduce(Column.__and__, map(is_set, _bits())))
+               .select("of").distinct().collect())
         return sorted(certain + [names[r["of"]][0] for r in hit])
 
     def fresh(self, df: DataFrame) -> DataFrame:

@@ -209,12 +209,12 @@ def B11_groups(w):
 
 
 def _in_parts(w, sweep_between: bool) -> DataFrame:
-    """The feed loaded in three parts into an event store, a rollup table and a group table of 32 buckets."""
+    """The feed loaded in three parts into an event store, a rollup table and a group table of eight buckets."""
     root, days = scratch_path(w.spark, "parts"), ("2024-01-11", "2024-01-21", "2025-01-01")
     cap, since = w.params.hourly_cap, "2000-01-01"
     events = store.EventStore(w.spark, root)
     rollups = versions.daily(w.spark, f"{root}/rollups", "bucket_start")
-    groups = versions.bucketed(w.spark, f"{root}/groups", "group_id")
+    groups = versions.bucketed(w.spark, f"{root}/groups", "group_id", 8)
     for until in days:
         part = w.raw().filter((F.col("received_at") >= since) & (F.col("received_at") < until))
         batch = events.ingest(part, w.params)

@@ -951,8 +951,8 @@ GROUP BY ALL HAVING count(*) FILTER (bucket_start > sweep_at - INTERVAL 3 HOUR)
     "J3_stream_alerts": """SELECT e.group_id, e.kind, e.at_time, (SELECT min(c.event_id) FROM c_cand c
   WHERE c.group_id = e.group_id AND c.kind = e.kind AND c.at_time = e.at_time) AS event_id FROM emit_c_cand e
 WHERE e.kind <> 'silence' AND e.at_time < (
-  SELECT date_trunc('millisecond', max(at)) - INTERVAL 1 MINUTE FROM (
-    SELECT received_at AS at FROM c_ev UNION ALL SELECT changed_at FROM c_log))""",
+  SELECT date_trunc('millisecond', max(moment)) - INTERVAL 1 MINUTE FROM (
+    SELECT received_at AS moment FROM c_ev UNION ALL SELECT changed_at FROM c_log))""",
 })
 
 
