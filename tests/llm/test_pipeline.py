@@ -78,4 +78,4 @@ def test_odd_tables_go_through_with_their_columns(spark, tmp_path, table):
 
 def test_every_operator_has_its_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
