@@ -13,6 +13,8 @@ HEX = r"[0-9a-f]{16,}"  # runs of fewer never count, and runs are whole
 ENDPOINT = r"""(?:https?|ftp|ssh|jdbc:[a-z]+|mongodb|postgres|mysql|redis|amqp)://[^\s"'<>|]+"""
 LOGIN = r"""(?i)(?:username|user|login|client_id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
 KINDS = ("assign", "access", "hex", "weak_secret", "weak_access", "login", "endpoint")
+BLOCK = 64
+NOWHERE = -(1 << 30)  # before every place of a text
 SPAN = "array<struct<start:int,turn:int,end:int,kind:string>>"
 
 
@@ -25,20 +27,45 @@ def _found(text: Column, pattern: str, needed: Column | None = None) -> Column:
     return hits if needed is None else F.when(needed, hits).otherwise(_none("array<string>"))
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, whole, joined) -> Column:
+    """What `whole` gives for the first i values, for every i.
+
+    In blocks of BLOCK values and over the blocks, so that no array grows by one element at a time: a row of n values
+    costs BLOCK n / 2 + (n / BLOCK)^2 / 2 steps.
+    """
+    def over(blocks: Column) -> Column:
+        before = _let(F.transform(blocks, whole), lambda tops: F.transform(
+            tops, lambda _, b: whole(F.slice(tops, F.lit(1), b))))
+        return F.flatten(F.zip_with(blocks, before, lambda block, base: F.transform(
+            block, lambda _, j: joined(base, whole(F.slice(block, F.lit(1), j + 1))))))
+
+    def blocks(known: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(known) - 1) / BLOCK).cast("int")),
+                           lambda b: F.slice(known, b * BLOCK + 1, F.lit(BLOCK)))
+
+    return _let(values, lambda known: F.when(F.size(known) > 0, _let(blocks(known), over)).otherwise(_none("array<int>")))
+
+
+def _running_sum(values: Column) -> Column:
+    return _running(values, lambda some: F.aggregate(some, F.lit(0), lambda a, x: a + x), lambda a, b: a + b)
+
+
+def _running_max(values: Column) -> Column:
+    return _running(values, lambda some: F.coalesce(F.array_max(some), F.lit(NOWHERE)), F.greatest)
+
+
 def _places(hits: Column, text: Column, pattern: str) -> Column:
     """(start, end) of every match: lengths of the texts between the matches, added up."""
-    between = F.split(text, pattern, -1)
-    kind = "array<struct<start:int,end:int,hit:string>>"
-    steps = F.zip_with(hits, F.slice(between, F.lit(1), F.size(hits)),
-                       lambda hit, gap: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-    walked = F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), _none(kind).alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + F.length(s["hit"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + F.length(s["hit"])).alias("end"),
-                s["hit"].alias("hit")))).alias("out")))["out"]
-    return F.when(F.size(hits) > 0, walked).otherwise(_none(kind))
+    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+    ends = _running_sum(F.zip_with(hits, between, lambda hit, gap: F.length(gap) + F.length(hit)))
+    placed = F.zip_with(hits, ends, lambda hit, end: F.struct(
+        (end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("hit")))
+    return F.when(F.size(hits) > 0, placed).otherwise(_none("array<struct<start:int,end:int,hit:string>>"))
 
 
 def _spans(places: Column, kind: str, keep=None) -> Column:
@@ -48,9 +75,30 @@ def _spans(places: Column, kind: str, keep=None) -> Column:
         F.lit(kind).alias("kind")))
 
 
-def _near(part: Column, others: Column, reach: int) -> Column:
-    """Whether any other part lies in the part's scope: `reach` code points before and after it."""
-    return F.exists(others, lambda o: (o["start"] <= part["end"] + reach) & (o["end"] >= part["start"] - reach))
+def _swept(parts: Column, asked_at, sides: dict[str, Column], holds) -> Column:
+    """The parts for which `holds`, given a part and by side the last end of all intervals of that side that
+    start at or before `asked_at` of the part: parts and intervals are sorted by place into one line and swept once."""
+    names = list(sides)
+    nowhere, nobody = F.lit(NOWHERE), F.lit(None).cast("struct<start:int,turn:int,end:int,kind:string>")
+
+    def point(at: Column, asks: int, ends: dict[str, Column], part: Column) -> Column:
+        return F.struct(at.alias("at"), F.lit(asks).alias("asks"), part.alias("part"),
+                        *(ends.get(n, nowhere).alias(n) for n in names))
+
+    def points(side: str) -> Column:
+        return F.transform(sides[side], lambda o: point(o["start"], 0, {side: o["end"]}, nobody))
+
+    def last_ends(line: Column, side: str) -> Column:
+        return _running_max(F.transform(line, lambda x: x[side])).alias(side)
+
+    def sweep(line: Column) -> Column:
+        met = _let(F.struct(*(last_ends(line, n) for n in names)), lambda ends: F.transform(
+            line, lambda x, i: F.struct(x["part"].alias("part"), *(ends[n][i].alias(n) for n in names))))
+        return F.transform(F.filter(met, lambda x: x["part"].isNotNull() & holds(x["part"], x)), lambda x: x["part"])
+
+    line = F.array_sort(F.concat(*(points(n) for n in names),
+                                 F.transform(parts, lambda p: point(asked_at(p), 1, {}, p))))
+    return F.when(F.size(parts) > 0, _let(line, sweep)).otherwise(_none(SPAN))
 
 
 def find_secrets(docs: DataFrame, *, text_column: str = "text", carry: tuple[str, ...] = ("doc_id",),
@@ -65,8 +113,8 @@ def find_secrets(docs: DataFrame, *, text_column: str = "text", carry: tuple[str
     identifier, login or endpoint, an endpoint where a secret and an identifier or login are both in scope. Alone, weak
     parts are not reported. A weak part inside a base span is that span's.
 
-    Column functions only, row by row and without a shuffle; a document costs its length, and its weak
-    parts times its parts. Null and empty texts have no spans; repeated rows stay; an empty table gives no
+    Column functions only, row by row and without a shuffle; parts and scopes are
+    sorted by place and swept once. Null and empty texts have no spans; repeated rows stay; an empty table gives no
     rows; a carried column named `base` or `spans` is left out.
     """
     names = [n for n in carry if n.lower() not in ("base", "spans")]
@@ -93,12 +141,18 @@ def find_secrets(docs: DataFrame, *, text_column: str = "text", carry: tuple[str
         *names, "weak_secret", "endpoint", F.concat("assign", "access", "hex").alias("__base"),
         F.concat("assign", "hex", "weak_secret").alias("__secret"),
         F.concat("access", "weak_access", "login").alias("__who"), F.concat("weak_access", "login").alias("__weak"))
-    free = lambda p: ~F.exists("__base", lambda b: (b["start"] <= p["start"]) & (p["end"] <= b["end"]))
-    linked = F.concat(
-        F.filter("weak_secret", lambda p: free(p) & (_near(p, F.col("__who"), reach) | _near(p, F.col("endpoint"), reach))),
-        F.filter("__weak", lambda p: free(p) & _near(p, F.col("__secret"), reach)),
-        F.filter("endpoint", lambda p: free(p) & _near(p, F.col("__secret"), reach) & _near(p, F.col("__who"), reach)))
-    return sides.select(*names, F.array_sort("__base").alias("base"),
+    weak = F.concat("weak_secret", "__weak", "endpoint")
+    free = sides.withColumn("__free", _swept(weak, lambda p: p["start"], {"base": F.col("__base")},
+                                             lambda p, last: last["base"] < p["end"]))
+
+    def beside(p: Column, last: Column) -> Column:
+        meets = lambda side: last[side] >= p["start"] - reach
+        return (F.when(p["kind"] == "weak_secret", meets("who") | meets("endpoint"))
+                .when(p["kind"] == "endpoint", meets("secret") & meets("who")).otherwise(meets("secret")))
+
+    linked = _swept(F.col("__free"), lambda p: p["end"] + reach, {
+        "secret": F.col("__secret"), "who": F.col("__who"), "endpoint": F.col("endpoint")}, beside)
+    return free.select(*names, F.array_sort("__base").alias("base"),
                         F.array_sort(F.concat("__base", linked)).alias("spans"))
 
 

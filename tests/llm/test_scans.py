@@ -110,3 +110,16 @@ def test_weak_parts_alone_are_not_reported_and_redaction_joins_overlaps(spark):
         "x", secrets.redacted(found["text"], found["spans"], "#")).collect()}
     assert out == {1: (0, "user=bob"), 2: (0, "password=hunter22"), 3: (2, "# # end"), 4: (2, "#\" rest"), 5: (0, None)}
     assert secrets.find_secrets(no_docs(spark)).count() == 0
+
+
+def test_a_text_of_many_linked_pairs(spark):
+    """One row with 8,000 linked pairs, over many blocks of the running folds; every place is known."""
+    pairs = [f"password=abcd{i % 10}{i % 7}x user=bob{i}" for i in range(8000)]
+    docs = spark.createDataFrame([(1, " ".join(pairs))], "doc_id long, text string")
+    row, = secrets.find_secrets(docs).collect()
+    want, at = [], 0
+    for pair in pairs:
+        cut = pair.index(" ")
+        want += [(at, at + cut, "weak_secret"), (at + cut + 1, at + len(pair), "login")]
+        at += len(pair) + 1
+    assert row["base"] == [] and [(s["start"], s["end"], s["kind"]) for s in row["spans"]] == want
