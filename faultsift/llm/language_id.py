@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.batches import bounded_batches, carried, made_batch, raw_bytes, text_slices
+from faultsift.llm.batches import bounded_batches, carried, free_name, made_batch, raw_bytes, text_slices
 
 UNITS = 8           # of the state, per direction
 LENGTH = 64         # bytes of a window; every byte of a text is in one
@@ -199,12 +199,13 @@ def identify(docs: DataFrame, model: LanguageModel | None, *, text_column: str =
     made = T.StructType([T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)])
     kept = carried(docs, carry, made)
     names = [f.name for f in kept]
+    own, worded_name = free_name(docs, "__text"), free_name(docs, "__worded")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in text_slices(batch, "__text"):
-                worded = rows.column(rows.schema.get_field_index("__worded")).to_numpy(zero_copy_only=False)
+            for rows, texts in text_slices(batch, own):
+                worded = rows.column(rows.schema.get_field_index(worded_name)).to_numpy(zero_copy_only=False)
                 if sent.value is None:
                     lang, score = np.full(len(rows), "und"), np.zeros(len(rows))
                 else:
@@ -214,6 +215,6 @@ def identify(docs: DataFrame, model: LanguageModel | None, *, text_column: str =
                 yield made_batch(rows, names, {"lang_pred": pa.array(lang.tolist(), pa.string()), "score": pa.array(score)})
 
     text = docs[text_column]
-    return docs.select(*[docs[n] for n in names], text.alias("__text"),
-                       F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__worded")).mapInArrow(
+    return docs.select(*[docs[n] for n in names], text.alias(own),
+                       F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias(worded_name)).mapInArrow(
         run, T.StructType(kept + made.fields))

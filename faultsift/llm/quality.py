@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.batches import NONBLANK, ODD, Words, bounded_batches, carried, made_batch, raw_bytes, text_slices
+from faultsift.llm.batches import NONBLANK, ODD, Words, bounded_batches, carried, free_name, made_batch, raw_bytes, text_slices
 
 SINGLES, PAIRS, TRIPLES = 256, 1 << 16, 1 << 16
 RUNS = (2, 3, 4, 6, 8)  # n-grams of one repeated word, whichever it is
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_column: str = "
 
     The log-count ratios come from all of them, counted by Spark; labels are joined by a sort-merge join
     at every size, as they grow with the documents. The support vector machine is fitted
-    to `max_train` of them at most (those of least hash of the id; this bound is the memory and time
+    to `max_train` rows of them at most (those of least hash of the id, repeated ids and all; this bound is the memory and time
     of the fit, which runs in the driver), calibrated on every fifth. Labels other than 0 and 1
     and null ids are left out; a document with several labels counts once for each. If a class has no
     example, every score is the share of the other.
@@ -166,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_column: str = "
     chosen = (labels.where(F.col(label_column).isin(0, 1)).where(train)
               .select(F.col(id_column).alias("__id"), F.col(label_column).cast("int").alias("__label"))
               .orderBy(F.xxhash64("__id"), "__id").limit(max_train))
-    sample = joined(F.broadcast(chosen)).select("__text", "__label", id_column).toArrow().combine_chunks()
+    sample = (joined(F.broadcast(chosen)).orderBy(F.xxhash64("__id"), "__id", "__label", F.xxhash64("__text"))
+              .limit(max_train).select("__text", "__label", id_column).toArrow().combine_chunks())  # ids may repeat
     sample = sample.sort_by([(id_column, "ascending"), ("__label", "ascending"), ("__text", "ascending")])
     rows = []
     for _, part in text_slices(sample.to_batches()[0], "__text"):
@@ -201,13 +202,14 @@ def score(docs: DataFrame, model: QualityModel, *, text_column: str = "text",
     kept = carried(docs, carry, made)
     names = [f.name for f in kept]
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    own = free_name(docs, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in text_slices(batch, "__text"):
+            for rows, texts in text_slices(batch, own):
                 scores = sent.value.scores(*raw_bytes(texts))
                 yield made_batch(rows, names, {"score": pa.array(scores),
                                                "predicted": pa.array((scores >= 0.5).astype(np.int32))})
 
-    return docs.select(*[docs[n] for n in names], docs[text_column].alias("__text")).mapInArrow(
+    return docs.select(*[docs[n] for n in names], docs[text_column].alias(own)).mapInArrow(
         run, T.StructType(kept + made.fields))

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -53,6 +54,53 @@ def test_quality_on_held_out_documents(spark):
     assert n > 80 and right > 0.97
 
 
+def brute_features(text):
+    """Runs of one to three bytes and the longest run of one word, by plain loops."""
+    data = text.encode()
+    out = set(data) | {256 + a * 256 + b for a, b in zip(data, data[1:], strict=False)}
+    for i in range(len(data) - 2):
+        code = data[i] << 16 | data[i + 1] << 8 | data[i + 2]
+        out.add(256 + 65536 + (code * 0x9E3779B97F4A7C15 % (1 << 64) >> 48))
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    longest, last, run = 0, None, 0
+    for word in (w for w in re.split("[ \t\n\x0b\x0c\r]+", lowered) if w):
+        run, last = (run + 1 if word == last else 1), word
+        longest = max(longest, run)
+    return out | {256 + 2 * 65536 + i for i, n in enumerate((2, 3, 4, 6, 8)) if longest >= n}
+
+
+def test_quality_scores_match_brute_force(spark):
+    """Ratios by plain counts over the training rows, margins and scores by plain sums."""
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    docs = docs.where(F.length("text") < 3000).limit(250).unionByName(docs.limit(1).withColumn("text", F.lit(""))).cache()
+    model = quality.fit(docs, labels, bucket(3) != 1)
+    known = docs.join(labels.select("doc_id", "quality"), "doc_id").where(bucket(3) != 1).collect()
+    size, held = collections.Counter(r["quality"] for r in known), {0: collections.Counter(), 1: collections.Counter()}
+    for r in known:
+        held[r["quality"]].update(brute_features(r["text"]))
+    ratio = {f: math.log((held[1][f] + 1) / (size[1] + 2) / ((held[0][f] + 1) / (size[0] + 2)))
+             for f in held[0].keys() | held[1].keys()}
+    at = np.array(sorted(ratio))
+    assert np.allclose(model.squares[at], [ratio[f] ** 2 for f in at]) and model.squares.sum() == pytest.approx(
+        sum(x * x for x in ratio.values()))
+    for r in quality.score(docs, model, carry=("doc_id", "text")).collect():
+        own = brute_features(r["text"])
+        norm = math.sqrt(max(sum(ratio.get(f, 0.0) ** 2 for f in own), 1e-12))
+        margin = sum(model.weights[f] for f in own) / norm + model.bias
+        want = 1 / (1 + math.exp(-(model.slope * margin + model.shift)))
+        assert math.isclose(r["score"], want, abs_tol=1e-6) and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_quality_fit_is_bounded_where_ids_repeat(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"fine text number {i}") for i in range(300)] + [(2, "poor poor poor")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, "x"), (2, 0, "x")], LABELS)
+    rows, given = [], quality.dual_descent
+    monkeypatch.setattr(quality, "dual_descent", lambda some, *rest: (rows.append(len(some)), given(some, *rest))[1])
+    model = quality.fit(docs, labels, F.lit(True), max_train=40)
+    assert rows and rows[0] <= 40
+    assert quality.score(docs.withColumn("__text", F.lit("own")), model, carry=("doc_id", "__text")).where("__text = 'own'").count() == 301
+
+
 def test_quality_of_odd_tables(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(1, 1, "x"), (6, 0, "x"), (2, 1, "x"), (None, 1, "x"), (7, None, "x"), (8, 5, "x"),
@@ -104,6 +152,49 @@ def test_backpropagation_matches_differences():
         assert math.isclose((high - low) / 2e-2, float(slope[at]), rel_tol=2e-2)
 
 
+def scalar_states(layer, text):
+    """States of one gated recurrent layer over the bytes of one window, by scalar loops."""
+    u, out = layer.kept.shape[1], []
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    state = [0.0] * u
+    for x in text:
+        inner = [sum(float(layer.kept[g, j]) * state[j] for j in range(u)) for g in range(3 * u)]
+        update = [sigmoid(float(layer.given[j, x]) + inner[j]) for j in range(u)]
+        reset = [sigmoid(float(layer.given[u + j, x]) + inner[u + j]) for j in range(u)]
+        new = [math.tanh(float(layer.given[2 * u + j, x]) + reset[j] * inner[2 * u + j]) for j in range(u)]
+        state = [new[j] + update[j] * (state[j] - new[j]) for j in range(u)]
+        out.append(state)
+    return out
+
+
+def test_language_scores_match_scalar_loops(spark):
+    """A network of random weights: the operator's score is that of loops over bytes, windows and letters."""
+    random_ = np.random.default_rng(8)
+    ahead, back = language_id.Direction(random_), language_id.Direction(random_)
+    out = random_.normal(0, 1, (3, 2 * language_id.UNITS + 1)).astype(np.float32)
+    model = language_id.LanguageModel(["aa", "bb", "cc"], ahead, back, out)
+    texts = ["A short one, 3 words", "Größe und Maß " * 12, "42 !"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("__worded", F.lit("own"))
+    got = {r["doc_id"]: r for r in language_id.identify(docs, model, carry=("doc_id", "__worded")).collect()}
+    assert {r["__worded"] for r in got.values()} == {"own"}
+    for i, text in enumerate(texts):
+        data, total, seen = list(text.encode()), [0.0] * 3, 0.0
+        for at in range(0, len(data), language_id.LENGTH):
+            own = [int(language_id.BYTES[b]) for b in data[at:at + language_id.LENGTH]]
+            own += [0] * (language_id.LENGTH - len(own))
+            first, last = scalar_states(ahead, own), scalar_states(back, own[::-1])[::-1]
+            for x, a, b in zip(own, first, last, strict=True):
+                power = [math.exp(sum(float(w) * s for w, s in zip(row, [*a, *b, 1.0], strict=True))) for row in out]
+                weight = float(language_id.LETTER[x])
+                seen += weight
+                total = [t + weight * p / sum(power) for t, p in zip(total, power, strict=True)]
+        if i == 2:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+        else:
+            assert got[i]["lang_pred"] == model.languages[int(np.argmax(total))]
+            assert math.isclose(got[i]["score"], max(total) / seen, abs_tol=1e-4)
+
+
 def test_windows_hold_every_byte():
     data = np.arange(97, 97 + 200, dtype=np.int64).astype(np.uint8)
     text, owner = language_id.windows(data, np.array([0, 0, 130, 200]))
