@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultsift.llm import bpe, decontaminate, neardup, quality, secrets
+from faultsift.llm.batches import free_name
 from faultsift.llm.queries import bucket, table, with_verdict
 from faultsift.session import scratch_path
 
@@ -33,12 +34,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each near-duplicate class: the one of least id, null ids last; a row repeated
     as a whole stays once."""
+    key = free_name(docs, "__key")
     row_key = lambda i, h: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), h)
     leaders = (neardup.near_duplicate_classes(docs).where("leader")
-               .select(row_key(F.col("id"), F.col("h").cast("string")).alias("__key")).distinct())
+               .select(row_key(F.col("id"), F.col("h").cast("string")).alias(key)).distinct())
     text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).cast("string")
-    return (docs.withColumn("__key", row_key(F.col("doc_id"), text_hash))
-            .join(leaders, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key"))
+    return (docs.withColumn(key, row_key(F.col("doc_id"), text_hash))
+            .join(leaders, key, "left_semi").dropDuplicates([key]).drop(key))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,14 +54,16 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret and linked part by a mark; n_chars follows. No document is dropped."""
+    """Replaces every secret and linked part by a mark; n_chars, where there is one, follows. No document is dropped."""
     columns = list(docs.columns)
-    text, size = f"__{columns.index('text')}", f"__{columns.index('n_chars')}"
+    text = f"__{columns.index('text')}"
     plain = docs.toDF(*(f"__{i}" for i in range(len(columns))))
     found = secrets.find_secrets(plain, text_column=text, carry=tuple(plain.columns))
     hit = F.size("spans") > 0
     found = found.withColumn(text, F.when(hit, secrets.redacted(F.col(text), F.col("spans"), MARK)).otherwise(F.col(text)))
-    found = found.withColumn(size, F.when(hit, F.length(text).cast(plain.schema[size].dataType)).otherwise(F.col(size)))
+    if "n_chars" in columns:
+        size = f"__{columns.index('n_chars')}"
+        found = found.withColumn(size, F.when(hit, F.length(text).cast(plain.schema[size].dataType)).otherwise(F.col(size)))
     return found.select(*(F.col(f"__{i}").alias(n) for i, n in enumerate(columns)))
 
 
