@@ -38,6 +38,19 @@ def test_verdicts(spark, history, observed, ewma, zscore, poisson):
             assert row[name].fired is expected, name
 
 
+@pytest.mark.parametrize("history,observed", [
+    ([2, 5, 2, 5, 0, 4], 9), ([0, 0, 5, 1, 0, 0], 7), ([2, 4, 43, 10, 6, 1], 59), ([6, 4, 0, 3, 2, 3], 9)])
+def test_zscore_on_the_threshold_is_that_of_the_statement(spark, history, observed):
+    """Counts exactly three deviations above the mean: only the rounding of the deviation decides."""
+    import duckdb
+
+    fired, sd = duckdb.sql(f"SELECT ({observed} - list_avg(h)) / greatest(list_stddev_samp(h), 1.0) > 3, "
+                           f"list_stddev_samp(h) FROM (SELECT {history} AS h)").fetchall()[0]
+    assert _judge(spark, history, observed)["zscore"].fired is fired
+    df = spark.createDataFrame([(history,)], "history array<bigint>")
+    assert df.select(sr.stddev(F.col("history"))).first()[0] == sd
+
+
 def test_lower_floor(spark):
     row = _judge(spark, [0] * 24, 4, dataclasses.replace(DEFAULTS, min_observed=1))
     assert row.ewma.fired and row.zscore.fired and row.poisson.fired
