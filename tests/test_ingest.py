@@ -188,6 +188,22 @@ def test_a_sweep_takes_its_window_from_the_stored_size(spark):
     assert record.first().deleted_events == 2 and left.count() == 18
 
 
+def test_sweep_queries_keep_their_window_under_pressure(spark, monkeypatch):
+    from faultsift.plans.registry import QUERIES
+    from faultsift.plans.warehouse import Warehouse
+
+    sf = "/root/testdata/sf0.001"
+    calm = QUERIES["G4_trend_survives"](spark, sf).first()
+    status = QUERIES["H12_storage_status"](spark, sf).first()
+    assert status.events_bytes == retention.stored_bytes(
+        Warehouse(spark, sf).events(), retention.TEXT_COLUMNS).first()[0]
+    monkeypatch.setattr(retention, "stored_bytes", lambda *_: spark.createDataFrame([(10 ** 12,)], "events_bytes bigint"))
+    assert QUERIES["G4_trend_survives"](spark, sf).first() == calm and calm.events_left > 0
+    full = QUERIES["H12_storage_status"](spark, sf).first()
+    assert (full.last_sweep_window_days, full.last_sweep_deleted) == (14, status.last_sweep_deleted)
+    assert full.events_bytes == 10 ** 12
+
+
 def test_replacing_merge_touches_only_its_days(spark, tmp_path):
     rows = [("a", "ewma", NOW, 1), ("b", "ewma", NOW - dt.timedelta(days=3), 2)]
     columns = "group_id string, detector string, bucket_start timestamp, v int"
