@@ -178,3 +178,17 @@ def test_replay_merges_splits_and_control(spark):
     c = grouping.replay_coverage(grouping.replay(untraced, 2), groups, 2).first()
     assert (c.groups_total, c.groups_covered, c.events_replayed) == (3, 0, 0)
     assert grouping.replay(stored, 2, limit=2).agg(F.sum("events")).first()[0] == 2
+
+
+def test_first_frame_line_is_found_as_by_splitting(spark):
+    from faultsift.functions import frames, text
+
+    ends = ["\n", "\r\n", "\r", "\x0b", "\x85", " "]
+    traces = [end.join(parts) for end in ends for parts in (
+        ["x", "at ", "  at a.B.c(D.java:1)"], ["at a.B.c(D.java:1)"], ["", "\x1c　at a.B.c(D)", "at b"],
+        ["xat a", "at\t", " at  "], ["Caused by: at y", "\tat z \t"])]
+    df = spark.createDataFrame([(t,) for t in traces], "t string")
+    lines = F.filter(F.split("t", r"\R"), lambda l: text.strip(l).startswith("at "))
+    for r in df.select(F.coalesce(F.get(lines, F.lit(0)), F.lit("")).alias("old"),
+                       F.regexp_extract("t", frames.FIRST_AT, 1).alias("new")).collect():
+        assert r.old == r.new
