@@ -256,3 +256,9 @@ def test_scorecard_and_ratios(spark):
     both = detect.compare_with_recorded(df.filter("outcome is not null"), df)
     assert both.filter("outcome = 'pending'").first().recorded == 1
     assert both.filter("modelled <> recorded").count() == 1
+
+
+def test_histories_are_dealt_to_all_tasks(spark):
+    """Few bytes and much work: they must not be put into one task."""
+    rolled = rollups(spark, [(f"g{g}", hours_ago(h), 1) for g in range(40) for h in range(3)])
+    assert detect.with_history(rolled).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
