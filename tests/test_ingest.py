@@ -214,3 +214,20 @@ def test_replacing_merge_touches_only_its_days(spark, tmp_path):
     sinks.merge_partitions(new.limit(0), str(tmp_path), "observations", sinks.replacing(*sinks.OBSERVATION_KEYS))
     got = sorted((r.group_id, r.v) for r in sinks.read_table(spark, str(tmp_path), "observations").collect())
     assert got == [("a", 7), ("b", 2), ("c", 8)]
+
+
+def test_derived_tables_are_laid_out_once(spark, tmp_path):
+    from faultsift.plans import registry
+    from faultsift.plans.warehouse import Warehouse
+
+    w = Warehouse(spark, "/root/testdata/sf0.001")
+    # What is shuffled by day is the raw record, not its frames and keys.
+    laid_out = ingest.store(w.raw(), w.params, by_day=True)
+    plan = laid_out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("fingerprint_input") < plan.index("RebalancePartitions")
+    plain = ingest.store(w.raw(), w.params)
+    assert laid_out.columns == plain.columns
+    assert laid_out.exceptAll(plain).isEmpty() and plain.exceptAll(laid_out).isEmpty()
+    assert not {"frames", "in_app_frames", "fingerprint_input", "title"} & set(w.stored().columns)
+    landed = spark.read.format("binaryFile").load(registry._landing(w)).select("path").collect()
+    assert landed and all(r.path.endswith(".json.gz") for r in landed)
