@@ -72,8 +72,8 @@ def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     source = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     tokens = bpe.encode(plain.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256)), *source,
-                        carry=("doc_id", "digest"))
-    return bpe.decode(tokens, source[0], carry=("doc_id", "digest", "ids")).select(
+                        carry=("doc_id", "digest"), decoded=True)
+    return tokens.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
         (F.sha2("decoded", 256) == F.col("digest")).alias("exact"))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,18 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+@cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker lives on for other stages, and two or more share an executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim() is not None:
+        _trim()(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str,
                 limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Cuts a batch into runs of rows of about `limit` text bytes; a longer text is a run of its own."""
@@ -54,7 +68,7 @@ def text_slices(batch: pa.RecordBatch, column: str,
         yield batch.slice(start, stop - start), texts.slice(start, stop - start)
         start = stop
     del texts
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -335,9 +335,14 @@ class Encoder:
         return ids, np.diff(upto)
 
 
+def _binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+
+
 def encode(docs: DataFrame, path: str, pattern: str, *, text_column: str = "text",
-           carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns and `ids`, the token ids of the whole text, as a row-local map.
+           carry: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """The carried columns and `ids`, the token ids of the whole text, as a row-local map; with `decoded` also
+    the bytes that the ids stand for, as `decode` makes them, without a second worker a task.
 
     Each match of `pattern` is encoded separately: a piece that is a token is that token, any other
     starts as bytes and merges the leftmost pair of least rank until none is left. Null texts count as
@@ -345,7 +350,8 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text_column: str = "text
     named `ids` is left out. `path` is read by every worker, so it must be installed on all.
     """
     bounded_batches(docs.sparkSession)
-    made = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
+    made = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)]
+                        + [T.StructField("decoded", T.BinaryType(), False)] * decoded)
     kept = carried(docs, carry, made)
     names = [f.name for f in kept]
     source = free_name(docs, "source")
@@ -356,8 +362,10 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text_column: str = "text
             for rows, texts in text_slices(batch, source):
                 ids, counts = encoder.encode_rows(*raw_bytes(texts))
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                yield made_batch(rows, names, {"ids": pa.ListArray.from_arrays(
-                    pa.array(ends), pa.array(ids, pa.int32()))})
+                own = {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))}
+                if decoded:
+                    own["decoded"] = _binary(*token_bytes(path).decode(ids, counts))
+                yield made_batch(rows, names, own)
 
     text = docs[text_column].alias(source)
     return docs.select(*[docs[n] for n in names], text).mapInArrow(run, T.StructType(kept + made.fields))
@@ -383,8 +391,7 @@ def decode(tokens: DataFrame, path: str, *, ids_column: str = "ids",
                 rows, counts, at = batch.slice(at, stop - at), sizes[at:stop], stop
                 lists = rows.column(rows.num_columns - 1)
                 flat, ends = vocab.decode(lists.flatten().to_numpy(zero_copy_only=False), counts)
-                yield made_batch(rows, names, {"decoded": pa.Array.from_buffers(
-                    pa.binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])})
+                yield made_batch(rows, names, {"decoded": _binary(flat, ends)})
 
     return tokens.select(*[tokens[n] for n in names], tokens[ids_column].alias(free_name(tokens, "source"))).mapInArrow(
         run, T.StructType(kept + made.fields))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.batches import ODD, Words, bounded_batches, mix, raw_bytes, shingles, text_slices
+from faultsift.llm.batches import ODD, Words, bounded_batches, give_back, mix, raw_bytes, shingles, text_slices
 from faultsift.session import scratch_path
 
 LOW48 = np.uint64((1 << 48) - 1)
@@ -110,6 +110,7 @@ def _verified(pairs: DataFrame, size: int, threshold: float) -> DataFrame:
                 keep = common >= threshold * total - 1e-9
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(c).filter(pa.array(keep)) for c in (0, 1)], names=["a", "b"])
+            give_back()
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 

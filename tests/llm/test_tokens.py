@@ -2,6 +2,7 @@
 
 import base64
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import tiktoken
@@ -30,6 +31,18 @@ def test_ids_match_the_library_and_decode(spark, library):
     assert bpe.decode(bpe.encode(no_docs(spark), *BPE), BPE[0]).count() == 0
 
 
+def test_one_map_encodes_and_decodes(spark):
+    both = bpe.encode(odd_docs(spark), *BPE, carry=("text", "decoded"), decoded=True)
+    apart = bpe.decode(bpe.encode(odd_docs(spark), *BPE, carry=("text",)), BPE[0], carry=("text", "ids"))
+    assert both.columns == apart.columns == ["text", "ids", "decoded"]
+    assert both.exceptAll(apart).isEmpty() and both.count() == len(odd_rows())
+
+
+def test_the_pipeline_encodes_and_decodes_in_one_worker_a_task(spark, capsys):
+    corpus_pipeline.byte_level_bpe(spark, odd_docs(spark), "").explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=200))
 def test_any_text_matches_the_library(library, text):
