@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from faultsift.contracts import DEFAULTS, Params
 from faultsift.functions.fingerprint import with_fingerprint
 from faultsift.operators import ingest
-from faultsift.session import cut
 from faultsift.sources.versions import Part, VersionedTable, daily
 
 SEGMENT = 32_768  # bits that one bitmap row holds
@@ -38,7 +38,7 @@ class EventStore:
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
+        self.spark, self.path = spark, path
         self.events = daily(spark, f"{path}/events", "received_at")
         self.filters = VersionedTable(spark, f"{path}/filters", "part", F.col("of"), counted=False)
         self.days_read: list[str] = []
@@ -103,13 +103,35 @@ class EventStore:
 
     def ingest(self, raw: DataFrame, params: Params = DEFAULTS, source: str | None = None,
                batch: int | None = None) -> DataFrame:
-        """Stores the valid, new events of ``raw`` and returns them. A batch that comes again adds nothing."""
+        """Stores the valid, new events of ``raw`` and returns them. A batch that comes again adds nothing.
+
+        Raw records are kept and laid out by day; their frames are read on the way into the table, so what is
+        derived is written once and not shuffled. The events returned are those of the table.
+        """
         if self.events.done(source, batch):
             self.refresh()
             return self.events.read(lambda *_: False)
         valid, _ = ingest.split_valid(ingest.assign_event_ids(raw))
-        unique = cut(ingest.deduplicate(valid))
-        stored = cut(with_fingerprint(ingest.resolve_legacy(self.fresh(unique)), params.fingerprint_version))
-        self.events.merge(stored, DataFrame.unionByName, source, batch)
+        unique = self._kept(ingest.deduplicate(valid))
+        fresh = self.fresh(unique)
+        if fresh is not unique:
+            fresh = self._kept(fresh)
+        days = self.events.touched_by(fresh)
+        laid = fresh.withColumn("_day", self.events.value).hint("rebalance", "_day").drop("_day")
+        stored = with_fingerprint(ingest.resolve_legacy(laid), params.fingerprint_version)
+        self.events.merge(stored, DataFrame.unionByName, source, batch, days, dealt=True)
         self.refresh()
-        return stored
+        among = set(days)
+        return (self.events.read(lambda d, _: d in among).join(fresh.select("event_id"), "event_id", "left_semi")
+                .select(*stored.columns))
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        """Raw records of a batch, compressed and by column, as it has them until ``forget``."""
+        path = f"{self.path}/batches/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def forget(self) -> None:
+        """Deletes the raw records of all batches; what ``ingest`` returned cannot be read after that."""
+        fs, target = self.events._fs(f"{self.path}/batches")
+        fs.delete(target, True)

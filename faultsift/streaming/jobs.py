@@ -47,6 +47,7 @@ def store_stream(raw: DataFrame, path: str, checkpoint: str, params: Params = DE
     def batch(df: DataFrame, batch_id: int) -> None:
         events = EventStore(df.sparkSession, path)
         events.ingest(df, params, "stream", batch_id)
+        events.forget()
         for table in (events.events, events.filters):
             table.vacuum()
 

@@ -54,6 +54,26 @@ def test_a_batch_that_comes_again_adds_nothing(spark):
     assert store.ingest(raw(spark, [])).count() == 0
 
 
+def test_what_is_derived_is_not_shuffled_and_raw_batches_go(spark, monkeypatch):
+    plans = []
+    merge = versions.VersionedTable.merge
+
+    def watched(self, new, *args, **more):
+        plans.append((new._jdf.queryExecution().executedPlan().toString(), more.get("dealt")))
+        return merge(self, new, *args, **more)
+
+    monkeypatch.setattr(versions.VersionedTable, "merge", watched)
+    store = EventStore(spark, scratch_path(spark, "store"))
+    store.ingest(raw(spark, _feed(40)))
+    new = store.ingest(raw(spark, _feed(60)))
+    assert sorted(r["event_id"] for r in new.collect()) == sorted(f"e{i}" for i in range(40, 60))
+    for plan, dealt in plans:  # one exchange, of raw records, below what reads their frames
+        assert dealt and plan.count("Exchange rebalance") + plan.count("REBALANCE") > 0
+        assert "fingerprint" not in plan[plan.index("Exchange"):]
+    store.forget()
+    assert store.events._names(f"{store.path}/batches") == [] and len(_ids(store)) == 60
+
+
 def test_streamed_store_equals_batch(spark):
     path, landing, ckpt = (scratch_path(spark, n) for n in ("store", "in", "ckpt"))
     parts = [_feed(40), _feed(60)[30:], [raw_event("e1", HOUR + 9 * DAY), raw_event("bad", HOUR, message=" ")]]
