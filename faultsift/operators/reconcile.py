@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultsift.operators.ingest import hour_of
 
 # -- I1 -------------------------------------------------------------------------------------------
 def delivered(rollups: DataFrame, groups: DataFrame) -> DataFrame:
@@ -13,6 +14,13 @@ def delivered(rollups: DataFrame, groups: DataFrame) -> DataFrame:
             .agg(F.sum("event_count").alias("delivered")))
 
 
+def delivered_by_service(records: DataFrame) -> DataFrame:
+    """The same of accepted records themselves. A fingerprint holds its service, so groups are not needed to
+    tell services apart, and no frame is read."""
+    return (records.groupBy("service", hour_of().alias("hour"))
+            .agg(F.count(F.lit(1)).alias("delivered")))
+
+
 # -- I2 -------------------------------------------------------------------------------------------
 def remainder(plan: DataFrame, actual: DataFrame) -> DataFrame:
     """What is still owed per planned (service, hour); finished hours drop out."""

@@ -3,11 +3,11 @@ import random
 import time
 
 from conftest import HOUR, NOW, hours_ago
-from helpers import rollups
+from helpers import raw, raw_event, rollups
 from pyspark.sql import functions as F
 
 from faultsift.functions.trigram import jaccard, trigrams
-from faultsift.operators import reads, reconcile, similar
+from faultsift.operators import ingest, reads, reconcile, similar
 
 
 def _groups(spark, n=9):
@@ -150,6 +150,18 @@ def test_reconciliation(spark):
                    hours_ago(3): ("short", "a 9/3, b 0/3")}
 
 
+def test_delivered_counts_need_no_fingerprint(spark, monkeypatch):
+    rows = [raw_event(f"e{i}", hours_ago(i % 3), service=f"s{i % 2}", stacktrace=f"t{i}") for i in range(20)]
+    rows += [raw_event("e0", hours_ago(5), seq=1), raw_event("bad", NOW, service=" "), raw_event(None, NOW), raw_event(None, NOW)]
+    feed = raw(spark, rows)
+    events = ingest.store(feed)
+    by_groups = reconcile.delivered(ingest.rollup(events), ingest.build_groups(events))
+    want = sorted(map(tuple, by_groups.collect()))
+    monkeypatch.setattr(ingest, "with_fingerprint", None)
+    got = reconcile.delivered_by_service(ingest.accepted(feed))
+    assert sorted(map(tuple, got.select(*by_groups.columns).collect())) == want and sum(r[2] for r in want) == 21
+
+
 def test_storage_and_nav(spark):
     events = spark.createDataFrame([(NOW,), (hours_ago(5),)], "received_at timestamp")
     empty = spark.createDataFrame([], "ran_at timestamp, source string, window_days int, deleted_events bigint")
