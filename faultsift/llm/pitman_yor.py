@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultsift.llm.batches import NONBLANK, ODD, Words, bounded_batches, carried, made_batch, mix, raw_bytes, text_slices
+from faultsift.llm.batches import NONBLANK, ODD, Words, bounded_batches, carried, mix, raw_bytes, text_slices
 from faultsift.session import scratch_path
 
 END = np.uint64(0x1DEA5ED0C0FFEE11)  # stands for the end of a text among word hashes
-CHUNK_TOKENS = 2_000_000
+ESCAPE = 65_535         # words of the book are numbered below it
+BLOCK_TOKENS = 1_000_000
+ROUNDS = 4
+LOT_TOKENS = 800_000
 SEATED_SINGLY = 48
 BLOCKS = 32             # later customers come in blocks of this part of those seated
-SPLIT = 20_000          # dishes of a restaurant that are seated together
-LOT = 200_000           # rows of a lot of restaurants
-HELD_PAIRS = 1 << 21
+SPLIT = 20_000          # dishes of the parent that are seated together; a restaurant is split by ten times as many customers
+HELD_WORDS = 1 << 21
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,36 +52,177 @@ def predecessors(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return last
 
 
-def _folded(held: list[tuple]) -> tuple:
-    keys, context, word, n = (np.concatenate(x) for x in zip(*held, strict=True))
-    keys, at, which = np.unique(keys, return_index=True, return_inverse=True)
-    return keys, context[at], word[at], np.bincount(which, n, len(keys)).astype(np.int64)
-
-
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """(key, context, word, n) over all tokens of the column `__text`, added up within each task first."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n) over all tokens of the column `__text`, added up within each task first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        made = lambda x: pa.RecordBatch.from_arrays(
-            [*(pa.array(c.view(np.int64)) for c in x[:3]), pa.array(x[3])], names=["key", "context", "word", "n"])
+
+        def folded() -> tuple[np.ndarray, np.ndarray]:
+            words, which = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+            return words, np.bincount(which, np.concatenate([n for _, n in held]), len(words)).astype(np.int64)
+
+        def made() -> pa.RecordBatch:
+            words, n = folded()
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
+
         for batch in batches:
             for _, part in text_slices(batch, "__text"):
-                words, _, first = tokens(part)
-                context = predecessors(words, first)
-                keys, at, n = np.unique(pair_keys(context, words), return_index=True, return_counts=True)
-                held.append((keys, context[at], words[at], n))
-                size += len(keys)
-                if size > HELD_PAIRS:
-                    held = [_folded(held)]
+                held.append(np.unique(tokens(part)[0], return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD_WORDS:
+                    held = [folded()]
                     size = len(held[0][0])
-                    if size > HELD_PAIRS // 2:
-                        yield made(held[0])
+                    if size > HELD_WORDS // 2:
+                        yield made()
                         held, size = [], 0
         if held:
-            yield made(_folded(held))
+            yield made()
+
+    return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed piece; whole numbers take as few bytes as their largest needs."""
+    small = [x.astype(np.min_scalar_type(int(x.max()))) if x.dtype.kind in "iu" and len(x) else x for x in arrays]
+    data = pickle.dumps(small)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpack(piece: bytes) -> list[np.ndarray]:
+    return pickle.loads(pa.decompress(piece[8:], int.from_bytes(piece[:8], "little"), codec="zstd", asbytes=True))
+
+
+def deltas(x: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Steps from one number to the next in runs of the given lengths, each run from zero."""
+    out, start = np.diff(x, prepend=0), (np.cumsum(length) - length)[length > 0]
+    out[start] = x[start]
+    return out
+
+
+def summed(steps: np.ndarray, length: np.ndarray) -> np.ndarray:
+    upto, length = np.cumsum(steps), length[length > 0]
+    start = np.cumsum(length) - length
+    return upto - np.repeat(upto[start] - steps[start], length)
+
+
+@dataclass
+class Deal:
+    """How tokens are dealt: a restaurant goes to one lot, a large one by its dishes to several.
+
+    `book` holds the commonest words, which are written by number; all others are written as they are.
+    """
+    lots: int
+    book: np.ndarray         # sorted word hashes, fewer than ESCAPE
+    salts: np.ndarray        # by word of the book
+
+    def coded(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, known = Answers._find(self.book, words)
+        return np.where(known, at, ESCAPE).astype(np.uint16), words[~known]
+
+    def words(self, code: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        out = np.empty(len(code), np.uint64)
+        known = code != ESCAPE
+        out[known], out[~known] = self.book[code[known]], rest
+        return out
+
+    def split(self, contexts: np.ndarray) -> np.ndarray:
+        at, known = Answers._find(self.book, contexts)
+        out = np.ones(len(contexts), np.int64)
+        out[known] = self.salts[at[known]]
+        return out
+
+    def lot(self, contexts: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (mix(contexts + salt.astype(np.uint64) * ODD) % np.uint64(self.lots)).astype(np.int64)
+
+
+def dealt(texts: DataFrame, names: list[str], deal: Deal) -> DataFrame:
+    """(lot, block, data): the tokens of `__text` by lot, and of each block of documents their carried columns, under a
+    negative lot. The lots need `__train` too. Blocks are numbered by task, so a task that runs again makes the same."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def block() -> pa.RecordBatch:
+            number = (task << 24) + made
+            hashes, context, train = (np.concatenate([h[k] for h in held]) for k in range(3))
+            length = np.concatenate([h[3] for h in held])
+            doc = np.repeat(np.arange(len(length)), length)
+            sink = pa.BufferOutputStream()
+            kept = pa.Table.from_batches([h[4] for h in held])
+            with pa.ipc.new_stream(sink, kept.schema) as out:
+                out.write_table(kept)
+            lot = deal.lot(context, mix(hashes) % deal.split(context).astype(np.uint64))
+            # Runs of a context in a lot; two that agree in these bits may take turns, which only makes more runs.
+            order = np.argsort((lot.astype(np.uint64) << np.uint64(44)) | (context >> np.uint64(20)))
+            lot, context, hashes, tag = lot[order], context[order], hashes[order], (2 * doc + train[doc])[order]
+            cut = np.flatnonzero(np.concatenate([[True], lot[1:] != lot[:-1]]))
+            lots, pieces = [-1 - number % deal.lots], [pack(length, np.frombuffer(sink.getvalue(), np.uint8))]
+            for low, high in zip(cut, [*cut[1:], len(lot)], strict=True):
+                lead = low + np.flatnonzero(np.concatenate([[True], context[low + 1:high] != context[low:high - 1]]))
+                lots.append(int(lot[low]))
+                pieces.append(pack(*deal.coded(context[lead]), np.diff([*lead, high]), *deal.coded(hashes[low:high]), tag[low:high]))
+            return pa.RecordBatch.from_arrays([pa.array(lots, pa.int64()), pa.array([number] * len(lots), pa.int64()),
+                                               pa.array(pieces, pa.binary())], names=["lot", "block", "data"])
+
+        for batch in batches:
+            for rows, part in text_slices(batch, "__text"):
+                hashes, _, first = tokens(part)
+                train = rows.column(rows.schema.get_field_index("__train")).to_numpy(zero_copy_only=False).astype(np.int64)
+                held.append((hashes, predecessors(hashes, first), train, np.diff(first), rows.select(names)))
+                size += len(hashes)
+                if size > BLOCK_TOKENS:
+                    yield block()
+                    made, held, size = made + 1, [], 0
+        if held:
+            yield block()
+
+    return texts.mapInArrow(run, "lot long, block long, data binary")
 
-    return (texts.mapInArrow(run, "key long, context long, word long, n long").groupBy("key")
-            .agg(F.min("context").alias("context"), F.min("word").alias("word"), F.sum("n").alias("n")))
+
+def lots_of(tokens_dealt: DataFrame, deal: Deal, buckets: int) -> DataFrame:
+    """One row a lot: its words by bucket; its pairs that are to be seated; all its pairs; its tokens. Carried columns pass."""
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        lot, blocks, pieces = key[0].as_py(), part["block"].to_numpy(), part["data"].to_pylist()
+        if lot < 0:
+            empty = pa.nulls(len(part), pa.binary())
+            return pa.table({"lot": part["lot"], "block": part["block"], "words": part["data"],
+                             "many": empty, "pairs": empty, "tokens": empty})
+        read = [unpack(x) for x in pieces]
+        context = np.concatenate([np.repeat(deal.words(a, b), run) for a, b, run, *_ in read])
+        word = np.concatenate([deal.words(c, d) for *_, c, d, _ in read])
+        tag = np.concatenate([x[-1].astype(np.int64) for x in read])
+        length = np.array([len(x[-1]) for x in read])
+        del read
+        words = np.unique(np.concatenate([np.unique(context), np.unique(word)]))
+        order = np.argsort(_bucket(words, buckets), kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        of, at = rank[np.searchsorted(words, context)], rank[np.searchsorted(words, word)]
+        words = words[order]
+        cut = np.searchsorted(_bucket(words, buckets), np.arange(buckets + 1))
+        pair, which = np.unique(of * len(words) + at, return_inverse=True)
+        n = np.bincount(which, tag & 1, len(pair)).astype(np.int64)
+        of, dish = np.divmod(pair, len(words))
+        once, many = n == 1, n > 1
+        count = np.bincount(at, tag & 1, len(words)).astype(np.int64)
+        salts = deal.split(words)
+        for i in np.flatnonzero(salts > 1):  # a lot may hold several salts of a restaurant
+            here = (deal.lot(np.repeat(words[i], salts[i]), np.arange(salts[i])) == lot).sum()
+            salts[i] = max(1, round(salts[i] / max(here, 1)))
+        rooms = np.bincount(of, minlength=len(words))
+        block = np.repeat(np.arange(len(length)), length)
+        order = np.argsort(block * len(pair) + which)
+        which, doc = which[order], (tag >> 1)[order]
+        return pa.table({
+            "lot": pa.array([lot], pa.int64()), "block": pa.array([0], pa.int64()),
+            "words": pa.array([words.tobytes()], pa.binary()),
+            "many": pa.array([pack(cut, of[many], dish[many], n[many], np.bincount(of[once], minlength=len(words)),
+                                   np.bincount(dish[once], minlength=len(words)), count, salts)], pa.binary()),
+            "pairs": pa.array([pack(cut, rooms, deltas(dish, rooms), n)], pa.binary()),
+            "tokens": pa.array([pack(blocks, length, deltas(which, length), doc)], pa.binary())})
+
+    return tokens_dealt.groupBy("lot").applyInArrow(
+        run, "lot long, block long, words binary, many binary, pairs binary, tokens binary")
 
 
 @dataclass
@@ -244,98 +389,218 @@ class Model:
         return self.fetched.read(words, first)[1]
 
 
-def _seated(rows: DataFrame, lots: int, moves: int, discount: float, strength: float, seed: int) -> DataFrame:
-    """The rows (context, salt, word, n, ones, many, above and others) without `above`, with their tables `t`.
+def _bucket(words: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(words) % np.uint64(buckets)).astype(np.int64)
 
-    Restaurants are dealt to lots by hash. One with many dishes is dealt by salts, which see the tables of the others as
-    their own in proportion to the rows; `ones` are its dishes of one customer, which always have one table.
-    """
-    made = T.StructType([f for f in rows.schema if f.name != "above"] + [T.StructField("t", T.LongType())])
 
-    def run(key: tuple, part: pa.Table) -> pa.Table:
-        part = part.combine_chunks().sort_by([("context", "ascending"), ("salt", "ascending"), ("word", "ascending")])
-        context, salt, many, ones = (part[c].to_numpy() for c in ("context", "salt", "many", "ones"))
-        begin = np.concatenate([[True], (context[1:] != context[:-1]) | (salt[1:] != salt[:-1])])
-        room, lead = np.cumsum(begin) - 1, np.flatnonzero(begin)
-        n, above = part["n"].to_numpy().astype(np.float64), part["above"].to_numpy()
-        seating = Seating(discount, strength, np.random.default_rng([seed, key[0].as_py()]), room,
-                          ones[lead].astype(np.float64), many[lead] / np.bincount(room))
-        seating.open(n, above)
-        seating.settle(n, above, moves)
-        t = seating.tables(len(n)).astype(np.int64)
-        return part.select([f.name for f in made][:-1]).append_column("t", pa.array(t))
-
-    lot = F.pmod(F.xxhash64("context", "salt"), F.lit(lots)).cast("int")
-    return rows.groupBy(lot.alias("lot")).applyInArrow(run, made)
-
-
-def fit(texts: DataFrame, *, word_share: float = 0, context_share: float = 0, discount: float = 0.75,
-        strength: float = 1.0, burn_in: int = 1, samples: int = 3, moves: int = 30, seed: int = 11) -> tuple[Model, DataFrame]:
-    """(model, word counts) learned from all tokens of the column `__text`.
+def _told(cut: np.ndarray, told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the buckets say of a lot's words: discounted customers, tables of the restaurant, count."""
+    out = [np.zeros(int(cut[-1])) for _ in range(3)]
+    for bucket, data in zip(told["bucket"].to_pylist(), told["data"].to_pylist(), strict=True):
+        if bucket >= 0:
+            for x, y in zip(out, unpack(data), strict=True):
+                x[cut[bucket]:cut[bucket + 1]] = y
+    return tuple(out)
 
-    Every word is a dish and has a restaurant for what follows it; the parent of all restaurants has every word as a dish
-    and a uniform base. Pairs, words and tables are Spark tables that grow with the corpus; the driver sees totals only.
-    `word_share` and `context_share`, once the least shares of a dish and a restaurant, change nothing.
 
-    A sweep seats every restaurant given its parent's predictive probabilities (new seating, then Gibbs
-    moves, `moves` a dish or its customers if these are fewer); its tables are the parent's customers, which is
-    seated in turn. After `burn_in` sweeps the predictive probabilities of `samples` sweeps are averaged. Pairs seen once
-    have one table, so only the others are seated and sent.
+@dataclass
+class Sweeps:
+    """The few numbers of the sweeps: `held` and `passed` are the parent's customers and what it passes on, by kept sweep."""
+    samples: int
+    discount: float
+    strength: float
+    held: list[float]
+    passed: list[float]
+
+    def read(self, left: pa.Table, right: pa.Table) -> tuple:
+        """(count, above by sample, onward by sample of words; context, word, n and kept of pairs) of a lot."""
+        cut, rooms, steps, n = (x.astype(np.int64) for x in unpack(left["pairs"][0].as_py()))
+        above, onward, count = [], [], np.zeros(cut[-1])
+        sweep = right["sweep"].to_numpy()
+        for s in range(self.samples):
+            customers, tables, count = _told(cut, right.filter(pa.array(sweep == s)))
+            above.append(customers / self.held[s] + self.passed[s])
+            onward.append((self.strength + self.discount * tables) / (self.strength + count))
+        kept = np.where(n == 1, 1 - self.discount, 0.0)
+        for bucket, data in zip(right["bucket"].to_pylist(), right["data"].to_pylist(), strict=True):
+            if bucket == -1:
+                kept[n > 1] = n[n > 1] - self.discount * unpack(data)[0] / self.samples
+        return count, np.array(above).T, np.array(onward).T, np.repeat(np.arange(cut[-1]), rooms), summed(steps, rooms), n, kept
+
+
+@dataclass
+class Swept:
+    """The lots of a corpus, and what its sweeps left: rows (lot, bucket, data, sweep) of the kept ones.
+
+    Under bucket -1 are the tables of the lot's pairs, added up over the kept sweeps; the others say for the lot's words
+    of a bucket how many customers, less discounts, they have in the parent, how many tables their restaurant has, how
+    often they were seen.
     """
-    spark = texts.sparkSession
+    lots: DataFrame
+    told: DataFrame
+    sweeps: Sweeps
+
+    def each(self, run, schema: str, columns: tuple[str, ...], part: Column | None = None) -> DataFrame:
+        part = F.lit(True) if part is None else part
+        lots = self.lots.where("lot >= 0").where(part).select("lot", *columns)
+        return lots.groupBy("lot").cogroup(self.told.where(part).groupBy("lot")).applyInArrow(run, schema)
+
+    def rows(self) -> DataFrame:
+        """The model by key, for `Answers`."""
+        sweeps = self.sweeps
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            words = np.frombuffer(left["words"][0].as_py(), np.uint64)
+            count, above, onward, of, dish, n, kept = sweeps.read(left, right)
+            seen, known = n > 0, count > 0
+            about = np.column_stack([count, count, above, onward])[known]
+            return pa.table({
+                "key": pa.array(np.concatenate([pair_keys(words[of[seen]], words[dish[seen]]), words[known]]).view(np.int64)),
+                "payload": pa.array([*([x] for x in kept[seen].tolist()), *about.tolist()], pa.list_(pa.float64()))})
+
+        return self.each(run, "key long, payload array<double>", ("words", "pairs")).dropDuplicates(["key"])
+
+
+def sweep(lots: DataFrame, buckets: int, distinct: int, *, discount: float, strength: float,
+          burn_in: int, samples: int, moves: int, seed: int, written, dropped) -> Swept:
+    """Seats all restaurants of all lots, then their parent by buckets of words, `burn_in` + `samples` times."""
+    uniform = 1.0 / (distinct + 1)
+    state = lots.where("lot >= 0").select("lot", "words", "many")
+    none = lots.sparkSession.createDataFrame([], "lot long, bucket long, data binary")
+    asked = none.select("lot", "bucket", F.col("data").alias("ask"))
+    told, held, passed, kept = none, 1.0, 0.0, []
+    all_held, all_passed, past = [], [], []
+    for number in range(burn_in + samples):
+        keeps = number >= burn_in
+
+        def seat(left: pa.Table, right: pa.Table) -> pa.Table:  # it and parent() run within the round that makes them
+            lot = left["lot"][0].as_py()
+            cut, of, dish, n, ones, once, count, salts = (x.astype(np.int64) for x in unpack(left["many"][0].as_py()))
+            above = _told(cut, right)[0] / held + passed if number else np.full(len(count), uniform)
+            before = np.zeros(len(n), np.int64)
+            for bucket, data in zip(right["bucket"].to_pylist(), right["data"].to_pylist(), strict=True):
+                if bucket == -1:
+                    before = unpack(data)[0].astype(np.int64)
+            lead, room = np.unique(of, return_inverse=True)
+            seating = Seating(discount, strength, np.random.default_rng([seed + number, lot]), room,
+                              (ones * salts)[lead].astype(np.float64), salts[lead].astype(np.float64))
+            seating.open(n.astype(np.float64), above[dish])
+            seating.settle(n.astype(np.float64), above[dish], moves)
+            t = seating.tables(len(n)).astype(np.int64)
+            serving = once + np.bincount(dish, t, len(count)).astype(np.int64)
+            inside = ones + np.bincount(of, t, len(count)).astype(np.int64)
+            to, pieces = [-1], [pack(before + t * int(keeps))]
+            own = [] if number else [np.frombuffer(left["words"][0].as_py(), np.uint64)]
+            for b, (low, high) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                if low < high:
+                    to.append(b)
+                    pieces.append(pack(*(x[low:high] for x in (serving, inside, count, *own))))
+            return pa.table({"lot": pa.array([lot] * len(to), pa.int64()), "bucket": pa.array(to, pa.int64()),
+                             "data": pa.array(pieces, pa.binary())})
+
+        def parent(key: tuple, part: pa.Table, asked: pa.Table) -> pa.Table:
+            read = [unpack(x) for x in part["data"].to_pylist()]
+            stop = np.cumsum([len(x[0]) for x in read])
+            if number:  # the places of a lot's words among the bucket's are known
+                place = dict(zip(asked["lot"].to_pylist(), asked["ask"].to_pylist(), strict=True))
+                own = [unpack(place[lot])[0].astype(np.int64) for lot in part["lot"].to_pylist()]
+                which = np.concatenate(own)
+            else:
+                which = np.unique(np.concatenate([x[3] for x in read]), return_inverse=True)[1]
+                own = [which[e - len(x[0]):e] for x, e in zip(read, stop, strict=True)]
+            n, tables, count = (np.bincount(which, np.concatenate([x[k] for x in read])) for k in range(3))
+            many = n > 1
+            seating = Seating(discount, strength, np.random.default_rng([seed + number, key[0].as_py(), 1]), np.zeros(many.sum(), np.int64),
+                              np.array([float((n == 1).sum() * buckets)]), np.array([float(buckets)]))
+            above = np.full(many.sum(), uniform)
+            seating.open(n[many], above)
+            seating.settle(n[many], above, moves)
+            t = (n == 1).astype(np.float64)
+            t[many] = seating.tables(int(many.sum()))
+            less, rows = n - discount * t, len(read)
+            return pa.table({
+                "lot": pa.array([*part["lot"].to_pylist(), -1], pa.int64()), "bucket": pa.array([key[0].as_py()] * (rows + 1), pa.int64()),
+                "data": pa.array([*(pack(less[i], tables[i].astype(np.int64), count[i].astype(np.int64)) for i in own), None], pa.binary()),
+                "ask": pa.array([*([None] * rows if number else map(pack, own)), None], pa.binary()),
+                "here": pa.array([*([0.0] * rows), n.sum()]), "tables": pa.array([*([0.0] * rows), t.sum()])})
+
+        seated = written((state if number == 0 else state.drop("words")).groupBy("lot").cogroup(told.groupBy("lot")).applyInArrow(
+            seat, "lot long, bucket long, data binary"), "seated")
+        answers = written(seated.where("bucket >= 0").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(
+            parent, "lot long, bucket long, data binary, ask binary, here double, tables double"), "parent")
+        if number == 0:
+            asked = written(answers.where("lot >= 0").select("lot", "bucket", "ask"), "asked")
+        here, tables = answers.where("lot = -1").agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in ("here", "tables")]).first()
+        held, passed = strength + here, (strength + discount * tables) / (strength + here) * uniform
+        said = answers.where("lot >= 0").select("lot", "bucket", "data")
+        for df in past:  # what this round has replaced
+            dropped(df)
+        past = [seated] if keeps else [seated, answers]
+        told = said.unionByName(seated.where("bucket = -1"))
+        if keeps:
+            kept.append(said.withColumn("sweep", F.lit(number - burn_in)))
+            all_held.append(held)
+            all_passed.append(passed)
+    kept.append(seated.where("bucket = -1").withColumn("sweep", F.lit(-1)))
+    return Swept(lots, reduce(DataFrame.unionByName, kept), Sweeps(samples, discount, strength, all_held, all_passed))
+
+
+def _tables(spark: SparkSession) -> tuple:
+    """Functions that write a table and delete one. The files of a written plan's shuffles are let go of."""
+    paths: dict[int, tuple[DataFrame, str]] = {}
 
     def written(df: DataFrame, label: str) -> DataFrame:
         path = scratch_path(spark, label)
         df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        read = spark.read.schema(df.schema).parquet(path)
+        paths[id(read)] = read, path
+        del df
+        spark.sparkContext._jvm.System.gc()  # Spark removes a shuffle's files once its plan is collected
+        return read
+
+    def dropped(df: DataFrame) -> None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop(id(df))[1])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    return written, dropped
+
 
-    pairs = written(pair_counts(texts), "pairs")
-    once = F.count_if(F.col("n") == 1).alias("ones")
-    words = written(pairs.groupBy("word").agg(F.sum("n").alias("n"), once), "words")
-    contexts = written(pairs.groupBy("context").agg(
-        F.sum("n").alias("total"), once, F.count_if(F.col("n") > 1).alias("many")), "contexts")
+def _learned(texts: DataFrame, names: list[str], *, word_share: float = 0, context_share: float = 0, discount: float = 0.75,
+             strength: float = 1.0, burn_in: int = 1, samples: int = 3, moves: int = 30,
+             seed: int = 11) -> tuple[Swept, DataFrame, int, int]:
+    """(lots after the sweeps, word counts, training tokens, distinct words) of `__text`, learned from the rows with `__train`."""
+    spark = texts.sparkSession
+
+    written, dropped = _tables(spark)
+    words = written(word_counts(texts.where("__train").select("__text")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = contexts.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    top = sorted((r["word"] % (1 << 64), r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(ESCAPE - 1).collect())
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lots = lambda n: max(2 * shuffles, n // LOT)
-    salt = lambda n: F.pmod(F.xxhash64("word", F.lit(7)), F.greatest(F.ceil(n / SPLIT), F.lit(1)).cast("long"))
-    state = written(pairs.where("n > 1").join(contexts.select("context", "ones", "many"), "context").select(
-        "key", "context", salt(F.col("many")).alias("salt"), "word", "n", "ones", "many", F.lit(0).cast("long").alias("held")), "many")
-    uniform, parent, about, unseen = 1.0 / (distinct + 1), None, [], []
-    about.append(words.select("word", F.col("n").cast("double").alias("n")))
-    about.append(contexts.select(F.col("context").alias("word"), F.col("total").cast("double"), F.col("ones").cast("double")))
-    for sweep in range(burn_in + samples):
-        given = (state.withColumn("above", F.lit(uniform)) if parent is None
-                 else state.join(parent.select("word", F.col("p").alias("above")), "word").select(*state.columns, "above"))
-        seated = written(_seated(given, lots(rows), moves, discount, strength, seed + sweep), "seated")
-        customers = written(words.select("word", F.col("ones").alias("c"))
-                            .unionByName(seated.select("word", F.col("t").alias("c")))
-                            .groupBy("word").agg(F.sum("c").alias("n")), "customers")
-        here, ones, many = customers.agg(F.coalesce(F.sum("n"), F.lit(0)), once, F.count_if(F.col("n") > 1)).first()
-        opened = _seated(customers.where("n > 1").select(
-            F.lit(0).cast("long").alias("context"), salt(F.lit(many)).alias("salt"), "word", "n", F.lit(ones).cast("long").alias("ones"),
-            F.lit(many).cast("long").alias("many"), F.lit(uniform).alias("above")), lots(many), moves, discount, strength, seed + sweep)
-        tables = written(opened.select("word", "n", "t").unionByName(
-            customers.where("n = 1").select("word", "n", F.lit(1).cast("long").alias("t"))), "parent")
-        held = strength + here
-        passed = (strength + discount * (tables.agg(F.sum("t")).first()[0] or 0)) / held * uniform
-        parent = tables.select("word", ((F.col("n") - discount * F.col("t")) / held + passed).alias("p"))
-        kept = sweep >= burn_in
-        state = seated.withColumn("held", F.col("held") + F.col("t") * int(kept)).drop("t")
-        if kept:
-            about.append(parent.withColumnRenamed("p", f"p{len(unseen)}"))
-            about.append(seated.groupBy(F.col("context").alias("word")).agg(F.sum("t").cast("double").alias(f"t{len(unseen)}")))
-            unseen.append(passed)
-    each = range(samples)
-    joined = (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), about).groupBy("word")
-              .agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in
-                     ("n", "total", "ones", *(f"p{s}" for s in each), *(f"t{s}" for s in each))]))
-    onward = [(strength + discount * (F.col("ones") + F.col(f"t{s}"))) / (strength + F.col("total")) for s in each]
-    known = joined.select(F.col("word").alias("key"), F.array("n", "total", *(f"p{s}" for s in each), *onward).alias("payload"))
-    several = state.select("key", F.array(F.col("n") - discount * F.col("held") / samples).alias("payload"))
-    single = pairs.where("n = 1").select("key", F.array(F.lit(1 - discount)).alias("payload"))
-    model = written(known.unionByName(several).unionByName(single), "model")
-    return Model(model, Scale(strength, np.array(unseen), int(total), int(distinct))), words.select("word", "n")
+    every = texts.agg(F.coalesce(F.sum(F.length("__text")), F.lit(0))).first()[0]
+    deal = Deal(max(shuffles, every // (6 * LOT_TOKENS)), np.array([w for w, _ in top], np.uint64),
+                np.array([-(-n // (10 * SPLIT)) for _, n in top], np.int64))
+    buckets = max(1, -(-distinct // SPLIT))
+    lots = written(lots_of(dealt(texts, names, deal), deal, buckets), "lots")
+    return sweep(lots, buckets, distinct, discount=discount, strength=strength, burn_in=burn_in, samples=samples,
+                 moves=moves, seed=seed, written=written, dropped=dropped), words, int(total), int(distinct)
+
+
+def fit(texts: DataFrame, **options) -> tuple[Model, DataFrame]:
+    """(model, word counts) learned from all tokens of the column `__text`.
+
+    Every word is a dish and has a restaurant for what follows it; the parent of all restaurants has every word as a dish
+    and a uniform base. Restaurants are dealt to lots with the tokens that come to them, words to buckets; lots and buckets
+    tell each other tables and probabilities, in pieces that grow with the corpus. The driver sees totals and the commonest
+    words. `word_share` and `context_share`, once the least shares of a dish and a restaurant, change nothing.
+
+    A sweep seats every restaurant given its parent's predictive probabilities (new seating, then Gibbs
+    moves, `moves` a dish or its customers if these are fewer); its tables are the parent's customers, which is
+    seated in turn. After `burn_in` sweeps the predictive probabilities of `samples` sweeps are averaged. Pairs seen once
+    have one table, so only the others are seated.
+    """
+    table = texts.select(F.coalesce("__text", F.lit("")).alias("__text"), F.lit(True).alias("__train"))
+    swept, words, total, distinct = _learned(table, [], **options)
+    return Model(swept.rows(), Scale(swept.sweeps.strength, np.array(swept.sweeps.passed), total, distinct)), words
 
 
 def score(docs: DataFrame, train: Column, *, id_column: str = "doc_id", text_column: str = "text",
@@ -347,9 +612,8 @@ def score(docs: DataFrame, train: Column, *, id_column: str = "doc_id", text_col
     model's. Null texts count as empty (one token, the end); repeated rows count as often as they come; with no training
     rows every word is unknown; an empty table gives no rows; carried columns with made names are left out.
 
-    The model is as large as the corpus has pairs, so it is joined, not sent: documents are dealt into chunks of
-    about two million tokens, each chunk asks once for every word and pair it holds, and answers and documents meet by
-    chunk. Chunks are dealt by id and text, so copies spread.
+    The model is as large as the corpus has pairs, so it is never sent: tokens go to the lots of their contexts once, are
+    counted and scored there, and what a lot finds for the documents of a block goes back to the block.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -357,52 +621,44 @@ def score(docs: DataFrame, train: Column, *, id_column: str = "doc_id", text_col
         ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()),
         ("base_score", T.DoubleType()), ("score", T.DoubleType()))])
     kept = carried(docs, carry, made)
-    names = [f.name for f in kept]
-    text = F.coalesce(docs[text_column], F.lit(""))
-    model, _ = fit(docs.where(F.coalesce(train, F.lit(False))).select(text.alias("__text")), **options)
-    scale = model.scale
-    size = docs.agg(F.sum(F.length(text_column))).first()[0] or 0
-    chunks = max(1, -(-size // (6 * CHUNK_TOKENS)))
-    dealt = (docs.select(*[docs[n] for n in names], text.alias("__text"),
-                         F.pmod(F.xxhash64(docs[id_column], docs[text_column]), F.lit(chunks)).cast("int").alias("__chunk"))
-             .repartition(max(chunks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "__chunk"))
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for rows, part in text_slices(batch, "__text"):
-                hashes, owner, first = tokens(part)
-                keys = pair_keys(predecessors(hashes, first), hashes)
-                chunk = rows.column(rows.schema.get_field_index("__chunk")).to_numpy()[owner]
-                for c in np.unique(chunk):
-                    mine = held.setdefault(int(c), [])
-                    here = chunk == c
-                    mine.append(np.unique(np.concatenate([hashes[here], keys[here]])))
-                    if len(mine) > 8:
-                        mine[:] = [np.unique(np.concatenate(mine))]
-        for c, mine in held.items():
-            mine = np.unique(np.concatenate(mine))
-            for at in range(0, len(mine), 100_000):
-                part = mine[at:at + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), c, np.int32)), pa.array(part.view(np.int64))], names=["__chunk", "key"])
-
-    answers = dealt.mapInArrow(asked, "__chunk int, key long").join(model.rows, "key")
+    names = [f"__{i}" for i in range(len(kept))]
+    texts = docs.select(*[docs[f.name].alias(n) for f, n in zip(kept, names, strict=True)],
+                        F.coalesce(docs[text_column], F.lit("")).alias("__text"), F.coalesce(train, F.lit(False)).alias("__train"))
+    swept, _, total, distinct = _learned(texts, names, **options)
+    sweeps = swept.sweeps
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        answers = Answers(right, scale)
-        out = []
-        for batch in left.to_batches():
-            for rows, part in text_slices(batch, "__text"):
-                hashes, owner, first = tokens(part)
-                count, chance = answers.read(hashes, first)
-                base = np.log10((count + 1) / (scale.train_tokens + scale.distinct + 1))
-                add = lambda x: pa.array(np.bincount(owner, x, len(rows)))  # noqa: E731, B023
-                out.append(made_batch(rows, names, {
-                    "n_tokens": pa.array(np.diff(first)), "n_known": pa.array(np.bincount(owner, count > 0, len(rows)).astype(np.int64)),
-                    "train_tokens": pa.array(np.full(len(rows), scale.train_tokens)),
-                    "base_score": add(base), "score": add(chance)}))
-        return pa.Table.from_batches(out) if out else pa.table(
-            {**{x: left[x] for x in names}, **{f: pa.array([], pa.int64() if f[0] in "nt" else pa.float64()) for f in made.names}})
-
-    return dealt.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(scored, T.StructType(kept + made.fields))
+        count, above, onward, of, dish, _, less = sweeps.read(left, right)
+        chance = np.log10(less / (sweeps.strength + count[of]) + (above[dish] * onward[of]).mean(axis=1))
+        base = np.log10((count + 1) / (total + distinct + 1))
+        blocks, length, which, doc = (x.astype(np.int64) for x in unpack(left["tokens"][0].as_py()))
+        which = summed(which, length)
+        stop, pieces = np.cumsum(length), []
+        for low, high in zip(stop - length, stop, strict=True):
+            docs_here, at = np.unique(doc[low:high], return_inverse=True)
+            pair = which[low:high]
+            add = lambda x: np.bincount(at, x, len(docs_here))  # noqa: E731, B023
+            pieces.append(pack(docs_here, add(chance[pair]).astype(np.float32), add(base[dish[pair]]),
+                               add(count[dish[pair]] > 0).astype(np.int64)))
+        return pa.table({"block": pa.array(blocks), "own": pa.array(np.zeros(len(blocks), bool)), "data": pa.array(pieces, pa.binary())})
+
+    def gathered(key: tuple, part: pa.Table) -> pa.Table:
+        own = part["own"].to_pylist()
+        pieces = part["data"].to_pylist()
+        length, stream = unpack(pieces[own.index(True)])
+        sums = np.zeros((3, len(length)))
+        for mine, data in zip(own, pieces, strict=True):
+            if not mine:
+                at, *rest = unpack(data)
+                for k in range(3):
+                    sums[k][at] += rest[k]
+        columns = pa.ipc.open_stream(stream.tobytes()).read_all()
+        found = (length.astype(np.int64), sums[2].astype(np.int64), np.full(len(length), total, np.int64), sums[1], sums[0])
+        return pa.table([*columns.columns, *map(pa.array, found)], names=[f.name for f in (*kept, *made)])
+
+    written, _ = _tables(spark)
+    parts = [F.pmod(F.xxhash64("lot"), F.lit(ROUNDS)) == i for i in range(ROUNDS)]  # one after the other: less lies on disk at once
+    found = reduce(DataFrame.unionByName, [written(swept.each(
+        scored, "block long, own boolean, data binary", ("pairs", "tokens"), part), "scored") for part in parts])
+    blocks = swept.lots.where("lot < 0").select("block", F.lit(True).alias("own"), F.col("words").alias("data"))
+    return found.unionByName(blocks).groupBy("block").applyInArrow(gathered, T.StructType(kept + made.fields))

@@ -260,6 +260,30 @@ def test_the_model_beats_counts_on_held_out_text(spark):
     assert {r["n_known"] for r in alone} == {0} and {r["train_tokens"] for r in alone} == {0}
 
 
+def test_scores_of_lots_are_those_of_the_model_and_blocks_do_not_matter(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "SPLIT", 16)  # several buckets of words, large restaurants in several lots
+    dice = random.Random(8)
+    texts = [" ".join(f"w{int(dice.paretovariate(0.6)) % 400}" for _ in range(dice.randrange(60))) for _ in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "doc_id long, text string").repartition(3)
+    model, words = pitman_yor.fit(docs.select(F.col("text").alias("__text")))
+    assert words.count() > 16 * 3
+    for r in pitman_yor.score(docs, F.lit(True), carry=("text", "doc_id")).collect():
+        hashes, _, first = pitman_yor.tokens(pa.array([(r["text"] or "").encode()], pa.large_binary()))
+        assert math.isclose(r["score"], model.score(hashes, first).sum(), rel_tol=1e-5) and r["n_known"] == r["n_tokens"] == len(hashes)
+
+
+def test_what_lies_on_disk_is_small_beside_the_tokens(spark):
+    dice = random.Random(9)
+    texts = [" ".join(f"word{int(dice.paretovariate(0.8)) % 5000}" for _ in range(3000)) for _ in range(40)]
+    table = spark.createDataFrame([(t,) for t in texts], "__text string").repartition(2)
+    deal = pitman_yor.Deal(4, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    made = pitman_yor.dealt(table.withColumn("__train", F.lit(True)), [], deal)
+    lots = pitman_yor.lots_of(made, deal, 2).where("lot >= 0").collect()
+    assert sum(len(x) for r in lots for x in r if isinstance(x, (bytes, bytearray))) < 8 * 3001 * 40
+    read = [pitman_yor.unpack(bytes(r["pairs"])) for r in lots]
+    assert sum(int(n.sum()) for *_, n in read) == 3001 * 40
+
+
 def test_gibbs_moves_keep_every_customer():
     seating = pitman_yor.Seating(0.75, 1.0, np.random.default_rng(0))
     n, above = np.array([1.0, 5, 40, 3000, 0]), np.array([0.1, 0.2, 0.3, 0.3, 0.1])
