@@ -179,6 +179,11 @@ def dealt(texts: DataFrame, names: list[str], deal: Deal) -> DataFrame:
     return texts.mapInArrow(run, "lot long, block long, data binary")
 
 
+def _part() -> Column:
+    """The round in which a lot is scored; -1: carried columns."""
+    return F.when(F.col("lot") < 0, -1).otherwise(F.pmod(F.xxhash64("lot"), F.lit(ROUNDS)).cast("int"))
+
+
 def lots_of(tokens_dealt: DataFrame, deal: Deal, buckets: int) -> DataFrame:
     """One row a lot: its words by bucket; its pairs that are to be seated; all its pairs; its tokens. Carried columns pass."""
     def run(key: tuple, part: pa.Table) -> pa.Table:
@@ -439,11 +444,13 @@ class Swept:
     lots: DataFrame
     told: DataFrame
     sweeps: Sweeps
+    tables: list[DataFrame]     # the written ones that `told` reads
 
-    def each(self, run, schema: str, columns: tuple[str, ...], part: Column | None = None) -> DataFrame:
-        part = F.lit(True) if part is None else part
-        lots = self.lots.where("lot >= 0").where(part).select("lot", *columns)
-        return lots.groupBy("lot").cogroup(self.told.where(part).groupBy("lot")).applyInArrow(run, schema)
+    def each(self, run, schema: str, columns: tuple[str, ...], part: int | None = None) -> DataFrame:
+        lots, told = self.lots.where("part >= 0"), self.told
+        if part is not None:
+            lots, told = self.lots.where(F.col("part") == part), told.where(_part() == part)
+        return lots.select("lot", *columns).groupBy("lot").cogroup(told.groupBy("lot")).applyInArrow(run, schema)
 
     def rows(self) -> DataFrame:
         """The model by key, for `Answers`."""
@@ -465,10 +472,10 @@ def sweep(lots: DataFrame, buckets: int, distinct: int, *, discount: float, stre
           burn_in: int, samples: int, moves: int, seed: int, written, dropped) -> Swept:
     """Seats all restaurants of all lots, then their parent by buckets of words, `burn_in` + `samples` times."""
     uniform = 1.0 / (distinct + 1)
-    state = lots.where("lot >= 0").select("lot", "words", "many")
+    state = lots.where("part >= 0").select("lot", "words", "many")
     none = lots.sparkSession.createDataFrame([], "lot long, bucket long, data binary")
     asked = none.select("lot", "bucket", F.col("data").alias("ask"))
-    told, held, passed, kept = none, 1.0, 0.0, []
+    told, held, passed, kept, behind = none, 1.0, 0.0, [], []
     all_held, all_passed, past = [], [], []
     for number in range(burn_in + samples):
         keeps = number >= burn_in
@@ -526,6 +533,8 @@ def sweep(lots: DataFrame, buckets: int, distinct: int, *, discount: float, stre
 
         seated = written((state if number == 0 else state.drop("words")).groupBy("lot").cogroup(told.groupBy("lot")).applyInArrow(
             seat, "lot long, bucket long, data binary"), "seated")
+        for df in past:  # what this round has replaced
+            dropped(df)
         answers = written(seated.where("bucket >= 0").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(
             parent, "lot long, bucket long, data binary, ask binary, here double, tables double"), "parent")
         if number == 0:
@@ -533,56 +542,62 @@ def sweep(lots: DataFrame, buckets: int, distinct: int, *, discount: float, stre
         here, tables = answers.where("lot = -1").agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in ("here", "tables")]).first()
         held, passed = strength + here, (strength + discount * tables) / (strength + here) * uniform
         said = answers.where("lot >= 0").select("lot", "bucket", "data")
-        for df in past:  # what this round has replaced
-            dropped(df)
-        past = [seated] if keeps else [seated, answers]
-        told = said.unionByName(seated.where("bucket = -1"))
         if keeps:
             kept.append(said.withColumn("sweep", F.lit(number - burn_in)))
+            behind.append(answers)
             all_held.append(held)
             all_passed.append(passed)
+            told, past = said.unionByName(seated.where("bucket = -1")), [seated]
+        else:  # its tables are not added up
+            dropped(seated)
+            told, past = said, [answers]
+    dropped(asked)
     kept.append(seated.where("bucket = -1").withColumn("sweep", F.lit(-1)))
-    return Swept(lots, reduce(DataFrame.unionByName, kept), Sweeps(samples, discount, strength, all_held, all_passed))
+    return Swept(lots, reduce(DataFrame.unionByName, kept), Sweeps(samples, discount, strength, all_held, all_passed),
+                 [*behind, seated])
 
 
 def _tables(spark: SparkSession) -> tuple:
-    """Functions that write a table and delete one. The files of a written plan's shuffles are let go of."""
+    """Functions that write a table and delete one, or a part. The files of a written plan's shuffles are let go of."""
     paths: dict[int, tuple[DataFrame, str]] = {}
 
-    def written(df: DataFrame, label: str) -> DataFrame:
+    def written(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
         path = scratch_path(spark, label)
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         read = spark.read.schema(df.schema).parquet(path)
         paths[id(read)] = read, path
         del df
         spark.sparkContext._jvm.System.gc()  # Spark removes a shuffle's files once its plan is collected
         return read
 
-    def dropped(df: DataFrame) -> None:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop(id(df))[1])
+    def dropped(df: DataFrame, part: str = "") -> None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path((paths[id(df)] if part else paths.pop(id(df)))[1] + part)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     return written, dropped
 
 
-def _learned(texts: DataFrame, names: list[str], *, word_share: float = 0, context_share: float = 0, discount: float = 0.75,
-             strength: float = 1.0, burn_in: int = 1, samples: int = 3, moves: int = 30,
-             seed: int = 11) -> tuple[Swept, DataFrame, int, int]:
-    """(lots after the sweeps, word counts, training tokens, distinct words) of `__text`, learned from the rows with `__train`."""
-    spark = texts.sparkSession
-
-    written, dropped = _tables(spark)
+def _counted(texts: DataFrame, written) -> tuple[DataFrame, int, int, list[tuple[int, int]]]:
+    """(word counts, tokens, distinct words, the commonest words with their counts) of the rows with `__train`."""
     words = written(word_counts(texts.where("__train").select("__text")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = sorted((r["word"] % (1 << 64), r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(ESCAPE - 1).collect())
+    return words, int(total), int(distinct), top
+
+
+def _learned(texts: DataFrame, names: list[str], distinct: int, top: list[tuple[int, int]], written, dropped, *,
+             word_share: float = 0, context_share: float = 0, discount: float = 0.75, strength: float = 1.0,
+             burn_in: int = 1, samples: int = 3, moves: int = 30, seed: int = 11) -> Swept:
+    """The lots of `__text` after the sweeps, learned from the rows with `__train`."""
+    spark = texts.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = texts.agg(F.coalesce(F.sum(F.length("__text")), F.lit(0))).first()[0]
     deal = Deal(max(shuffles, every // (6 * LOT_TOKENS)), np.array([w for w, _ in top], np.uint64),
                 np.array([-(-n // (10 * SPLIT)) for _, n in top], np.int64))
     buckets = max(1, -(-distinct // SPLIT))
-    lots = written(lots_of(dealt(texts, names, deal), deal, buckets), "lots")
+    lots = written(lots_of(dealt(texts, names, deal), deal, buckets).withColumn("part", _part()), "lots", ("part",))
     return sweep(lots, buckets, distinct, discount=discount, strength=strength, burn_in=burn_in, samples=samples,
-                 moves=moves, seed=seed, written=written, dropped=dropped), words, int(total), int(distinct)
+                 moves=moves, seed=seed, written=written, dropped=dropped)
 
 
 def fit(texts: DataFrame, **options) -> tuple[Model, DataFrame]:
@@ -599,7 +614,9 @@ def fit(texts: DataFrame, **options) -> tuple[Model, DataFrame]:
     have one table, so only the others are seated.
     """
     table = texts.select(F.coalesce("__text", F.lit("")).alias("__text"), F.lit(True).alias("__train"))
-    swept, words, total, distinct = _learned(table, [], **options)
+    written, dropped = _tables(texts.sparkSession)
+    words, total, distinct, top = _counted(table, written)
+    swept = _learned(table, [], distinct, top, written, dropped, **options)
     return Model(swept.rows(), Scale(swept.sweeps.strength, np.array(swept.sweeps.passed), total, distinct)), words
 
 
@@ -624,7 +641,10 @@ def score(docs: DataFrame, train: Column, *, id_column: str = "doc_id", text_col
     names = [f"__{i}" for i in range(len(kept))]
     texts = docs.select(*[docs[f.name].alias(n) for f, n in zip(kept, names, strict=True)],
                         F.coalesce(docs[text_column], F.lit("")).alias("__text"), F.coalesce(train, F.lit(False)).alias("__train"))
-    swept, _, total, distinct = _learned(texts, names, **options)
+    written, dropped = _tables(spark)
+    words, total, distinct, top = _counted(texts, written)
+    dropped(words)
+    swept = _learned(texts, names, distinct, top, written, dropped, **options)
     sweeps = swept.sweeps
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -656,9 +676,12 @@ def score(docs: DataFrame, train: Column, *, id_column: str = "doc_id", text_col
         found = (length.astype(np.int64), sums[2].astype(np.int64), np.full(len(length), total, np.int64), sums[1], sums[0])
         return pa.table([*columns.columns, *map(pa.array, found)], names=[f.name for f in (*kept, *made)])
 
-    written, _ = _tables(spark)
-    parts = [F.pmod(F.xxhash64("lot"), F.lit(ROUNDS)) == i for i in range(ROUNDS)]  # one after the other: less lies on disk at once
-    found = reduce(DataFrame.unionByName, [written(swept.each(
-        scored, "block long, own boolean, data binary", ("pairs", "tokens"), part), "scored") for part in parts])
-    blocks = swept.lots.where("lot < 0").select("block", F.lit(True).alias("own"), F.col("words").alias("data"))
+    found = []
+    for part in range(ROUNDS):  # one after the other, and a lot goes when it is scored: less lies on disk at once
+        found.append(written(swept.each(scored, "block long, own boolean, data binary", ("pairs", "tokens"), part), "scored"))
+        dropped(swept.lots, f"/part={part}")
+    for table in swept.tables:
+        dropped(table)
+    blocks = swept.lots.where("part = -1").select("block", F.lit(True).alias("own"), F.col("words").alias("data"))
+    found = reduce(DataFrame.unionByName, found)
     return found.unionByName(blocks).groupBy("block").applyInArrow(gathered, T.StructType(kept + made.fields))

@@ -1,6 +1,7 @@
 """Trained operators: held-out accuracy, exact parts against brute force, and odd tables."""
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -284,6 +285,16 @@ def test_what_lies_on_disk_is_small_beside_the_tokens(spark):
     assert sum(int(n.sum()) for *_, n in read) == 3001 * 40
 
 
+def test_scoring_leaves_only_the_tables_its_result_reads(spark, monkeypatch, tmp_path):
+    made = itertools.count()
+    monkeypatch.setattr(pitman_yor, "scratch_path", lambda spark, label: f"{tmp_path}/{next(made)}-{label}")
+    docs = spark.createDataFrame([(i, f"a b c{i % 7} d{i}") for i in range(60)], "doc_id long, text string").repartition(3)
+    scored = pitman_yor.score(docs, F.col("doc_id") % 2 == 0)
+    left = {f.relative_to(tmp_path).parts[:-1] for f in tmp_path.rglob("*.parquet")}
+    assert {x[0].split("-")[1] for x in left} == {"lots", "scored"} and {x[1] for x in left if len(x) > 1} == {"part=-1"}
+    assert sorted(r["doc_id"] for r in scored.collect()) == list(range(60))
+
+
 def test_gibbs_moves_keep_every_customer():
     seating = pitman_yor.Seating(0.75, 1.0, np.random.default_rng(0))
     n, above = np.array([1.0, 5, 40, 3000, 0]), np.array([0.1, 0.2, 0.3, 0.3, 0.1])
