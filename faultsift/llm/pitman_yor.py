@@ -567,6 +567,7 @@ def _tables(spark: SparkSession) -> tuple:
         read = spark.read.schema(df.schema).parquet(path)
         paths[id(read)] = read, path
         del df
+        spark.range(1).collect()  # else the write's last event, still in the listeners' hands, holds its plan
         spark.sparkContext._jvm.System.gc()  # Spark removes a shuffle's files once its plan is collected
         return read
 
